@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from florilege.llm.decontamination import OP5_SQL, op5_decontamination
+from florilege.llm.mixing import OP9_SQL, op9_mixing
 from florilege.llm.secret_scans import OP1_SQL, op1_secret_scans
+from florilege.llm.sharding import op6_sharding
 from florilege.llm.url_filters import OP8_SQL, op8_url_filters
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
+    "op5_decontamination": op5_decontamination,
+    "op6_sharding": op6_sharding,
     "op8_url_filters": op8_url_filters,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLE_SQL = {
     "op1_secret_scans": OP1_SQL,
+    "op5_decontamination": OP5_SQL,
     "op8_url_filters": OP8_SQL,
+    "op9_mixing": OP9_SQL,
 }

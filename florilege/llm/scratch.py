@@ -36,25 +36,29 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column], out: str, small_rows: int = 1_000_000) -> DataFrame:
+#: Offsets of :func:`ranked` are broadcast up to so many rows (about 100 bytes each).
+BROADCAST_ROWS = 500_000
+
+
+def ranked(df: DataFrame, scratch: Scratch, group: list[str], bucket: Column, order: list[Column], out: str, slim: DataFrame | None = None) -> DataFrame:
     """Add ``out``: the row's 0-based rank within ``group``, ordered by ``bucket`` and then ``order``.
 
     A plain ``row_number`` sorts a whole group in one task. Here each (group, bucket) is numbered by
     itself and the counts of the buckets before it are added, so that a group that holds a third of
     all rows is spread over its buckets. ``bucket`` must be an orderable value of which no single
-    value holds more rows than one task can sort. The counts are broadcast only while they are few.
-    Null group values form a group of their own.
+    value holds more rows than one task can sort. Null group values form a group of their own.
+    ``slim``: the same rows with fewer columns, to count from.
     """
-    tagged = df.withColumn("_bucket", bucket)
     keys = [*group, "_bucket"]
-    counts = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = (slim if slim is not None else df).withColumn("_bucket", bucket).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = tagged.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    right = offsets.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], "_before")
-    on = None
+    offsets = scratch.write(offsets.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], "_before"), f"offsets-{out}")
+    if offsets.count() <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    within = df.withColumn("_bucket", bucket).withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    on = F.lit(True)
     for i, k in enumerate(keys):
-        same = F.col(k).eqNullSafe(F.col(f"_r{i}"))
-        on = same if on is None else on & same
-    joined = within.join(right, on, "left")
+        on = on & F.col(k).eqNullSafe(F.col(f"_r{i}"))
+    joined = within.join(offsets, on, "left")
     return joined.withColumn(out, F.col("_before") + F.col("_rn") - 1).drop("_bucket", "_rn", "_before", *[f"_r{i}" for i in range(len(keys))])
