@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from florilege.llm.decontamination import OP5_SQL, op5_decontamination
+from florilege.llm.jaccard_join import op2_jaccard_join
+from florilege.llm.language_id import op3_language_id
 from florilege.llm.mixing import OP9_SQL, op9_mixing
 from florilege.llm.secret_scans import OP1_SQL, op1_secret_scans
 from florilege.llm.sharding import op6_sharding
@@ -10,6 +12,8 @@ from florilege.llm.url_filters import OP8_SQL, op8_url_filters
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
+    "op2_jaccard_join": op2_jaccard_join,
+    "op3_language_id": op3_language_id,
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
     "op8_url_filters": op8_url_filters,
