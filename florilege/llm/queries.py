@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from florilege.llm.decontamination import OP5_SQL, op5_decontamination
+from florilege.llm.html_extraction import op4_html_extraction
 from florilege.llm.jaccard_join import op2_jaccard_join
 from florilege.llm.language_id import op3_language_id
+from florilege.llm.line_dedup import op7_line_dedup
 from florilege.llm.mixing import OP9_SQL, op9_mixing
+from florilege.llm.nearest import op10_nearest
 from florilege.llm.secret_scans import OP1_SQL, op1_secret_scans
 from florilege.llm.sharding import op6_sharding
 from florilege.llm.url_filters import OP8_SQL, op8_url_filters
@@ -14,10 +17,13 @@ QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_language_id": op3_language_id,
+    "op4_html_extraction": op4_html_extraction,
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
+    "op7_line_dedup": op7_line_dedup,
     "op8_url_filters": op8_url_filters,
     "op9_mixing": op9_mixing,
+    "op10_nearest": op10_nearest,
 }
 
 ORACLE_SQL = {
