@@ -34,6 +34,9 @@ from florilege.llm.scratch import Scratch
 #: A common block of fewer words stays: short lines coincide by chance.
 LEAST_WORDS = 20
 LAST = 2**63 - 1
+#: Texts that lose lines are broadcast up to so many rows (about 100 bytes each); beyond, the join
+#: with the documents shuffles them.
+BROADCAST_ROWS = 200_000
 
 
 def _matches(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -126,7 +129,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     masks = joined.select("cls", "lines", "other", "words", "at").mapInPandas(_align, "cls binary, gone array<int>").where(F.size("gone") > 0)
     masks = masks.groupBy("cls").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
     out = lined.select("cls", "rep", "copies").join(masks, "cls", "left").where("copies > 1 or gone is not null")
-    return scratch.write(out.select("cls", "rep", F.coalesce("gone", F.array().cast("array<int>")).alias("gone")), "removed")
+    removed = scratch.write(out.select("cls", "rep", F.coalesce("gone", F.array().cast("array<int>")).alias("gone")), "removed")
+    return F.broadcast(removed) if removed.count() <= BROADCAST_ROWS else removed
 
 
 def remove_repeated(docs: DataFrame) -> DataFrame:
