@@ -15,9 +15,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     are aggregated before they are joined back, so a node with many neighbours is no hot group.
     """
     now = scratch.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), f"{name}-0")
-    print_of = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).collect()[0])
-    turn, last = 0, print_of(now)
-    while last[0]:
+    turn = 0
+    while not now.join(now.select(F.col("v").alias("w")).distinct(), F.col("u") == F.col("w"), "left_semi").isEmpty() or not now.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        # until the edges are stars: nothing points to a node that points on, and nothing points twice
         turn += 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-{turn}-least")
@@ -26,7 +26,4 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         low = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{turn}-low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         now = scratch.write(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), f"{name}-{turn}")
-        if (new := print_of(now)) == last:
-            break
-        last = new
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

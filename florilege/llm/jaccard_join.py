@@ -21,8 +21,11 @@ connected are never made:
 2. A few segments of each set are looked up first; every class is verified against the two
    best-connected classes it meets there. Most links are found here and form groups.
 3. All segments are looked up. Subsets whose sets are in one group drop out at once; the rest is
-   allocated by cost. A class is first verified against one member of each other group it meets,
-   then, where that failed, against all it meets.
+   allocated by cost. A class is then compared with one member of each other group it meets and,
+   where that did not connect them, with all it meets. Families of texts that are alike, but less
+   than 0.8, meet here in many pairs; a pair is first held against the histograms of its two sets
+   over ``CELLS`` cells, whose common part bounds the intersection from above, and only what
+   they do not refute is verified.
 
 Subsets travel as packed arrays, a partition of the hash space in each row, so that 37 segments
 for a hundred words stay cheap. What comes to the driver are counts.
@@ -50,10 +53,13 @@ from florilege.llm.shingles import digest, mix, shingle_sets
 
 #: Links: NUM * |intersection| >= DEN * |union|.
 NUM, DEN = 100, 80
-#: Segments beyond the pigeonhole's need, as a part of them (one at least).
-SLACK = 0.12
-#: Segments of each band that are also indexed with one element deleted.
-RESERVE = 2
+#: Segments beyond the pigeonhole's need: a part of them, and so many at least.
+SLACK, LEAST_SLACK = 0.12, 3
+#: Reserve segments, also indexed with one element deleted: all while a band has so many or fewer,
+#: then fewer, so that small sets, which a common line can fill, have many.
+RESERVE, LEAST_RESERVE = 16, 2
+#: Cells of the histograms that refute pairs, and sets in a block of them.
+CELLS, BLOCK = 1024, 1000
 #: Segments that the first, quick look-up uses.
 QUICK = 16
 #: Id lists are broadcast up to so many rows of 16 bytes.
@@ -61,7 +67,9 @@ BROADCAST_IDS = 1_000_000
 #: Packed subsets that a task holds before it sends them on.
 FLUSH = 3_000_000
 
-INDEX, PROBE, DELETED, RAISED, LOWER = 1, 2, 4, 8, 16
+INDEX, PROBE, DELETED, LOWER = 1, 2, 4, 8
+#: The segment of a reserve subset stands above these bits; others have NO_SEGMENT there.
+SHIFT, NO_SEGMENT = 4, 63
 
 
 def _bands() -> np.ndarray:
@@ -83,20 +91,24 @@ def _need(s: int, most: int) -> int:
 def _segments(band: int) -> int:
     most = int(BANDS[band + 1]) - 1
     need = _need(most * NUM // DEN, most)
-    return need + max(1, int(np.ceil(SLACK * need)))
+    return need + max(LEAST_SLACK, int(np.ceil(SLACK * need)))
 
 
-def _subsets(hashes: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Names of the m segment subsets; names of the one-deletion subsets, and their segments."""
+def _reserve(m: int) -> int:
+    return m if m <= RESERVE else max(LEAST_RESERVE, RESERVE - (m - RESERVE) // 4)
+
+
+def _subsets(hashes: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names and sizes of the m segment subsets; names of the one-deletion subsets, and their segments."""
     segment = ((hashes >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
     at = np.searchsorted(segment, np.arange(m + 1, dtype=np.uint64))
     salted = mix(hashes, 0x3C)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(salted)))
     content = sums[at[1:]] - sums[at[:-1]]
     where = np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((band + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
-    less = salted[: at[min(RESERVE, m)]]
+    less = salted[: at[_reserve(m)]]
     owner = segment[: len(less)].astype(np.int64)
-    return mix(content + where), mix(content[owner] - less + where[owner]), owner
+    return mix(content + where), np.diff(at), mix(content[owner] - less + where[owner]), owner
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +120,8 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(hashes)), hi.append(a), lo.append(b)
             if len(hashes):
                 band = int(np.searchsorted(BANDS, len(hashes), side="right")) - 1
-                quick.append(_subsets(hashes, band, _segments(band))[0][:QUICK].view(np.int64))
+                names, sizes, _, _ = _subsets(hashes, band, _segments(band))
+                quick.append(names[:QUICK][sizes[:QUICK] > 1].view(np.int64))
             else:
                 quick.append(np.zeros(0, np.int64))
         lists = pa.array(quick, pa.list_(pa.int64()))
@@ -128,10 +141,39 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = next(lefts) if fresh[i] else left
             right = next(rights)
             both = np.intersect1d(left, right, assume_unique=True).size
-            kept.append(NUM * both >= DEN * (len(left) + len(right) - both) and digest(left)[1] == u_lo[i] and digest(right)[1] == v_lo[i])
+            linked = NUM * both >= DEN * (len(left) + len(right) - both)
+            kept.append(linked and digest(left)[1] == u_lo[i] and digest(right)[1] == v_lo[i])
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
 
+def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc_id, n, cells``: how many hashes of the set fall in each cell (255: or more)."""
+    for batch in batches:
+        n, cells = [], []
+        for hashes in shingle_sets(batch.column("text")):
+            n.append(len(hashes))
+            cells.append(np.minimum(np.bincount((hashes % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cells, pa.binary())], ["doc_id", "n", "cells"])
+
+
+def _refute(pairs, sets):
+    """The pairs of one pair of blocks whose histograms leave a link possible."""
+    u, v = pairs.column("u").to_numpy(), pairs.column("v").to_numpy()
+    if not len(u) or not sets.num_rows:
+        return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+    ids, first = np.unique(sets.column("doc_id").to_numpy(), return_index=True)
+    cells = np.frombuffer(b"".join(x.as_py() for x in sets.column("cells").take(pa.array(first))), np.uint8).reshape(-1, CELLS)
+    n = sets.column("n").to_numpy()[first]
+    full = (cells == 255).any(axis=1)
+    a, b = np.searchsorted(ids, u), np.searchsorted(ids, v)
+    keep = np.zeros(len(u), bool)
+    for i in range(0, len(u), 4096):
+        x, y = a[i : i + 4096], b[i : i + 4096]
+        most = np.minimum(cells[x], cells[y]).sum(axis=1, dtype=np.int64)
+        keep[i : i + 4096] = (NUM * most >= DEN * (n[x] + n[y] - most)) | (full[x] & full[y])
+    return pa.table({"u": pa.array(u[keep]), "v": pa.array(v[keep])})
+
+
 class _Packer:
     """Gathers subsets and yields them packed, a row for each partition of the hash space."""
 
@@ -174,7 +216,7 @@ class _Packer:
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     n, e = (int(x) for x in np.frombuffer(blob, np.int64, 2))
     at, out = 16, []
-    for kind, size in ((np.int64, n), (np.int64, n), (np.uint32, n), (np.uint32, n), (np.uint64, e), (np.uint32, e), (np.uint8, e)):
+    for kind, size in ((np.int64, n), (np.int64, n), (np.uint32, n), (np.uint32, n), (np.uint64, e), (np.uint32, e), (np.uint16, e)):
         out.append(np.frombuffer(blob, kind, size, at))
         at += out[-1].nbytes
     ent, comp, own, low, names, local, flags = out
@@ -197,15 +239,14 @@ def _signer(parts: int):
                 names, flags, allow = [], [], [0, 0]
                 for band in range(low, top + 1):
                     m = _segments(band)
-                    allow[band < top] = m - _need(s, int(BANDS[band + 1]) - 1)
-                    whole, less, owner = _subsets(hashes, band, m)
+                    spare = _reserve(m)
+                    allow[band < top] = (m - _need(s, int(BANDS[band + 1]) - 1)) | spare << 16
+                    whole, _, less, owner = _subsets(hashes, band, m)
                     role = INDEX | PROBE if band == top else PROBE | LOWER
-                    kind = np.full(m, role, np.uint8)
-                    kind[:RESERVE] |= RAISED
-                    kind += (np.minimum(np.arange(m), RESERVE) << 5).astype(np.uint8)
+                    at = np.arange(m)
                     names += [whole, less]
-                    flags += [kind, (role | DELETED | RAISED) + (owner << 5).astype(np.uint8)]
-                packer.add(ent, comp, tuple(allow), np.concatenate(names), np.concatenate(flags).astype(np.uint8))
+                    flags += [role + (np.where(at < spare, at, NO_SEGMENT) << SHIFT), (role | DELETED) + (owner << SHIFT)]
+                packer.add(ent, comp, tuple(allow), np.concatenate(names), np.concatenate(flags).astype(np.uint16))
                 if packer.held >= FLUSH:
                     yield from packer.flush()
         yield from packer.flush()
@@ -229,6 +270,33 @@ def _meet(table):
     return pa.table([kept(names.view(np.int64), pa.int64()), kept(ent, pa.int64()), kept(comp, pa.int64()), kept(allow.astype(np.int32), pa.int32()), kept(flags.astype(np.int32), pa.int32()), kept(np.repeat(index, size), pa.int64())], ["name", "ent", "comp", "allow", "flags", "met"])
 
 
+def _allocate(table):
+    """For the sets of one partition, what each still looks up after the cost-based allocation."""
+    name, ent, comp, allow, flags, met = (table.column(c).to_numpy() for c in ("name", "ent", "comp", "allow", "flags", "met"))
+    deleted, segment = flags & DELETED > 0, flags >> SHIFT
+    order = np.lexsort((name, -met, deleted, flags & LOWER, ent))  # of each set and band: whole subsets first, the most frequent ahead
+    key_ent, key_low = ent[order], (flags & LOWER)[order]
+    begin = np.flatnonzero(np.concatenate(([True], (key_ent[1:] != key_ent[:-1]) | (key_low[1:] != key_low[:-1]))))
+    end = np.append(begin[1:], len(order))
+    whole = np.add.reduceat((~deleted[order]).astype(np.int64), begin)
+    live, raised_at = [], []
+    for i in np.flatnonzero(whole > (allow[order][begin] & 0xFFFF)):  # the others skip all that they share
+        rows = order[begin[i] : end[i]]
+        skips, spare = int(allow[rows[0]]) & 0xFFFF, int(allow[rows[0]]) >> 16
+        cost = np.bincount(segment[rows][segment[rows] < NO_SEGMENT], met[rows][segment[rows] < NO_SEGMENT], NO_SEGMENT)[:spare]
+        offers, raised = np.argsort(cost, kind="stable"), 0
+        while raised < spare and skips + raised < whole[i] and cost[offers[raised]] < met[rows[skips + raised]]:
+            raised += 1
+        up = np.isin(segment[rows], offers[:raised])
+        place = np.arange(len(rows))
+        active = up | (~deleted[rows] & (place >= skips + raised))
+        live.append(rows[active])
+        raised_at.append(up[active])
+    at = np.concatenate(live) if live else np.zeros(0, np.int64)
+    up = np.concatenate(raised_at) if live else np.zeros(0, bool)
+    return pa.table([pa.array(name[at]), pa.array(ent[at]), pa.array(comp[at]), pa.array(deleted[at]), pa.array(up)], ["name", "ent", "comp", "deleted", "up"])
+
+
 MET = "name long, ent long, comp long, allow int, flags int, met long"
 
 
@@ -253,25 +321,38 @@ class _Join:
         """The links among ``pairs`` (``u, v``: representatives)."""
         self.turn += 1
         pairs = self.scratch.write(pairs, f"pairs-{self.turn}")
-        ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-        ids = self.scratch.write(ids, f"ids-{self.turn}")
-        texts = self.docs.join(_few(ids), "doc_id", "left_semi")
-        named = self.classes.select("rep", "lo")
-        with_lo = pairs.join(named.toDF("u", "u_lo"), "u").join(named.toDF("v", "v_lo"), "v")
-        rows = with_lo.join(texts.toDF("v", "v_text"), "v").join(texts.toDF("u", "u_text"), "u")
-        links = rows.select("u", "v", "u_lo", "v_lo", "u_text", "v_text").mapInArrow(verify, "u long, v long").distinct()
+        ids = pairs.select(F.col("u").alias("rep")).unionByName(pairs.select(F.col("v").alias("rep"))).distinct()
+        ids = ids.join(self.classes.select("rep", "lo"), "rep").select(F.col("rep").alias("doc_id"), "lo")
+        few = F.broadcast(ids) if pairs.count() <= BROADCAST_IDS // 2 else ids
+        texts = self.docs.join(few, "doc_id").select("doc_id", "lo", "text")
+        rows = pairs.join(texts.toDF("v", "v_lo", "v_text"), "v").join(texts.toDF("u", "u_lo", "u_text"), "u")
+        links = rows.select("u", "v", "u_lo", "v_lo", "u_text", "v_text").mapInArrow(verify, "u long, v long")
         return self.scratch.write(links, f"links-{self.turn}")
 
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The ``pairs`` that the histograms of their sets do not refute."""
+        self.turn += 1
+        pairs = self.scratch.write(pairs, f"met-pairs-{self.turn}")
+        ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
+        ids = self.scratch.write(ids, f"met-ids-{self.turn}")
+        n = ids.count()
+        few = F.broadcast(ids) if n <= BROADCAST_IDS else ids
+        sets = self.docs.join(few, "doc_id", "left_semi").mapInArrow(_histograms, "doc_id long, n long, cells binary")
+        blocks = -(-n // BLOCK) or 1
+        block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+        dealt = pairs.select("u", "v", block("u").alias("i"), block("v").alias("j"))
+        used = self.scratch.write(dealt.select("i", "j").distinct(), f"met-blocks-{self.turn}")
+        ends = used.select("i", "j", F.col("i").alias("b")).unionByName(used.select("i", "j", F.col("j").alias("b"))).distinct()
+        held = sets.withColumn("b", block("doc_id")).join(ends, "b").select(F.col("i").alias("si"), F.col("j").alias("sj"), "doc_id", "n", "cells")
+        return dealt.groupBy("i", "j").cogroup(held.groupBy("si", "sj")).applyInArrow(_refute, "u long, v long")
+
     def quick_pairs(self) -> DataFrame:
-        """Each class with the two best-connected classes among those it shares quick subsets with."""
-        entries = self.scratch.write(self.classes.select("rep", "n", F.explode("quick").alias("name")), "quick")
-        counts = self.scratch.write(entries.groupBy("name").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "quick-counts")
-        shared = self.scratch.write(entries.join(counts, "name"), "quick-shared")
-        degree = self.scratch.write(shared.groupBy("rep").agg(F.sum("c").alias("degree")), "quick-degree")
-        ranked = shared.join(degree, "rep").select("name", "n", "rep", F.struct("degree", (-F.col("rep")).alias("first"), "n").alias("place"))
-        lead = self.scratch.write(ranked.groupBy("name").agg(F.max("place").alias("lead")), "quick-leads")
-        met = ranked.join(lead, "name").where((F.col("place") < F.col("lead")) & (F.least("n", F.col("lead.n")) * NUM >= F.greatest("n", F.col("lead.n")) * DEN))
-        votes = met.groupBy(F.col("rep").alias("v"), (-F.col("lead.first")).alias("u")).agg(F.count(F.lit(1)).alias("c"))
+        """Each class with the two it shares most quick subsets with, of those that lead a subset (smallest id)."""
+        entries = self.classes.select("rep", "n", F.explode("quick").alias("name"))
+        leads = entries.groupBy("name").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rep", "n")).alias("lead")).where("c > 1").drop("c")
+        met = entries.join(self.scratch.write(leads, "leads"), "name").where(F.col("rep") != F.col("lead.rep"))
+        met = met.where(F.least("n", F.col("lead.n")) * NUM >= F.greatest("n", F.col("lead.n")) * DEN)
+        votes = met.groupBy(F.col("rep").alias("v"), F.col("lead.rep").alias("u")).agg(F.count(F.lit(1)).alias("c"))
         best = votes.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy(F.desc("c"), "u")))
         return best.where("r <= 2").select("u", "v")
 
@@ -290,38 +371,30 @@ class _Join:
 
     def allocated(self, met: DataFrame) -> DataFrame:
         """The look-ups that remain once every set has skipped its most frequent subsets."""
-        side = (F.col("flags").bitwiseAND(F.lit(LOWER))).alias("side")
-        segment = F.shiftright("flags", 5).alias("segment")
-        is_deleted = F.col("flags").bitwiseAND(F.lit(DELETED)) > 0
-        probing = met.where(F.col("flags").bitwiseAND(F.lit(PROBE)) > 0).select("*", side, segment, is_deleted.alias("deleted"))
-        key = ["ent", "side"]
-        whole = probing.where("not deleted").withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("met"), "name")))
-        sets = probing.groupBy(*key).agg(F.max("allow").alias("allow"), *[F.sum(F.when(F.col("deleted") & (F.col("segment") == i), F.col("met")).otherwise(0)).alias(f"cost{i}") for i in range(RESERVE)])
-        costs = F.array_sort(F.array(*[F.struct(F.col(f"cost{i}").alias("cost"), F.lit(i).alias("raised")) for i in range(RESERVE)]))
-        options = sets.select(*key, "allow", F.posexplode(costs).alias("j", "option")).select(*key, (F.col("allow") + F.col("j") + 1).alias("r"), "option.*")
-        raised = options.join(whole.select(*key, "r", "met"), [*key, "r"]).where(F.col("cost") < F.col("met")).groupBy(*key).agg(F.collect_list("raised").alias("raised"))
-        live = probing.join(whole.select(*key, "name", "r"), [*key, "name"], "left").join(sets.select(*key, F.col("allow").alias("skips")), key).join(raised, key, "left")
-        up = F.coalesce(F.array_contains("raised", F.col("segment")), F.lit(False))
-        active = (~F.col("deleted") & (F.col("r") > F.col("skips") + F.coalesce(F.size("raised"), F.lit(0)))) | up
-        return live.where(active).select("name", "ent", "comp", "deleted", up.alias("up"))
+        parts = 2 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        probing = met.where(F.col("flags").bitwiseAND(F.lit(PROBE)) > 0).withColumn("part", F.pmod(F.xxhash64("ent"), F.lit(parts)))
+        return probing.groupBy("part").applyInArrow(_allocate, "name long, ent long, comp long, deleted boolean, up boolean")
 
     def run(self) -> DataFrame:
         """``u, v``: enough links between representatives to connect all that are connected."""
         links = self.verified(self.quick_pairs())
         groups = self.scratch.write(components(links, self.scratch, "quick"), "groups-1")
         met = self.met(groups)
-        looks = self.scratch.write(self.allocated(met), "looks").alias("s")
+        looks = self.scratch.write(self.allocated(met), "looks")
+        met = met.join(_few(looks.select("name").distinct()), "name", "left_semi")
+        looks = looks.alias("s")
         index = met.where(F.col("flags").bitwiseAND(F.lit(INDEX)) > 0).select("name", "ent", "comp", (F.col("flags").bitwiseAND(F.lit(DELETED)) > 0).alias("deleted"))
         sizes = self.classes.select("rep", "n")
         fits = F.expr("not (s.deleted and i.deleted) and (s.up or not i.deleted) and s.comp <> i.comp")
         similar = (F.least("n", "m") * NUM >= F.greatest("n", "m") * DEN) & (F.col("u") != F.col("v"))
 
         # one member of each other group first
+        index = self.scratch.write(index, "index")
         heads = self.scratch.write(index.groupBy("name", "comp", "deleted").agg(F.min("ent").alias("ent")), "heads").alias("i")
         first = looks.join(heads, "name").where(fits).groupBy(F.col("s.ent").alias("v"), F.col("i.comp").alias("to"), F.col("i.ent").alias("u")).agg(F.count(F.lit(1)).alias("c"))
         best = first.groupBy("v", "to").agg(F.max(F.struct("c", (-F.col("u")).alias("u")))["u"].alias("u"))
         tried = best.select((-F.col("u")).alias("u"), "v").join(sizes.toDF("u", "n"), "u").join(sizes.toDF("v", "m"), "v").where(similar).select("u", "v")
-        more = self.verified(tried)
+        more = self.verified(self.possible(tried))
         links = links.unionByName(more)
         now = self.scratch.write(components(links, self.scratch, "second"), "groups-2")
 
@@ -333,7 +406,7 @@ class _Join:
         rest = s.join(i, "name").where(fits).select(F.col("s.ent").alias("v"), F.col("i.ent").alias("u")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         done = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         rest = rest.join(done, ["u", "v"], "left_anti").join(sizes.toDF("u", "n"), "u").join(sizes.toDF("v", "m"), "v").where(similar).select("u", "v")
-        return links.unionByName(self.verified(rest))
+        return links.unionByName(self.verified(self.possible(rest)))
 
 
 def join_components(docs: DataFrame) -> DataFrame:
