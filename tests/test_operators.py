@@ -186,3 +186,19 @@ def test_empty_tables(spark):
     assert documents.duplicate_groups(none, "doc_id", "text").count() == 0
     assert documents.chunks(none, "doc_id", "text").count() == 0
     assert retrieval.document_frequency(none, "text", "doc_id").count() == 0
+
+
+def test_locate_verdicts(spark):
+    from florilege.functions.references import locate
+
+    df = spark.createDataFrame([(1, "a  b c", "a  b"), (2, "a  b\nc", "a b c"), (3, "alpha beta gamma", "alpha beta delta"), (4, "x", "quite other"), (5, None, "y"), (6, "z", None)], "id long, t string, s string")
+    got = {r["id"]: (r["verdict"], r["start"]) for r in locate(df, "id", "t", "s").collect()}
+    assert got == {1: ("exact", 0), 2: ("collapsed", 0), 3: ("partial", 0), 4: ("absent", -1), 5: ("absent", -1), 6: ("absent", -1)}
+
+
+def test_clusters_on_a_long_chain(spark):
+    from florilege.operators.clusters import shared_target_clusters
+
+    edges = [(i, f"t{i}") for i in range(40)] + [(i + 1, f"t{i}") for i in range(39)] + [(100, "u"), (101, "u"), (102, "v")]
+    got = dict(values(shared_target_clusters(spark.createDataFrame(edges, "a int, b string"), "a", "b")))
+    assert got == {**{i: 0 for i in range(40)}, 100: 100, 101: 100, 102: 102}
