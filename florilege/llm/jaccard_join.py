@@ -22,10 +22,11 @@ connected are never made:
    best-connected classes it meets there. Most links are found here and form groups.
 3. All segments are looked up. Subsets whose sets are in one group drop out at once; the rest is
    allocated by cost. A class is then compared with one member of each other group it meets and,
-   where that did not connect them, with all it meets. Families of texts that are alike, but less
-   than 0.8, meet here in many pairs; a pair is first held against the histograms of its two sets
-   over ``CELLS`` cells, whose common part bounds the intersection from above, and only what
-   they do not refute is verified.
+   where that did not connect them, with all the members it meets. Families of texts that are
+   alike, but less than 0.8, meet here: sets are dealt into blocks, families together, and within a
+   pair of blocks each pair of sets that share a subset is held once against the histograms of the
+   two over ``CELLS`` cells, whose common part bounds the intersection from above. Only pairs that
+   this does not refute leave the task; they are verified on the texts.
 
 Subsets travel as packed arrays, a partition of the hash space in each row, so that 37 segments
 for a hundred words stay cheap. What comes to the driver are counts.
@@ -59,13 +60,13 @@ SLACK, LEAST_SLACK = 0.12, 3
 #: then fewer, so that small sets, which a common line can fill, have many.
 RESERVE, LEAST_RESERVE = 16, 2
 #: Cells of the histograms that refute pairs, and sets in a block of them.
-CELLS, BLOCK = 1024, 1000
+CELLS, BLOCK = 1024, 4000
 #: Segments that the first, quick look-up uses.
 QUICK = 16
 #: Id lists are broadcast up to so many rows of 16 bytes.
 BROADCAST_IDS = 1_000_000
 #: Packed subsets that a task holds before it sends them on.
-FLUSH = 3_000_000
+FLUSH = 800_000
 
 INDEX, PROBE, DELETED, LOWER = 1, 2, 4, 8
 #: The segment of a reserve subset stands above these bits; others have NO_SEGMENT there.
@@ -156,22 +157,50 @@ def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cells, pa.binary())], ["doc_id", "n", "cells"])
 
 
-def _refute(pairs, sets):
-    """The pairs of one pair of blocks whose histograms leave a link possible."""
-    u, v = pairs.column("u").to_numpy(), pairs.column("v").to_numpy()
-    if not len(u) or not sets.num_rows:
-        return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-    ids, first = np.unique(sets.column("doc_id").to_numpy(), return_index=True)
-    cells = np.frombuffer(b"".join(x.as_py() for x in sets.column("cells").take(pa.array(first))), np.uint8).reshape(-1, CELLS)
-    n = sets.column("n").to_numpy()[first]
+def _compare(table):
+    """Pairs of one pair of blocks that share a subset and that their histograms do not refute."""
+    kind = table.column("kind").to_numpy()
+    pick = lambda k: table.filter(pa.array(kind == k))
+    looks, index, sets = pick(0), pick(1), pick(2)
+    none = pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+    if not looks.num_rows or not index.num_rows or not sets.num_rows:
+        return none
+    ids, first = np.unique(sets.column("ent").to_numpy(), return_index=True)
+    cells = np.frombuffer(b"".join(x.as_py() for x in sets.column("cells").take(pa.array(first)).combine_chunks()), np.uint8).reshape(-1, CELLS)
+    n = sets.column("n").to_numpy()[first].astype(np.int64)
     full = (cells == 255).any(axis=1)
-    a, b = np.searchsorted(ids, u), np.searchsorted(ids, v)
-    keep = np.zeros(len(u), bool)
-    for i in range(0, len(u), 4096):
-        x, y = a[i : i + 4096], b[i : i + 4096]
-        most = np.minimum(cells[x], cells[y]).sum(axis=1, dtype=np.int64)
-        keep[i : i + 4096] = (NUM * most >= DEN * (n[x] + n[y] - most)) | (full[x] & full[y])
-    return pa.table({"u": pa.array(u[keep]), "v": pa.array(v[keep])})
+    order = np.argsort(index.column("name").to_numpy(), kind="stable")
+    column = lambda t, c, at=slice(None): t.column(c).to_numpy(zero_copy_only=False)[at] if isinstance(t.column(c), pa.Array) else t.column(c).to_numpy()[at]
+    i_name, i_ent, i_comp, i_del = (column(index, c, order) for c in ("name", "ent", "comp", "deleted"))
+    s_name, s_ent, s_comp, s_del, s_up = (column(looks, c) for c in ("name", "ent", "comp", "deleted", "up"))
+    us, a = np.unique(np.searchsorted(ids, i_ent), return_inverse=True)
+    vs, b = np.unique(np.searchsorted(ids, s_ent), return_inverse=True)
+    seen = np.zeros(len(us) * len(vs), bool)
+    low, high = np.searchsorted(i_name, s_name, "left"), np.searchsorted(i_name, s_name, "right")
+    ends = np.cumsum(high - low)
+    out_u, out_v, at = [], [], 0
+    while at < len(s_name):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2_000_000, "right")))
+        count = (high - low)[at:to]
+        s = np.repeat(np.arange(at, to), count)
+        i = np.arange(len(s)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[at:to], count)
+        at = to
+        fit = ~(s_del[s] & i_del[i]) & (s_up[s] | ~i_del[i]) & (s_comp[s] != i_comp[i])
+        code = np.unique(a[i[fit]] * len(vs) + b[s[fit]])
+        code = code[~seen[code]]
+        seen[code] = True
+        x, y = us[code // len(vs)], vs[code % len(vs)]
+        near = np.minimum(n[x], n[y]) * NUM >= np.maximum(n[x], n[y]) * DEN
+        x, y = x[near], y[near]
+        for k in range(0, len(x), 4096):
+            p, q = x[k : k + 4096], y[k : k + 4096]
+            most = np.minimum(cells[p], cells[q]).sum(axis=1, dtype=np.int64)
+            keep = (NUM * most >= DEN * (n[p] + n[q] - most)) | (full[p] & full[q])
+            out_u.append(ids[p[keep]])
+            out_v.append(ids[q[keep]])
+    if not out_u:
+        return none
+    return pa.table({"u": pa.array(np.concatenate(out_u)), "v": pa.array(np.concatenate(out_v))})
 
 
 class _Packer:
@@ -179,14 +208,14 @@ class _Packer:
 
     def __init__(self, parts: int):
         self.parts = parts
-        self.docs: list[tuple[int, int, int, int]] = []
+        self.docs: list[tuple[int, int, int, int, int]] = []
         self.names: list[np.ndarray] = []
         self.flags: list[np.ndarray] = []
         self.counts: list[int] = []
         self.held = 0
 
-    def add(self, ent: int, comp: int, allow: tuple[int, int], names: np.ndarray, flags: np.ndarray) -> None:
-        self.docs.append((ent, comp, *allow))
+    def add(self, ent: int, comp: int, n: int, allow: tuple[int, int], names: np.ndarray, flags: np.ndarray) -> None:
+        self.docs.append((ent, comp, n, *allow))
         self.names.append(names)
         self.flags.append(flags)
         self.counts.append(len(names))
@@ -208,7 +237,7 @@ class _Packer:
                 used, local = np.unique(owner[at], return_inverse=True)
                 head = np.array([len(used), len(at)], np.int64)
                 table = docs[used]
-                rows.append((p, b"".join((head.tobytes(), table[:, 0].tobytes(), table[:, 1].tobytes(), table[:, 2].astype(np.uint32).tobytes(), table[:, 3].astype(np.uint32).tobytes(), names[at].tobytes(), local.astype(np.uint32).tobytes(), flags[at].tobytes()))))
+                rows.append((p, b"".join((head.tobytes(), table[:, 0].tobytes(), table[:, 1].tobytes(), *(table[:, c].astype(np.uint32).tobytes() for c in (2, 3, 4)), names[at].tobytes(), local.astype(np.uint32).tobytes(), flags[at].tobytes()))))
         self.__init__(self.parts)
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "packed"])
 
@@ -216,12 +245,12 @@ class _Packer:
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     n, e = (int(x) for x in np.frombuffer(blob, np.int64, 2))
     at, out = 16, []
-    for kind, size in ((np.int64, n), (np.int64, n), (np.uint32, n), (np.uint32, n), (np.uint64, e), (np.uint32, e), (np.uint16, e)):
+    for kind, size in ((np.int64, n), (np.int64, n), (np.uint32, n), (np.uint32, n), (np.uint32, n), (np.uint64, e), (np.uint32, e), (np.uint16, e)):
         out.append(np.frombuffer(blob, kind, size, at))
         at += out[-1].nbytes
-    ent, comp, own, low, names, local, flags = out
+    ent, comp, sizes, own, low, names, local, flags = out
     allow = np.where(flags & LOWER > 0, low[local], own[local])
-    return names, ent[local], comp[local], allow, flags
+    return names, ent[local], comp[local], sizes[local], allow, flags
 
 
 def _signer(parts: int):
@@ -240,13 +269,13 @@ def _signer(parts: int):
                 for band in range(low, top + 1):
                     m = _segments(band)
                     spare = _reserve(m)
-                    allow[band < top] = (m - _need(s, int(BANDS[band + 1]) - 1)) | spare << 16
+                    allow[band < top] = min(m - _need(s, int(BANDS[band + 1]) - 1), 0xFFFF) | spare << 16  # to skip fewer is safe
                     whole, _, less, owner = _subsets(hashes, band, m)
                     role = INDEX | PROBE if band == top else PROBE | LOWER
                     at = np.arange(m)
                     names += [whole, less]
                     flags += [role + (np.where(at < spare, at, NO_SEGMENT) << SHIFT), (role | DELETED) + (owner << SHIFT)]
-                packer.add(ent, comp, tuple(allow), np.concatenate(names), np.concatenate(flags).astype(np.uint16))
+                packer.add(ent, comp, s, tuple(allow), np.concatenate(names), np.concatenate(flags).astype(np.uint16))
                 if packer.held >= FLUSH:
                     yield from packer.flush()
         yield from packer.flush()
@@ -256,9 +285,9 @@ def _signer(parts: int):
 
 def _meet(table):
     """The subsets of one partition that sets of two groups share, one of them looking it up."""
-    names, ent, comp, allow, flags = (np.concatenate(x) for x in zip(*(_unpack(b.as_py()) for b in table.column("packed")), strict=True))
+    names, ent, comp, sizes, allow, flags = (np.concatenate(x) for x in zip(*(_unpack(b.as_py()) for b in table.column("packed")), strict=True))
     order = np.argsort(names, kind="stable")
-    names, ent, comp, allow, flags = names[order], ent[order], comp[order], allow[order], flags[order]
+    names, ent, comp, sizes, allow, flags = names[order], ent[order], comp[order], sizes[order], allow[order], flags[order]
     begin = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
     size = np.diff(np.concatenate((begin, [len(names)])))
     other = np.maximum.reduceat(comp, begin) != np.minimum.reduceat(comp, begin)
@@ -267,12 +296,12 @@ def _meet(table):
     looked = np.maximum.reduceat((flags & PROBE > 0).astype(np.int64), begin)
     keep = np.repeat(other & (index > 0) & (whole > 0) & (looked > 0), size)
     kept = lambda x, kind: pa.array(x[keep], kind)
-    return pa.table([kept(names.view(np.int64), pa.int64()), kept(ent, pa.int64()), kept(comp, pa.int64()), kept(allow.astype(np.int32), pa.int32()), kept(flags.astype(np.int32), pa.int32()), kept(np.repeat(index, size), pa.int64())], ["name", "ent", "comp", "allow", "flags", "met"])
+    return pa.table([kept(names.view(np.int64), pa.int64()), kept(ent, pa.int64()), kept(comp, pa.int64()), kept(sizes.astype(np.int32), pa.int32()), kept(allow.astype(np.int32), pa.int32()), kept(flags.astype(np.int32), pa.int32()), kept(np.repeat(index, size), pa.int64())], ["name", "ent", "comp", "n", "allow", "flags", "met"])
 
 
 def _allocate(table):
     """For the sets of one partition, what each still looks up after the cost-based allocation."""
-    name, ent, comp, allow, flags, met = (table.column(c).to_numpy() for c in ("name", "ent", "comp", "allow", "flags", "met"))
+    name, ent, comp, sizes, allow, flags, met = (table.column(c).to_numpy() for c in ("name", "ent", "comp", "n", "allow", "flags", "met"))
     deleted, segment = flags & DELETED > 0, flags >> SHIFT
     order = np.lexsort((name, -met, deleted, flags & LOWER, ent))  # of each set and band: whole subsets first, the most frequent ahead
     key_ent, key_low = ent[order], (flags & LOWER)[order]
@@ -294,10 +323,10 @@ def _allocate(table):
         raised_at.append(up[active])
     at = np.concatenate(live) if live else np.zeros(0, np.int64)
     up = np.concatenate(raised_at) if live else np.zeros(0, bool)
-    return pa.table([pa.array(name[at]), pa.array(ent[at]), pa.array(comp[at]), pa.array(deleted[at]), pa.array(up)], ["name", "ent", "comp", "deleted", "up"])
+    return pa.table([pa.array(name[at]), pa.array(ent[at]), pa.array(comp[at]), pa.array(sizes[at]), pa.array(deleted[at]), pa.array(up)], ["name", "ent", "comp", "n", "deleted", "up"])
 
 
-MET = "name long, ent long, comp long, allow int, flags int, met long"
+MET = "name long, ent long, comp long, n int, allow int, flags int, met long"
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -329,22 +358,43 @@ class _Join:
         links = rows.select("u", "v", "u_lo", "v_lo", "u_text", "v_text").mapInArrow(verify, "u long, v long")
         return self.scratch.write(links, f"links-{self.turn}")
 
-    def possible(self, pairs: DataFrame) -> DataFrame:
-        """The ``pairs`` that the histograms of their sets do not refute."""
+    def possible(self, looks: DataFrame, index: DataFrame) -> DataFrame:
+        """Pairs of ``looks`` and ``index`` (``name, ent, comp, n, deleted``; ``looks`` with ``up``)
+        that share a subset and that their histograms do not refute.
+
+        Sets are dealt into blocks of about ``BLOCK``, those that meet the same smallest set
+        together, so that families stay in one block and most subsets in few. A pair of blocks is
+        one group, in which a pair of sets is made once, whatever the number of subsets it shares.
+        """
         self.turn += 1
-        pairs = self.scratch.write(pairs, f"met-pairs-{self.turn}")
-        ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-        ids = self.scratch.write(ids, f"met-ids-{self.turn}")
-        n = ids.count()
-        few = F.broadcast(ids) if n <= BROADCAST_IDS else ids
-        sets = self.docs.join(few, "doc_id", "left_semi").mapInArrow(_histograms, "doc_id long, n long, cells binary")
-        blocks = -(-n // BLOCK) or 1
-        block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-        dealt = pairs.select("u", "v", block("u").alias("i"), block("v").alias("j"))
-        used = self.scratch.write(dealt.select("i", "j").distinct(), f"met-blocks-{self.turn}")
-        ends = used.select("i", "j", F.col("i").alias("b")).unionByName(used.select("i", "j", F.col("j").alias("b"))).distinct()
-        held = sets.withColumn("b", block("doc_id")).join(ends, "b").select(F.col("i").alias("si"), F.col("j").alias("sj"), "doc_id", "n", "cells")
-        return dealt.groupBy("i", "j").cogroup(held.groupBy("si", "sj")).applyInArrow(_refute, "u long, v long")
+        looks, index = looks.select("name", "ent", "comp", "n", "deleted", "up"), index.select("name", "ent", "comp", "n", "deleted", F.lit(False).alias("up"))
+        both = looks.withColumn("kind", F.lit(0)).unionByName(index.withColumn("kind", F.lit(1)))
+        lead = self.scratch.write(both.groupBy("name").agg(F.min("ent").alias("lead")), f"leads-{self.turn}")
+        placed = both.join(lead, "name").groupBy("ent").agg(F.min("lead").alias("lead"), F.max("n").alias("n"))
+        placed = self.scratch.write(placed, f"placed-{self.turn}")
+        crowd = self.scratch.write(placed.groupBy("lead").agg(F.count(F.lit(1)).alias("c")), f"crowds-{self.turn}")
+        total = placed.count()
+        if not total:
+            return self.spark.createDataFrame([], "u long, v long")
+        parts = -(-total // BLOCK)
+        # a small crowd goes where its lead's hash says, a large one is cut up
+        cut = F.pmod(F.xxhash64("ent"), F.ceil(F.col("c") / BLOCK))
+        blocks = placed.join(crowd, "lead").select("ent", "n", F.when(F.col("c") > BLOCK, F.xxhash64("lead", cut)).otherwise(F.pmod(F.xxhash64("lead"), F.lit(parts))).alias("b"))
+        blocks = self.scratch.write(blocks, f"blocks-{self.turn}")
+        few = F.broadcast(blocks.select("ent", "b")) if total <= BROADCAST_IDS else blocks.select("ent", "b")
+        entries = self.scratch.write(both.join(few, "ent"), f"entries-{self.turn}")
+        side = lambda k, name: entries.where(F.col("kind") == k).select("name", F.col("b").alias(name)).distinct()
+        meet = self.scratch.write(side(0, "bv").join(side(1, "bu"), "name"), f"meet-{self.turn}")
+        mine = F.when(F.col("kind") == 0, F.col("bv")).otherwise(F.col("bu"))
+        dealt = entries.join(meet, "name").where(F.col("b") == mine).select("bv", "bu", "kind", "name", "ent", "comp", "n", "deleted", "up")
+        dealt = self.scratch.write(dealt, f"dealt-{self.turn}")
+        ids = F.broadcast(blocks.select("ent")) if total <= BROADCAST_IDS else blocks.select("ent")
+        cells = self.docs.join(ids, F.col("doc_id") == F.col("ent"), "left_semi").mapInArrow(_histograms, "doc_id long, n long, cells binary")
+        cells = cells.groupBy("doc_id").agg(F.first("cells").alias("cells"))
+        sets = dealt.select("bv", "bu", "ent", "n").distinct().join(cells.withColumnRenamed("doc_id", "ent"), "ent")
+        empty = {"kind": F.lit(2), "name": F.lit(0).cast("long"), "comp": F.lit(0).cast("long"), "deleted": F.lit(False), "up": F.lit(False)}
+        rows = dealt.withColumn("cells", F.lit(None).cast("binary")).unionByName(sets.withColumns(empty))
+        return rows.groupBy("bv", "bu").applyInArrow(_compare, "u long, v long")
 
     def quick_pairs(self) -> DataFrame:
         """Each class with the two it shares most quick subsets with, of those that lead a subset (smallest id)."""
@@ -373,7 +423,7 @@ class _Join:
         """The look-ups that remain once every set has skipped its most frequent subsets."""
         parts = 2 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         probing = met.where(F.col("flags").bitwiseAND(F.lit(PROBE)) > 0).withColumn("part", F.pmod(F.xxhash64("ent"), F.lit(parts)))
-        return probing.groupBy("part").applyInArrow(_allocate, "name long, ent long, comp long, deleted boolean, up boolean")
+        return probing.groupBy("part").applyInArrow(_allocate, "name long, ent long, comp long, n int, deleted boolean, up boolean")
 
     def run(self) -> DataFrame:
         """``u, v``: enough links between representatives to connect all that are connected."""
@@ -382,31 +432,20 @@ class _Join:
         met = self.met(groups)
         looks = self.scratch.write(self.allocated(met), "looks")
         met = met.join(_few(looks.select("name").distinct()), "name", "left_semi")
-        looks = looks.alias("s")
-        index = met.where(F.col("flags").bitwiseAND(F.lit(INDEX)) > 0).select("name", "ent", "comp", (F.col("flags").bitwiseAND(F.lit(DELETED)) > 0).alias("deleted"))
-        sizes = self.classes.select("rep", "n")
-        fits = F.expr("not (s.deleted and i.deleted) and (s.up or not i.deleted) and s.comp <> i.comp")
-        similar = (F.least("n", "m") * NUM >= F.greatest("n", "m") * DEN) & (F.col("u") != F.col("v"))
-
-        # one member of each other group first
+        index = met.where(F.col("flags").bitwiseAND(F.lit(INDEX)) > 0).select("name", "ent", "comp", "n", (F.col("flags").bitwiseAND(F.lit(DELETED)) > 0).alias("deleted"))
         index = self.scratch.write(index, "index")
-        heads = self.scratch.write(index.groupBy("name", "comp", "deleted").agg(F.min("ent").alias("ent")), "heads").alias("i")
-        first = looks.join(heads, "name").where(fits).groupBy(F.col("s.ent").alias("v"), F.col("i.comp").alias("to"), F.col("i.ent").alias("u")).agg(F.count(F.lit(1)).alias("c"))
-        best = first.groupBy("v", "to").agg(F.max(F.struct("c", (-F.col("u")).alias("u")))["u"].alias("u"))
-        tried = best.select((-F.col("u")).alias("u"), "v").join(sizes.toDF("u", "n"), "u").join(sizes.toDF("v", "m"), "v").where(similar).select("u", "v")
-        more = self.verified(self.possible(tried))
-        links = links.unionByName(more)
+        # one member of each other group first; of a group of one that is all
+        single = index.join(groups.select("comp").distinct(), "comp", "left_anti")
+        several = self.scratch.write(index.join(groups.select("comp").distinct(), "comp", "left_semi"), "several")
+        heads = several.groupBy("name", "comp", "deleted").agg(F.min_by(F.struct("ent", "n"), "ent").alias("h")).select("name", "h.ent", "comp", "h.n", "deleted")
+        links = links.unionByName(self.verified(self.possible(looks, single.unionByName(heads))))
         now = self.scratch.write(components(links, self.scratch, "second"), "groups-2")
 
-        # then all that are still apart
+        # then all members of groups of several that are still apart
         def labelled(df: DataFrame) -> DataFrame:
             return df.join(now.select(F.col("node").alias("ent"), F.col("comp").alias("new")), "ent", "left").withColumn("comp", F.coalesce("new", "ent")).drop("new")
 
-        s, i = labelled(looks.select("name", "ent", "deleted", "up")).alias("s"), labelled(index.drop("comp")).alias("i")
-        rest = s.join(i, "name").where(fits).select(F.col("s.ent").alias("v"), F.col("i.ent").alias("u")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        done = tried.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        rest = rest.join(done, ["u", "v"], "left_anti").join(sizes.toDF("u", "n"), "u").join(sizes.toDF("v", "m"), "v").where(similar).select("u", "v")
-        return links.unionByName(self.verified(self.possible(rest)))
+        return links.unionByName(self.verified(self.possible(labelled(looks), labelled(several))))
 
 
 def join_components(docs: DataFrame) -> DataFrame:
@@ -418,6 +457,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     moved = comps.where("node <> comp").select(F.col("node").alias("rep"), "comp")
     classes = job.classes.select("n", "hi", "lo", "rep").join(moved, "rep", "left").select("n", "hi", "lo", F.coalesce("comp", "rep").alias("component_id"))
     classes = job.scratch.write(classes, "class-components")
+    job.scratch.keep_only("base", "class-components")
     out = job.base.select("doc_id", "n", "hi", "lo").join(classes, ["n", "hi", "lo"], "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

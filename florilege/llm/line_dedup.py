@@ -130,6 +130,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     masks = masks.groupBy("cls").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
     out = lined.select("cls", "rep", "copies").join(masks, "cls", "left").where("copies > 1 or gone is not null")
     removed = scratch.write(out.select("cls", "rep", F.coalesce("gone", F.array().cast("array<int>")).alias("gone")), "removed")
+    scratch.keep_only("removed")
     return F.broadcast(removed) if removed.count() <= BROADCAST_ROWS else removed
 
 

@@ -225,6 +225,7 @@ def search(rows: DataFrame, every: int = EVERY) -> DataFrame:
     if index.probes > 1:
         known = asked.join(bounds, "query_id", "left").select("query_id", "x", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
         parts = home.unionByName(scanned(known, 1, index.probes, "others"))
+    scratch.keep_only("home", "others")
     return _best(parts).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

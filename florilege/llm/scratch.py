@@ -29,11 +29,14 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that nothing will read again."""
+    def keep_only(self, *names: str) -> None:
+        """Delete the tables that nothing will read again: all but ``names``."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for status in fs.listStatus(root):
+            if status.getPath().getName() not in names:
+                fs.delete(status.getPath(), True)
 
 
 #: Offsets of :func:`ranked` are broadcast up to so many rows (about 100 bytes each).

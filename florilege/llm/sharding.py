@@ -105,6 +105,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     final = first.withColumn("shard", F.when(extra >= 0, to).otherwise(F.col("cur")).cast("int"))
     final = scratch.write(final.select("doc_id", "size", "text_crc32", "shard"), "final")
     slots = ranked(final, scratch, ["shard"], F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(RANK_BUCKETS)), order, "slot")
+    scratch.keep_only("final", "offsets-slot")
     return slots.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 

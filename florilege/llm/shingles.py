@@ -12,7 +12,7 @@ _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _LANES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 #: Bytes of text that are hashed at a time.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 _powers: dict[int, np.ndarray] = {}
 
