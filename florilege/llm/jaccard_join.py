@@ -368,7 +368,7 @@ class _Join:
         """
         self.turn += 1
         looks, index = looks.select("name", "ent", "comp", "n", "deleted", "up"), index.select("name", "ent", "comp", "n", "deleted", F.lit(False).alias("up"))
-        both = looks.withColumn("kind", F.lit(0)).unionByName(index.withColumn("kind", F.lit(1)))
+        both = self.scratch.write(looks.withColumn("kind", F.lit(0)).unionByName(index.withColumn("kind", F.lit(1))), f"both-{self.turn}")
         lead = self.scratch.write(both.groupBy("name").agg(F.min("ent").alias("lead")), f"leads-{self.turn}")
         placed = both.join(lead, "name").groupBy("ent").agg(F.min("lead").alias("lead"), F.max("n").alias("n"))
         placed = self.scratch.write(placed, f"placed-{self.turn}")
@@ -445,7 +445,8 @@ class _Join:
         def labelled(df: DataFrame) -> DataFrame:
             return df.join(now.select(F.col("node").alias("ent"), F.col("comp").alias("new")), "ent", "left").withColumn("comp", F.coalesce("new", "ent")).drop("new")
 
-        return links.unionByName(self.verified(self.possible(labelled(looks), labelled(several))))
+        again = looks.join(several.select("name").distinct(), "name", "left_semi")
+        return links.unionByName(self.verified(self.possible(labelled(again), labelled(several))))
 
 
 def join_components(docs: DataFrame) -> DataFrame:
