@@ -1,17 +1,17 @@
-"""Line dedup by pairwise alignment.
+"""Line dedup by repeated blocks.
 
-Documents overlap where they share lines. Lines (trimmed, blank ones aside) are hashed; a line's
-first holder is the document of the smallest id that has it. In a later document, runs of
-consecutive lines that others hold too, of ``LEAST_WORDS`` words or more, are what may go; each
-rare line of such a run (those that fewest documents hold, and every line whose first holder the
-rarer ones do not name) links the document to the line's first holder. A document is aligned with each document it is linked
-to by patience diff: lines that occur once in both are anchors, the longest increasing sequence of
-them is kept, and matches grow from the anchors and from the ends of the gaps between them. Aligned
-common blocks of ``LEAST_WORDS`` words or more are deleted from the later document.
+Lines (trimmed, blank ones aside) are hashed. A block is a run of consecutive lines of ``LEAST_WORDS``
+words or more; a block of a document goes if any earlier document holds the same lines in a row,
+wherever and in whatever order of blocks. That is at least what aligning each document with all
+earlier ones deletes: an aligned common block (:func:`common_blocks`) is a run of both.
+
+No pairs are made. Every common block is covered by the shortest runs of ``LEAST_WORDS`` words
+that begin or end at its lines, and what such a run holds depends on its lines alone. So runs are hashed,
+the first holder of each is the document of the smallest id that has it, and in all later
+holders the lines of the run go.
 
 Equal texts form a class of which the smallest id goes on; the lines of later copies all go.
-Documents are compared with first holders only, so a line that very many documents share makes one
-link for each of them, not one for each pair.
+A run that very many documents share makes one row for each of them, not one for each pair.
 
 Defined results: a null text stays null, with no lines. Blank lines are never deleted. Rows that
 repeat both id and text are one document and keep the same lines; of two texts under one id the
@@ -23,10 +23,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from florilege.llm.scratch import Scratch
@@ -95,10 +93,19 @@ def common_blocks(a: list[int], b: list[int], words: list[int], least: int = LEA
     return gone
 
 
-def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        gone = [[int(p[i]) for i in common_blocks(a.tolist(), b.tolist(), w.tolist())] for a, b, w, p in zip(batch["lines"], batch["other"], batch["words"], batch["at"], strict=True)]
-        yield pd.DataFrame({"cls": batch["cls"], "gone": gone})
+def _runs(lines: Column, words: Column) -> Column:
+    """``at, size, run`` of the shortest runs of ``LEAST_WORDS`` words: at each line the one that begins
+    there, and the one that ends there unless it is the first kind of an earlier line. A line has a
+    word at least, so that a run has no more than ``LEAST_WORDS`` lines."""
+    none = F.struct(F.lit(0).alias("w"), F.lit(0).alias("size"))
+    taken = lambda near: F.aggregate(near, none, lambda s, w: F.when(s["w"] >= LEAST_WORDS, s).otherwise(F.struct((s["w"] + w).alias("w"), (s["size"] + 1).alias("size"))))
+    run = lambda at, size: F.struct(at.alias("at"), size.alias("size"), F.xxhash64(F.slice(lines, at, size)).alias("run"))
+    from_here = F.transform(words, lambda _, i: F.struct((i + 1).alias("at"), taken(F.slice(words, i + 1, F.lit(LEAST_WORDS))).alias("t")))
+    low = lambda i: F.greatest(i + 2 - LEAST_WORDS, F.lit(1))
+    to_here = F.transform(words, lambda w, i: F.struct((i + 1).alias("end"), w.alias("w"), taken(F.reverse(F.slice(words, low(i), i + 2 - low(i)))).alias("t")))
+    begin = F.transform(F.filter(from_here, lambda r: r["t"]["w"] >= LEAST_WORDS), lambda r: run(r["at"], r["t"]["size"]))
+    end = F.transform(F.filter(to_here, lambda r: r["t"]["w"] - r["w"] >= LEAST_WORDS), lambda r: run(r["end"] + 1 - r["t"]["size"], r["t"]["size"]))
+    return F.concat(begin, end)
 
 
 def _class(text: Column) -> Column:
@@ -116,19 +123,15 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lined = scratch.write(
         cut.select("cls", "rep", "copies", F.transform("s", lambda s: F.xxhash64(s["line"])).alias("lines"), F.transform("s", lambda s: F.size(F.split(s["line"], r"\s+"))).alias("words"), F.transform("s", lambda s: s["at"]).alias("at")), "lines"
     )
-    holders = lined.select("cls", "rep", F.explode(F.array_distinct("lines")).alias("line"))
-    shared = holders.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "cls"))["cls"].alias("first")).where("n > 1")
-    shared = scratch.write(shared, "shared")
-    each = lined.select("cls", "words", F.posexplode("lines").alias("i", "line")).select("cls", "i", "line", F.element_at("words", F.col("i") + 1).alias("w"))
-    later = each.join(shared, "line").where("first <> cls")
-    later = later.withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy("cls").orderBy("i")))
-    runs = later.groupBy("cls", "run", "first").agg(F.sum("w").alias("w"), F.min("n").alias("rarest"))
-    long_runs = runs.withColumn("all", F.sum("w").over(Window.partitionBy("cls", "run"))).where(F.col("all") >= LEAST_WORDS)
-    pairs = scratch.write(long_runs.select("cls", "first").distinct(), "pairs")
-    joined = pairs.join(lined.select("cls", "lines", "words", "at"), "cls").join(lined.select(F.col("cls").alias("first"), F.col("lines").alias("other")), "first")
-    masks = joined.select("cls", "lines", "other", "words", "at").mapInPandas(_align, "cls binary, gone array<int>").where(F.size("gone") > 0)
-    masks = masks.groupBy("cls").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
-    out = lined.select("cls", "rep", "copies").join(masks, "cls", "left").where("copies > 1 or gone is not null")
+    each = scratch.write(lined.select("cls", "rep", F.explode(_runs(F.col("lines"), F.col("words"))).alias("r")).select("cls", "rep", "r.*"), "runs")
+    holder = F.struct("rep", "cls")
+    shared = each.groupBy("run").agg(F.min(holder).alias("first"), F.max(holder).alias("last")).where("first <> last")
+    shared = scratch.write(shared.select("run", F.col("first.cls").alias("first")), "shared")
+    later = each.join(shared, "run").where("first <> cls")
+    spans = later.groupBy("cls").agg(F.collect_list(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("spans"))
+    masks = spans.select("cls", F.array_distinct(F.flatten("spans")).alias("places"))
+    out = lined.select("cls", "rep", "copies", "at").join(masks, "cls", "left").where("copies > 1 or places is not null")
+    out = out.withColumn("gone", F.array_sort(F.transform("places", lambda i: F.element_at("at", i))))
     removed = scratch.write(out.select("cls", "rep", F.coalesce("gone", F.array().cast("array<int>")).alias("gone")), "removed")
     scratch.keep_only("removed")
     return F.broadcast(removed) if removed.count() <= BROADCAST_ROWS else removed

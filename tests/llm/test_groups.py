@@ -214,3 +214,46 @@ def test_long_passages_go_and_clean_documents_stay(spark):
 
 def test_line_dedup_of_an_empty_table(spark):
     assert ld.remove_repeated(empty(spark)).count() == 0
+
+
+def numbered(text):
+    """Lines that are not blank, with their numbers and word counts."""
+    cut = [(k, x.strip(" ")) for k, x in enumerate(text.split("\n")) if x.strip(" ")]
+    return [k for k, _ in cut], [x for _, x in cut], [len(re.split(r"\s+", x)) for _, x in cut]
+
+
+def common_runs(a, b, words):
+    """Places in ``a`` of all runs of LEAST_WORDS words that ``b`` holds in a row, over all pairs of places."""
+    gone = set()
+    for i in range(len(a)):
+        for j in range(len(b)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if sum(words[i : i + n]) >= ld.LEAST_WORDS:
+                gone |= set(range(i, i + n))
+    return gone
+
+
+def test_blocks_of_any_earlier_document_go(spark):
+    line = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    own = [line(f"own{i}x", 18) for i in range(6)]
+    l1, l2, l3 = (line(f"shared{i}x", 18) for i in range(3))
+    # the first document holds the lines scattered, so that it is their first holder but holds no block
+    texts = ["\n".join(x) for x in ([l1, own[0], l2, own[1], l3], [own[2], l1, l2, l3, own[3]], [own[4], l1, l2, l3, own[5]])]
+    rng = random.Random(12)
+    pool = [line(f"p{i}x", rng.choice([1, 2, 5, 9, 12, 20, 23])) for i in range(14)]
+    texts += ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for _ in range(120)]
+    texts = list(dict.fromkeys(texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in ld.remove_repeated(docs).collect()}
+    assert got[2] == f"{own[4]}\n{own[5]}"
+    cut = [numbered(t) for t in texts]
+    for d, (at, lines, words) in enumerate(cut):
+        gone, aligned = set(), set()
+        for _, other, _ in cut[:d]:
+            gone |= common_runs(lines, other, words)
+            aligned |= set(ld.common_blocks(lines, other, words))
+        assert aligned <= gone  # what alignment with every earlier document deletes
+        gone = {at[k] for k in gone}
+        assert got[d] == "\n".join(x for k, x in enumerate(texts[d].split("\n")) if k not in gone)
