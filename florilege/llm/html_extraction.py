@@ -15,7 +15,11 @@ Branches of low importance are removed from every page of the host. Where menus,
 carry other words on every page, entropy alone keeps them (measured on the test pages, where all of
 them do), so evidence that a branch *declares* counts first: elements and class words
 of navigation, header, footer, sidebar, notice, advert, form and comment are removed whatever their
-entropy, and on pages with an ``article`` or ``main`` element text outside of it is. Entropy decides
+entropy, and on pages with an ``article`` or ``main`` element text outside of it is. Class words and
+ids declare as a whole, or as compounds of such words and neutral ones (``site-nav``; not ``no-sidebar``
+or ``article-header``). Marks of wrappers count against an ``article`` or ``main`` only if
+another one of the page stands in fewer of them, and a ``form`` that holds half of a page's text or more
+declares nothing. Entropy decides
 on the branches that declare nothing; paragraphs and headings are judged with the branch they stand
 in, so that a repeated paragraph of an article stays.
 
@@ -25,8 +29,10 @@ white space turned into one space, trimmed.
 Counts are aggregated in Spark; a host that holds a third of all pages is spread over its texts.
 
 Defined results: null or empty html gives the empty text. A null url, or one without a host, is
-judged by declared evidence alone, as is a host with fewer than ``LEAST_PAGES`` pages. Unclosed and
-cut-off markup is read as far as it goes. Repeated rows are extracted each in its own row. An empty
+judged by declared evidence alone, as is a branch that fewer than ``LEAST_PAGES`` pages of its host
+have (on two pages, copies of one text would pass for furniture). Unclosed and
+cut-off markup is read as far as it goes, at any depth; the style tree takes containers below
+``TREE_DEPTH`` for part of the one at that depth. Repeated rows are extracted each in its own row. An empty
 table gives an empty result.
 """
 
@@ -47,6 +53,7 @@ from florilege.llm.url_filters import url_host
 DECAY = 0.9
 LOW = 0.2
 LEAST_PAGES = 8
+TREE_DEPTH = 200
 #: Low branches are broadcast up to so many hosts; beyond, pages are joined with them by host.
 BROADCAST_HOSTS = 20_000
 
@@ -60,6 +67,12 @@ NOISE_WORDS = set(
     "footer form header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo "
     "recommended related reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that say nothing of their own in a compound with words of NOISE_WORDS.
+NEUTRAL_WORDS = set(
+    "site global main top bottom left right primary secondary first last inner outer wrap wrapper container box bar block section area region "
+    "column col slot unit zone panel list item items link links button buttons btn icon icons posts articles stories widgets this".split()
+)
+NOISE_COMPOUNDS = set("post-comments post-comment post-navigation post-share entry-comments entry-share article-comments article-share author-byline page-navigation page-footer".split())
 NOISE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 MAIN_TAGS = ("article", "main")
 TEXT_BLOCKS = set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption summary tbody thead table ul ol dl".split())
@@ -82,6 +95,26 @@ class Block:
         self.text, self.path, self.noise, self.main = text, path, noise, main
 
 
+class _Open:
+    """An open container, with what it and those around it declare."""
+
+    __slots__ = ("tag", "path", "main", "outer", "inner", "form")
+
+    def __init__(self, tag: str, path: tuple[str, ...], main: bool, outer: int, inner: bool, form: int):
+        self.tag, self.path, self.main = tag, path, main
+        #: marks outside of the outermost article or main, and whether one stands within, forms aside;
+        #: the number of the outermost form, 0 for none, below 0 within an article or main
+        self.outer, self.inner, self.form = outer, inner, form
+
+
+_PAGE = _Open("", (), False, 0, False, 0)
+
+
+def _furniture(token: str) -> bool:
+    pieces = _WORD.findall(token)
+    return not NOISE_WORDS.isdisjoint(pieces) and (all(p in NOISE_WORDS or p in NEUTRAL_WORDS for p in pieces) or "-".join(pieces) in NOISE_COMPOUNDS)
+
+
 def _declares(tag: str, attrs: str, in_main: bool) -> tuple[str, bool]:
     """The name of a container in the tree, and whether it declares itself furniture."""
     found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)} if "=" in attrs else {}
@@ -89,26 +122,25 @@ def _declares(tag: str, attrs: str, in_main: bool) -> tuple[str, bool]:
     name = ".".join([tag, *sorted(words)])
     if tag in NOISE_TAGS and not (tag == "header" and in_main):
         return name, True
-    pieces = set(_WORD.findall(" ".join(words) + " " + found.get("id", "").lower()))
-    return name, tag not in MAIN_TAGS and tag not in ("html", "body") and bool(pieces & NOISE_WORDS) or found.get("role", "").lower() in NOISE_ROLES
+    marked = tag not in MAIN_TAGS and tag not in ("html", "body") and any(_furniture(w) for w in words + found.get("id", "").lower().split())
+    return name, marked or found.get("role", "").lower() in NOISE_ROLES
 
 
 def blocks(page: str | None) -> tuple[list[Block], dict[tuple[str, ...], Counter]]:
     """The text blocks of a page in order, and the children of every container."""
-    out: list[Block] = []
+    out: list[tuple[str, _Open]] = []
     children: dict[tuple[str, ...], Counter] = {}
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, name, noise, main
+    stack: list[_Open] = [_PAGE]
+    opened: Counter = Counter()  # open containers of each tag
     held: list[str] = []
-
-    def path() -> tuple[str, ...]:
-        return tuple(s[1] for s in stack if s[0] not in TEXT_BLOCKS)
+    n_forms = 0
 
     def end_block() -> None:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append(Block(text, path(), any(s[2] for s in stack), any(s[3] for s in stack)))
+                out.append((text, stack[-1]))
 
     at = 0
     for m in _TOKEN.finditer(page or ""):
@@ -125,21 +157,47 @@ def blocks(page: str | None) -> tuple[list[Block], dict[tuple[str, ...], Counter
             continue
         end_block()
         if m["close"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+            while opened[tag]:
+                last = stack.pop().tag
+                opened[last] -= 1
+                if last == tag:
                     break
         elif tag not in VOID and not m["attrs"].endswith("/"):
-            if stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or stack and tag == stack[-1][0] in ("li", "dt", "dd", "td", "th", "tr"):
-                stack.pop()
-            name, noise = _declares(tag, m["attrs"], any(s[3] for s in stack))
-            if len(stack) < 200:  # deeper containers belong to the one at this depth
-                children.setdefault(path(), Counter())[name] += 1
-                stack.append((tag, name, noise, tag in MAIN_TAGS))
+            if stack[-1].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") or tag == stack[-1].tag in ("li", "dt", "dd", "td", "th", "tr"):
+                opened[stack.pop().tag] -= 1
+            top = stack[-1]
+            name, noise = _declares(tag, m["attrs"], top.main)
+            children.setdefault(top.path, Counter())[name] += 1
+            main, outer, inner, form = top.main or tag in MAIN_TAGS, top.outer, top.inner, top.form
+            if tag == "form":
+                if not form:  # a form has no forms in it
+                    n_forms += 1
+                    form = -n_forms if main else n_forms
+            elif main:
+                inner = inner or noise
+            else:
+                outer += noise
+            path = top.path if tag in TEXT_BLOCKS or len(top.path) >= TREE_DEPTH else (*top.path, name)
+            stack.append(_Open(tag, path, main, outer, inner, form))
+            opened[tag] += 1
     if page and at < len(page):
         held.append(page[at:])
     end_block()
-    return out, children
+    return _judged(out), children
+
+
+def _judged(found: list[tuple[str, _Open]]) -> list[Block]:
+    """The blocks of a page, with the marks that count on it."""
+    within: Counter = Counter()  # characters in each form
+    for text, at in found:
+        within[at.form] += len(text)
+    total = sum(within.values())
+    within[0] = total
+    narrow = [2 * within[at.form] < total for _, at in found]
+    marks = [at.outer + (at.form > 0 and x) for x, (_, at) in zip(narrow, found, strict=True)]
+    inner = [at.inner or at.form < 0 and x for x, (_, at) in zip(narrow, found, strict=True)]
+    least = min((k for k, x, (_, at) in zip(marks, inner, found, strict=True) if at.main and not x), default=0)
+    return [Block(text, at.path, x or k > (least if at.main else 0), at.main) for k, x, (text, at) in zip(marks, inner, found, strict=True)]
 
 
 def _branches(found: list[Block]) -> Iterator[tuple[str, Block]]:

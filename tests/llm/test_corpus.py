@@ -191,6 +191,25 @@ def test_broken_markup(spark, page):
     assert r["text"] is not None and r["n_chars"] == len(r["text"]) and (page == "<" or "<" not in r["text"])
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<div class='page no-sidebar'><article><p>all of it</p></article></div>", "all of it"),
+        ("<div class='content has-sidebar'><p>all of it</p></div><div class='site-nav'>menu</div>", "all of it"),
+        ("<form id='aspnet'><nav>menu</nav><h1>title</h1><p>a long text of the page</p></form><footer>end</footer>", "title\na long text of the page"),
+        ("<form><article><p>the text</p><form><p>find</p></form></article><section class='comments'><article><p>nice one</p></article></section></form><p>" + "other " * 30 + "</p>", "the text\nfind"),
+        ("<main><form><p>the whole text</p></form></main>", "the whole text"),
+        ("<div class='sidebar'><article><p>text</p></article></div><p>outside</p>", "text"),
+        ("<div class='sidebar'><article><p>teaser</p></article></div><article><p>text</p></article>", "text"),
+        ("<article><div class='article-header'><h1>title</h1></div><div class='ad-slot-3'>buy</div><p>text</p></article>", "title\ntext"),
+        ("<article>" + "<div>" * 300 + "deep<nav>menu</nav>" + "</div>" * 300 + "<p>after it</p></article><p>outside</p>", "deep\nafter it"),
+        ("<article>" + "<div>" * 5000 + "deep" + "</div></b></section>" * 5000 + "<p>after it</p></article>", "deep\nafter it"),
+    ],
+)
+def test_wrappers_and_depth_lose_no_text(page, text):
+    assert he.main_text(page, set()) == text
+
+
 def test_no_pages(spark):
     assert he.extract(pages(spark, [])).count() == 0
 
