@@ -5,7 +5,7 @@ folder and read again, so a lost executor costs one stage at most.
 
 * language ID keeps documents in a language learned from the corpus; those without letters, or that
   no learned language explains, go;
-* the Jaccard join keeps one document (smallest id) of each group of near copies;
+* the Jaccard join keeps one row (smallest id, null ids last) of each group of near copies;
 * decontamination drops documents that hold benchmark passages;
 * mixing repeats or drops documents until sources meet their target weights;
 * sharding deals the mix into shards of equal counts with copies of a text together.

@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from florilege.llm.scratch import Scratch
+from florilege.llm.scratch import Scratch, keyed
 from florilege.llm.url_filters import ascii_lower
 
 WINDOW = 13
@@ -148,10 +148,11 @@ def is_contaminated() -> Column:
 def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns kept.
 
-    A null id marks no row; rows that share an id stay or go together.
+    Rows have keys of their own here: each is judged by its text, whatever its id.
     """
-    bad = match(docs, items).where(is_contaminated()).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("_bad"), "left_anti")
+    rows = keyed(docs, Scratch(docs.sparkSession, "contaminated"))
+    bad = match(rows.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text")), items).where(is_contaminated()).select(F.col("doc_id").alias("_bad"))
+    return rows.join(bad, F.col("_row") == F.col("_bad"), "left_anti").select("_doc.*")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from florilege.llm.components import components
-from florilege.llm.scratch import Scratch
+from florilege.llm.scratch import Scratch, keyed
 from florilege.llm.shingles import digest, mix, shingle_sets
 
 #: Links: NUM * |intersection| >= DEN * |union|.
@@ -465,13 +465,18 @@ def join_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one of the smallest id; all columns kept.
+    """One row of each component, that of the smallest id, null ids last; all columns kept.
 
-    Rows without shingles all stay. Of rows that repeat one id one stays, if they have shingles.
+    Rows are joined by keys of their own, so that repeated rows, rows that share an id and rows of a
+    null id are judged each by its text. Rows without shingles all stay.
     """
-    held = join_components(docs)
-    gone = held.where("n_shingles > 0 and component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    rows = keyed(docs, Scratch(docs.sparkSession, "near-copies"))
+    held = join_components(rows.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text"))).where("n_shingles > 0")
+    held = held.select(F.col("doc_id").alias("_gone"), "component_id").join(rows.select(F.col("_row").alias("_gone"), F.col("_doc.doc_id").alias("id")), "_gone")
+    # a group of one loses nothing, so only groups of several are looked at
+    first = held.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "_gone"))["_gone"].alias("_first"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    gone = held.join(first, "component_id").where("_gone <> _first").select("_gone")
+    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").select("_doc.*")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,12 @@ class Scratch:
                 fs.delete(status.getPath(), True)
 
 
+def keyed(df: DataFrame, scratch: Scratch) -> DataFrame:
+    """``_row, _doc``: the rows of ``df`` as structs, each with a key of its own, written once, so that
+    the keys are the same for all who read them."""
+    return scratch.write(df.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[df[c] for c in df.columns]).alias("_doc")), "keyed")
+
+
 #: Offsets of :func:`ranked` are broadcast up to so many rows (about 100 bytes each).
 BROADCAST_ROWS = 500_000
 

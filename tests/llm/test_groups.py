@@ -257,3 +257,19 @@ def test_blocks_of_any_earlier_document_go(spark):
         assert aligned <= gone  # what alignment with every earlier document deletes
         gone = {at[k] for k in gone}
         assert got[d] == "\n".join(x for k, x in enumerate(texts[d].split("\n")) if k not in gone)
+
+
+def test_every_row_is_judged_by_its_own_text(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(60))
+    base, other, only_null, bad = (text() for _ in range(4))
+    rows = [(5, base), (5, base), (None, base), (None, base + " tail"), (7, base + " end"), (7, other), (None, only_null), (None, only_null), (None, only_null + " more"), (8, None), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((tuple(r) for r in jj.keep_first(docs).collect()), key=repr)
+    null_kept = [r for r in kept if r[0] is None]
+    assert len(null_kept) == 1 and null_kept[0][1] in (only_null, only_null + " more")
+    assert [r for r in kept if r[0] is not None] == sorted([(5, base), (7, other), (8, None), (8, None)], key=repr)
+    items = spark.createDataFrame([(1, bad)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, bad), (1, base), (None, bad), (None, other), (2, other)], "doc_id long, text string")
+    kept = sorted((tuple(r) for r in dc.remove_contaminated(docs, items).collect()), key=repr)
+    assert kept == sorted([(1, base), (None, other), (2, other)], key=repr)
