@@ -17,8 +17,9 @@ piece into blocks, so that a list that holds a third of all rows is no hot group
 
 Defined results: vectors that are null, all zero, or hold a null or non-finite component take no
 part, nor do rows with a null id or vectors of another length than the most common one. Of rows that
-repeat an id the smallest vector counts. Ties go to the smaller id. Fewer than twenty candidates:
-all that the probed lists hold. Empty table: empty result. Other columns are ignored.
+repeat an id the smallest vector counts. Ties go to the smaller id. A query whose probed lists hold
+fewer than twenty others probes on, twice as many lists each time, until it has twenty or all lists are
+done; so it gets fewer only if there are fewer. Empty table: empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -147,23 +148,26 @@ def _scanner(index: Index):
         # squares of what is left of each vector from a column on
         x_left, q_left = (np.sqrt(np.maximum(np.cumsum((v * v)[:, ::-1], axis=1)[:, ::-1], 0)) for v in (x, q))
         some = min(len(ids), 4 * NEAREST)
+        sure = np.zeros((len(q), len(x)), bool)  # the candidates that make a first bound are not abandoned, so that twenty are found
         if some > NEAREST and np.isneginf(bound).any():  # a first bound: of some candidates the twentieth, its own row aside
             scores = q @ x[:some].T
             scores[queries[:, None] == ids[None, :some]] = -np.inf
-            bound = np.maximum(bound, np.partition(scores, some - NEAREST, axis=1)[:, some - NEAREST])
+            twentieth = np.partition(scores, some - NEAREST, axis=1)[:, some - NEAREST]
+            sure[:, :some] = (scores >= twentieth[:, None]) & np.isneginf(bound)[:, None]
+            bound = np.maximum(bound, twentieth)
         first = min(COLUMN_BLOCK, d)
         part = q[:, :first] @ x[:, :first].T
         if first < d:
             alive = part + SIGMAS / np.sqrt(d - first) * q_left[:, first, None] * x_left[None, :, first] >= bound[:, None] - 1e-9
-            qi, xi = np.nonzero(alive)
+            qi, xi = np.nonzero(alive | sure)
         else:
-            qi, xi = np.nonzero(part >= bound[:, None] - 1e-9)
+            qi, xi = np.nonzero((part >= bound[:, None] - 1e-9) | sure)
         part = part[qi, xi]
         for a in range(first, d, COLUMN_BLOCK):
             b = min(a + COLUMN_BLOCK, d)
             part = part + np.einsum("ij,ij->i", q[qi, a:b], x[xi, a:b])
             slack = SIGMAS / np.sqrt(d - b) * q_left[qi, b] * x_left[xi, b] if b < d else 0.0
-            alive = part + slack >= bound[qi] - 1e-9
+            alive = (part + slack >= bound[qi] - 1e-9) | sure[qi, xi]
             qi, xi, part = qi[alive], xi[alive], part[alive]
         other = queries[qi] != ids[xi]
         qi, xi = qi[other], xi[other]
@@ -225,7 +229,17 @@ def search(rows: DataFrame, every: int = EVERY) -> DataFrame:
     if index.probes > 1:
         known = asked.join(bounds, "query_id", "left").select("query_id", "x", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
         parts = home.unionByName(scanned(known, 1, index.probes, "others"))
-    scratch.keep_only("home", "others")
+    done, most, kept = index.probes, min(NEAREST, n - 1), ["home", "others"]
+    while done < index.lists:
+        got = parts.groupBy("query_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= most).select("query_id")
+        short = scratch.write(asked.join(got, "query_id", "left_anti").select("query_id", "x", F.lit(float("-inf")).alias("bound")), f"short-{done}")
+        if short.isEmpty():
+            break
+        last = min(2 * done, index.lists)
+        kept.append(f"more-{done}")
+        parts = parts.unionByName(scanned(short, done, last, kept[-1]))
+        done = last
+    scratch.keep_only(*kept)
     return _best(parts).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -247,6 +247,16 @@ def test_odd_vectors_take_no_part_and_ties_go_by_id(spark):
     assert nearest.search(df.where("false")).count() == 0
 
 
+def test_queries_of_small_lists_get_twenty(spark):
+    rng = np.random.default_rng(1)
+    hot = rng.standard_normal((1, 8)) + rng.standard_normal((2000, 8)) * 1e-3
+    far = np.eye(8)[rng.integers(0, 8, 40)] * rng.choice([-1.0, 1.0], (40, 1)) * 3 + rng.standard_normal((40, 8)) * 0.05
+    x = np.vstack([hot, far])
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = Counter(r["query_id"] for r in nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == {i: 20 for i in range(0, len(x), 20)}
+
+
 # ---- pipeline
 
 def test_pipeline_against_brute_force(spark, sf):
