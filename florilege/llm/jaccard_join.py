@@ -12,7 +12,8 @@ all subsets with one element deleted; S looks up its band and the next smaller o
 There are more segments than the pigeonhole needs (``SLACK``), so S may skip some; each reserve
 segment raised to threshold 1 allows one more. *Allocation* picks what to skip by cost: subsets are
 counted, S skips the most frequent ones and raises reserve segments while that is cheaper than the
-next subset it would have to look up. Frequent passages and empty segments so cost nothing.
+next subset it would have to look up. Empty segments are skipped by all and not even packed; only in
+a band in which some set has more of them than it may skip (``odd``) are they packed like others.
 
 Links between pairs are verified exactly, on the sets. Pairs inside groups that are known to be
 connected are never made:
@@ -28,12 +29,19 @@ connected are never made:
    two over ``CELLS`` cells, whose common part bounds the intersection from above. Only pairs that
    this does not refute leave the task; they are verified on the texts.
 
-Subsets travel as packed arrays, a partition of the hash space in each row, so that 37 segments
-for a hundred words stay cheap. What comes to the driver are counts.
+Subsets travel packed: a task gathers the sets it reads into *blocks* and sends each partition of
+the hash space one row a block, with the sorted subset names (their low ``CELL`` bits, as gaps), the
+number of the set within its block and a byte of flags, about four bytes a subset. What a partition
+finds to be shared goes back to the block, in the order of which the sets are known, and is allocated
+there. What comes to the driver are counts and at most one number for each band.
+
+Sets are compared as sets of 64-bit hashes, as words of 64 bits hashed from whole words: two unlike
+shingles pass as equal with a probability of 2^-64, two unlike sets as copies with 2^-128.
 
 Defined results: a text that is null, empty or without words has ``n_shingles`` 0 and is its own
 component; fewer than five words make one shingle. Repeated rows get the same class and each keeps
-its row. A null id belongs to its class but is never the smallest; if a class has only null
+its row. A text of any length is one set; it is hashed in pieces, and 8 bytes a word are held of it
+(the verification holds those of two). A null id belongs to its class but is never the smallest; if a class has only null
 ids, its component is null. An empty table gives an empty result. :func:`keep_first` keeps all
 columns, whatever their names.
 """
@@ -43,8 +51,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,19 +66,21 @@ NUM, DEN = 100, 80
 SLACK, LEAST_SLACK = 0.12, 3
 #: Reserve segments, also indexed with one element deleted: all while a band has so many or fewer,
 #: then fewer, so that small sets, which a common line can fill, have many.
-RESERVE, LEAST_RESERVE = 16, 2
-#: Cells of the histograms that refute pairs, and sets in a block of them.
-CELLS, BLOCK = 1024, 4000
+RESERVE, LEAST_RESERVE = 15, 2
+#: Cells of the histograms that refute pairs, sets in a block of them, and look-ups in a part of a pair of blocks.
+CELLS, BLOCK, PAIR = 1024, 4000, 16_000
 #: Segments that the first, quick look-up uses.
 QUICK = 16
 #: Id lists are broadcast up to so many rows of 16 bytes.
 BROADCAST_IDS = 1_000_000
-#: Packed subsets that a task holds before it sends them on.
-FLUSH = 800_000
+#: Subsets in a block, and words for each partition of the hash space.
+FLUSH, PART_WORDS = 1_000_000, 4_000_000
+#: Bits of a subset's name that its partition keeps. A collision costs a candidate, no more.
+CELL = 30
 
-INDEX, PROBE, DELETED, LOWER = 1, 2, 4, 8
-#: The segment of a reserve subset stands above these bits; others have NO_SEGMENT there.
-SHIFT, NO_SEGMENT = 4, 63
+LOWER, DELETED = 1, 2
+#: The segment of a reserve subset stands above these bits of its flags; others have NO_SEGMENT there.
+SHIFT, NO_SEGMENT = 4, 15
 
 
 def _bands() -> np.ndarray:
@@ -99,34 +109,65 @@ def _reserve(m: int) -> int:
     return m if m <= RESERVE else max(LEAST_RESERVE, RESERVE - (m - RESERVE) // 4)
 
 
-def _subsets(hashes: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Names and sizes of the m segment subsets; names of the one-deletion subsets, and their segments."""
-    segment = ((hashes >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-    at = np.searchsorted(segment, np.arange(m + 1, dtype=np.uint64))
+_bounds: dict[int, np.ndarray] = {}
+
+
+def _cut(hashes: np.ndarray, m: int) -> np.ndarray:
+    """Where each of the m segments begins in the sorted hashes, and where the last one ends."""
+    if m not in _bounds:
+        _bounds[m] = np.array([-(-(i << 32) // m) << 32 for i in range(m)], np.uint64)
+    return np.append(np.searchsorted(hashes, _bounds[m]), len(hashes))
+
+
+def _names(hashes: np.ndarray, at: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the segment subsets; names of the one-deletion subsets, and their segments."""
+    sizes = np.diff(at)
+    m = len(sizes)
     salted = mix(hashes, 0x3C)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(salted)))
     content = sums[at[1:]] - sums[at[:-1]]
     where = np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((band + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
-    less = salted[: at[_reserve(m)]]
-    owner = segment[: len(less)].astype(np.int64)
-    return mix(content + where), np.diff(at), mix(content[owner] - less + where[owner]), owner
+    spare = _reserve(m)
+    owner = np.repeat(np.arange(spare), sizes[:spare])
+    less, many = salted[: len(owner)], sizes[owner] > 1
+    owner, less = owner[many], less[many]
+    return mix(content + where), mix(content[owner] - less + where[owner]), owner
+
+
+def _allowance(s: int, band: int, sizes: np.ndarray, odd: bool) -> tuple[int, int]:
+    """How many of the packed segments a set of size s may skip in a band, before it raises any (below
+    0: it must raise so many), and which reserve segments it may raise, as bits. Segments of fewer
+    than two are not raised, as that would have to meet empty ones."""
+    m = len(sizes)
+    free = m - _need(s, int(BANDS[band + 1]) - 1) - (0 if odd else int((sizes == 0).sum()))
+    return min(free, 0x7FFF), int(((sizes[: _reserve(m)] > 1) << np.arange(_reserve(m))).sum())  # to skip fewer is safe
+
+
+def _looked_up(s: int) -> range:
+    """The bands that a set of size s looks up; its own is the last."""
+    low, top = (int(np.searchsorted(BANDS, x, side="right")) - 1 for x in (-(-s * DEN // NUM), s))
+    return range(low, top + 1)
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``doc_id, n, hi, lo, quick``: size and digest of each set, and a few of its subsets."""
+    """``doc_id, n, hi, lo, quick, odd``: size and digest of each set, a few of its subsets, and the
+    bands in which it has more empty segments than it can do without."""
     for batch in batches:
-        n, hi, lo, quick = [], [], [], []
+        n, hi, lo, quick, odd = [], [], [], [], []
         for hashes in shingle_sets(batch.column("text")):
             a, b = digest(hashes)
             n.append(len(hashes)), hi.append(a), lo.append(b)
+            names, strange = np.zeros(0, np.int64), []
+            for band in _looked_up(len(hashes)) if len(hashes) else ():
+                at = _cut(hashes, _segments(band))
+                free, offers = _allowance(len(hashes), band, np.diff(at), False)
+                if -free > offers.bit_count():
+                    strange.append(band)
             if len(hashes):
-                band = int(np.searchsorted(BANDS, len(hashes), side="right")) - 1
-                names, sizes, _, _ = _subsets(hashes, band, _segments(band))
-                quick.append(names[:QUICK][sizes[:QUICK] > 1].view(np.int64))
-            else:
-                quick.append(np.zeros(0, np.int64))
-        lists = pa.array(quick, pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), lists], ["doc_id", "n", "hi", "lo", "quick"])
+                names = _names(hashes, at, band)[0][:QUICK][np.diff(at)[:QUICK] > 1].view(np.int64)
+            quick.append(names), odd.append(strange)
+        lists = [pa.array(quick, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), *lists], ["doc_id", "n", "hi", "lo", "quick", "odd"])
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,130 +244,184 @@ def _compare(table):
     return pa.table({"u": pa.array(np.concatenate(out_u)), "v": pa.array(np.concatenate(out_v))})
 
 
-class _Packer:
-    """Gathers subsets and yields them packed, a row for each partition of the hash space."""
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes, the first byte of all numbers of an array before the second, compressed."""
+    head = np.array([len(a) for a in arrays], np.int64).tobytes()
+    raw = head + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays)
+    return np.int64(len(raw)).tobytes() + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
+    raw = pa.Codec("zstd").decompress(blob[8:], decompressed_size=int(np.frombuffer(blob, np.int64, 1)[0]), asbytes=True)
+    sizes, at, out = np.frombuffer(raw, np.int64, len(kinds)), 8 * len(kinds), []
+    for n, kind in zip(sizes.tolist(), kinds, strict=True):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel())
+        at += n * width
+    return out
+
 
-    def __init__(self, parts: int):
-        self.parts = parts
-        self.docs: list[tuple[int, int, int, int, int]] = []
-        self.names: list[np.ndarray] = []
-        self.flags: list[np.ndarray] = []
-        self.counts: list[int] = []
-        self.held = 0
+#: Arrays of a message from a block: gaps of cells, set within the block, flags; sets in groups of several, and their groups.
+MESSAGE = np.uint32, np.uint16, np.uint8, np.uint16, np.int64
+#: Of a block's head: id, group, size; then by band, own and lower: segments that may be skipped, segments that may be raised.
+HEAD = np.int64, np.int64, np.int64, np.int16, np.int16, np.uint16, np.uint16
+#: Of what a partition returns: cell, set within the block, flags, sets that are indexed there.
+SHARED = np.uint32, np.uint16, np.uint8, np.uint32
 
-    def add(self, ent: int, comp: int, n: int, allow: tuple[int, int], names: np.ndarray, flags: np.ndarray) -> None:
-        self.docs.append((ent, comp, n, *allow))
-        self.names.append(names)
-        self.flags.append(flags)
-        self.counts.append(len(names))
-        self.held += len(names)
 
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.held:
+class _Block:
+    """Gathers the subsets of sets and yields them packed: a row for each partition of the hash space,
+    and one with the sets themselves (``part`` -1)."""
+
+    def __init__(self, name: int, parts: int):
+        self.name, self.parts, self.held = name, parts, 0
+        self.sets, self.names, self.flags, self.counts = [], [], [], []
+
+    def add(self, one: tuple, names: list[np.ndarray], flags: list[np.ndarray]) -> None:
+        self.sets.append(one)
+        self.names += names
+        self.flags += flags
+        self.counts.append(sum(map(len, names)))
+        self.held += self.counts[-1]
+
+    def full(self) -> bool:
+        return self.held >= FLUSH or len(self.sets) > 0xFFFE
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if not self.sets:
             return
         names, flags = np.concatenate(self.names), np.concatenate(self.flags)
-        owner = np.repeat(np.arange(len(self.docs), dtype=np.uint32), self.counts)
-        docs = np.array(self.docs, np.int64)
-        part = ((names >> np.uint64(20)) % np.uint64(self.parts)).astype(np.uint32)
-        order = np.argsort(part, kind="stable")
-        ends = np.searchsorted(part[order], np.arange(self.parts + 1))
-        rows = []
-        for p in range(self.parts):
+        owner = np.repeat(np.arange(len(self.sets), dtype=np.uint16), self.counts)
+        part = (names >> np.uint64(CELL + 4)) % np.uint64(self.parts)
+        key = part << np.uint64(CELL) | (names & np.uint64((1 << CELL) - 1))
+        order = np.argsort(key)
+        key = key[order]
+        ends = np.searchsorted(key, np.arange(self.parts + 1, dtype=np.uint64) << np.uint64(CELL))
+        ent, comp, *rest = (np.array(x, np.int64) for x in zip(*self.sets, strict=True))
+        grouped = ent != comp
+        head = _pack(ent, comp, rest[0], *(x.astype(kind) for x, kind in zip(rest[1:], HEAD[3:], strict=True)))
+        dest, packed = [self.parts + self.name % self.parts], [head]
+        for p in np.flatnonzero(np.diff(ends)).tolist():
             at = order[ends[p] : ends[p + 1]]
-            if len(at):
-                used, local = np.unique(owner[at], return_inverse=True)
-                head = np.array([len(used), len(at)], np.int64)
-                table = docs[used]
-                rows.append((p, b"".join((head.tobytes(), table[:, 0].tobytes(), table[:, 1].tobytes(), *(table[:, c].astype(np.uint32).tobytes() for c in (2, 3, 4)), names[at].tobytes(), local.astype(np.uint32).tobytes(), flags[at].tobytes()))))
-        self.__init__(self.parts)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "packed"])
-
-
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    n, e = (int(x) for x in np.frombuffer(blob, np.int64, 2))
-    at, out = 16, []
-    for kind, size in ((np.int64, n), (np.int64, n), (np.uint32, n), (np.uint32, n), (np.uint32, n), (np.uint64, e), (np.uint32, e), (np.uint16, e)):
-        out.append(np.frombuffer(blob, kind, size, at))
-        at += out[-1].nbytes
-    ent, comp, sizes, own, low, names, local, flags = out
-    allow = np.where(flags & LOWER > 0, low[local], own[local])
-    return names, ent[local], comp[local], sizes[local], allow, flags
-
-
-def _signer(parts: int):
+            cells = (key[ends[p] : ends[p + 1]] & np.uint64((1 << CELL) - 1)).astype(np.uint32)
+            several = np.unique(owner[at][grouped[owner[at]]])
+            dest.append(p)
+            packed.append(_pack(np.diff(cells, prepend=np.uint32(0)), owner[at], flags[at], several, comp[several]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(dest, pa.int32()), pa.array([self.name] * len(dest), pa.int64()), pa.array([-1, *dest[1:]], pa.int32()), pa.array(packed, pa.binary())], ["dest", "block", "part", "packed"]
+        )
+
+
+def _signer(parts: int, odd: frozenset):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = _Packer(parts)
+        # the same when a lost task runs again, as it reads the same rows in the same order
+        first = TaskContext.get().partitionId() << 32
+        block = _Block(first, parts)
         for batch in batches:
             ids, comps = batch.column("doc_id").to_pylist(), batch.column("comp").to_pylist()
             for ent, comp, hashes in zip(ids, comps, shingle_sets(batch.column("text")), strict=True):
-                s = len(hashes)
-                if not s:
+                if not len(hashes):
                     continue
-                top = int(np.searchsorted(BANDS, s, side="right")) - 1
-                least = -(-s * DEN // NUM)
-                low = int(np.searchsorted(BANDS, least, side="right")) - 1
-                names, flags, allow = [], [], [0, 0]
-                for band in range(low, top + 1):
+                bands = _looked_up(len(hashes))
+                names, flags, free = [], [], {}
+                for band in bands:
                     m = _segments(band)
-                    spare = _reserve(m)
-                    allow[band < top] = min(m - _need(s, int(BANDS[band + 1]) - 1), 0xFFFF) | spare << 16  # to skip fewer is safe
-                    whole, _, less, owner = _subsets(hashes, band, m)
-                    role = INDEX | PROBE if band == top else PROBE | LOWER
-                    at = np.arange(m)
-                    names += [whole, less]
-                    flags += [role + (np.where(at < spare, at, NO_SEGMENT) << SHIFT), (role | DELETED) + (owner << SHIFT)]
-                packer.add(ent, comp, s, tuple(allow), np.concatenate(names), np.concatenate(flags).astype(np.uint16))
-                if packer.held >= FLUSH:
-                    yield from packer.flush()
-        yield from packer.flush()
+                    at = _cut(hashes, m)
+                    sizes = np.diff(at)
+                    whole, less, owner = _names(hashes, at, band)
+                    role = LOWER if band < bands[-1] else 0
+                    free[role] = _allowance(len(hashes), band, sizes, band in odd)
+                    segment = np.where(np.arange(m) < _reserve(m), np.arange(m), NO_SEGMENT)
+                    packed = slice(None) if band in odd else sizes > 0
+                    names += [whole[packed], less]
+                    flags += [(role | segment[packed] << SHIFT).astype(np.uint8), (role | DELETED | owner << SHIFT).astype(np.uint8)]
+                own, low = free[0], free.get(LOWER, (0, 0))
+                block.add((ent, comp, len(hashes), own[0], low[0], own[1], low[1]), names, flags)
+                if block.full():
+                    yield from block.rows()
+                    block = _Block(block.name + 1, parts)
+        yield from block.rows()
 
     return sign
 
 
+PACKED = "block long, part int, packed binary"
+
+
 def _meet(table):
-    """The subsets of one partition that sets of two groups share, one of them looking it up."""
-    names, ent, comp, sizes, allow, flags = (np.concatenate(x) for x in zip(*(_unpack(b.as_py()) for b in table.column("packed")), strict=True))
-    order = np.argsort(names, kind="stable")
-    names, ent, comp, sizes, allow, flags = names[order], ent[order], comp[order], sizes[order], allow[order], flags[order]
-    begin = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
-    size = np.diff(np.concatenate((begin, [len(names)])))
-    other = np.maximum.reduceat(comp, begin) != np.minimum.reduceat(comp, begin)
-    index = np.add.reduceat((flags & INDEX > 0).astype(np.int64), begin)
-    whole = np.maximum.reduceat((flags & DELETED == 0).astype(np.int64), begin)
-    looked = np.maximum.reduceat((flags & PROBE > 0).astype(np.int64), begin)
-    keep = np.repeat(other & (index > 0) & (whole > 0) & (looked > 0), size)
-    kept = lambda x, kind: pa.array(x[keep], kind)
-    return pa.table([kept(names.view(np.int64), pa.int64()), kept(ent, pa.int64()), kept(comp, pa.int64()), kept(sizes.astype(np.int32), pa.int32()), kept(allow.astype(np.int32), pa.int32()), kept(flags.astype(np.int32), pa.int32()), kept(np.repeat(index, size), pa.int64())], ["name", "ent", "comp", "n", "allow", "flags", "met"])
+    """Of one partition of the hash space: the subsets that sets of two groups share, by block. Heads of blocks pass."""
+    table = table.select(["block", "part", "packed"])
+    if table.column("part")[0].as_py() < 0:
+        return table
+    part, blocks = table.column("part")[0].as_py(), table.column("block").to_pylist()
+    messages = [_unpack(b.as_py(), *MESSAGE) for b in table.column("packed")]
+    counts = [len(x[0]) for x in messages]
+    cells = np.concatenate([np.cumsum(x[0], dtype=np.uint32) for x in messages])
+    local, flags = (np.concatenate([x[i] for x in messages]) for i in (1, 2))
+    names = np.unique(np.concatenate([x[4] for x in messages]))
+    group = np.empty(len(cells), np.int64)  # groups of several from 0; of one by message and set, below 0
+    at = 0
+    for k, x in enumerate(messages):
+        of = -1 - (np.int64(k) << 16) - np.arange(1 << 16)
+        of[x[3]] = np.searchsorted(names, x[4])
+        group[at : at + len(x[1])] = of[x[1]]
+        at += len(x[1])
+    order = np.argsort(cells, kind="stable")
+    cells, group, role = cells[order], group[order], flags[order]
+    begin = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+    size = np.diff(np.append(begin, len(cells)))
+    other = np.maximum.reduceat(group, begin) != np.minimum.reduceat(group, begin)
+    index = np.add.reduceat((role & LOWER == 0).astype(np.int64), begin)
+    whole = np.minimum.reduceat(role & DELETED, begin) == 0
+    keep = np.flatnonzero(np.repeat(other & (index > 0) & whole, size))
+    met = np.repeat(np.minimum(index, 0xFFFFFFFF), size)[keep].astype(np.uint32)
+    came = order[keep]
+    back = np.argsort(came)
+    came, cells, met = came[back], cells[keep][back], met[back]
+    ends = np.searchsorted(came, np.concatenate(([0], np.cumsum(counts))))
+    rows = [(blocks[k], _pack(cells[a:b], local[came[a:b]], flags[came[a:b]], met[a:b])) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
+    return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "part", "packed"])
+
+
+MET = "name long, ent long, comp long, n long, deleted boolean, indexed boolean, looked boolean, up boolean"
 
 
 def _allocate(table):
-    """For the sets of one partition, what each still looks up after the cost-based allocation."""
-    name, ent, comp, sizes, allow, flags, met = (table.column(c).to_numpy() for c in ("name", "ent", "comp", "n", "allow", "flags", "met"))
-    deleted, segment = flags & DELETED > 0, flags >> SHIFT
-    order = np.lexsort((name, -met, deleted, flags & LOWER, ent))  # of each set and band: whole subsets first, the most frequent ahead
-    key_ent, key_low = ent[order], (flags & LOWER)[order]
-    begin = np.flatnonzero(np.concatenate(([True], (key_ent[1:] != key_ent[:-1]) | (key_low[1:] != key_low[:-1]))))
+    """For the sets of one block: the shared subsets under which they are indexed, and those that they
+    still look up after the cost-based allocation."""
+    names = [x.split()[0] for x in MET.split(", ")]
+    kinds = [pa.bool_() if "boolean" in x else pa.int64() for x in MET.split(", ")]
+    parts, blobs = table.column("part").to_pylist(), table.column("packed").to_pylist()
+    shared = [(p, _unpack(b, *SHARED)) for p, b in zip(parts, blobs, strict=True) if p >= 0]
+    if not shared:
+        return pa.table([pa.array([], k) for k in kinds], names)
+    head = _unpack(blobs[parts.index(-1)], *HEAD)
+    name = np.concatenate([np.int64(p) << CELL | x[0].astype(np.int64) for p, x in shared])
+    local, flags, met = (np.concatenate([x[i] for _, x in shared]).astype(np.int64) for i in (1, 2, 3))
+    lower, deleted, segment = flags & LOWER, flags & DELETED > 0, flags >> SHIFT
+    order = np.lexsort((name, -met, deleted, lower, local))  # of each set and band: whole subsets first, the most frequent ahead
+    key = local[order] << 1 | lower[order]
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     end = np.append(begin[1:], len(order))
+    free = np.where(key[begin] & 1, head[4][key[begin] >> 1], head[3][key[begin] >> 1]).astype(np.int64)
+    may = np.where(key[begin] & 1, head[6][key[begin] >> 1], head[5][key[begin] >> 1]).astype(np.int64)
     whole = np.add.reduceat((~deleted[order]).astype(np.int64), begin)
-    live, raised_at = [], []
-    for i in np.flatnonzero(whole > (allow[order][begin] & 0xFFFF)):  # the others skip all that they share
+    looked, up = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    for i in np.flatnonzero(whole > free):  # the others skip all that they share
         rows = order[begin[i] : end[i]]
-        skips, spare = int(allow[rows[0]]) & 0xFFFF, int(allow[rows[0]]) >> 16
-        cost = np.bincount(segment[rows][segment[rows] < NO_SEGMENT], met[rows][segment[rows] < NO_SEGMENT], NO_SEGMENT)[:spare]
-        offers, raised = np.argsort(cost, kind="stable"), 0
-        while raised < spare and skips + raised < whole[i] and cost[offers[raised]] < met[rows[skips + raised]]:
+        skips, count = int(free[i]), int(whole[i])
+        offers = np.flatnonzero(may[i] >> np.arange(NO_SEGMENT) & 1)
+        reserve = segment[rows] < NO_SEGMENT
+        cost = np.bincount(segment[rows][reserve], met[rows][reserve], NO_SEGMENT)
+        offers = offers[np.argsort(cost[offers], kind="stable")]
+        raised = max(0, -skips)
+        while raised < len(offers) and skips + raised < count and cost[offers[raised]] < met[rows[skips + raised]]:
             raised += 1
-        up = np.isin(segment[rows], offers[:raised])
-        place = np.arange(len(rows))
-        active = up | (~deleted[rows] & (place >= skips + raised))
-        live.append(rows[active])
-        raised_at.append(up[active])
-    at = np.concatenate(live) if live else np.zeros(0, np.int64)
-    up = np.concatenate(raised_at) if live else np.zeros(0, bool)
-    return pa.table([pa.array(name[at]), pa.array(ent[at]), pa.array(comp[at]), pa.array(sizes[at]), pa.array(deleted[at]), pa.array(up)], ["name", "ent", "comp", "n", "deleted", "up"])
-
-
-MET = "name long, ent long, comp long, n int, allow int, flags int, met long"
+        up[rows] = np.isin(segment[rows], offers[:raised])
+        looked[rows] = up[rows] | (~deleted[rows] & (np.arange(len(rows)) >= skips + raised))
+    at = np.flatnonzero(looked | (lower == 0))
+    out = name[at], head[0][local[at]], head[1][local[at]], head[2][local[at]], deleted[at], lower[at] == 0, looked[at], up[at]
+    return pa.table([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -340,8 +435,8 @@ class _Join:
         self.scratch = Scratch(self.spark, "jaccard")
         self.docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
         self.turn = 0
-        base = self.docs.mapInArrow(describe, "doc_id long, n long, hi long, lo long, quick array<long>")
-        self.base = self.scratch.write(base, "base")
+        base = self.docs.mapInArrow(describe, "doc_id long, n long, hi long, lo long, quick array<long>, odd array<int>")
+        self.base = self.scratch.write_texts(base, "base")
         self.classes = self.scratch.write(
             self.base.where("n > 0").groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("quick").alias("quick")).where("rep is not null"), "classes"
         )
@@ -356,7 +451,7 @@ class _Join:
         texts = self.docs.join(few, "doc_id").select("doc_id", "lo", "text")
         rows = pairs.join(texts.toDF("v", "v_lo", "v_text"), "v").join(texts.toDF("u", "u_lo", "u_text"), "u")
         links = rows.select("u", "v", "u_lo", "v_lo", "u_text", "v_text").mapInArrow(verify, "u long, v long")
-        return self.scratch.write(links, f"links-{self.turn}")
+        return self.scratch.write_texts(links, f"links-{self.turn}")
 
     def possible(self, looks: DataFrame, index: DataFrame) -> DataFrame:
         """Pairs of ``looks`` and ``index`` (``name, ent, comp, n, deleted``; ``looks`` with ``up``)
@@ -387,14 +482,21 @@ class _Join:
         meet = self.scratch.write(side(0, "bv").join(side(1, "bu"), "name"), f"meet-{self.turn}")
         mine = F.when(F.col("kind") == 0, F.col("bv")).otherwise(F.col("bu"))
         dealt = entries.join(meet, "name").where(F.col("b") == mine).select("bv", "bu", "kind", "name", "ent", "comp", "n", "deleted", "up")
+        # a pair of blocks with many look-ups is cut by their sets, each part against all that is indexed
+        crowded = dealt.where("kind = 0").groupBy("bv", "bu").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > PAIR).select("bv", "bu", F.ceil(F.col("c") / PAIR).cast("int").alias("cuts"))
+        crowded = self.scratch.write(crowded, f"crowded-{self.turn}")
+        mine = F.pmod(F.xxhash64("ent"), F.coalesce("cuts", F.lit(1))).cast("int")
+        every = F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1)
+        dealt = dealt.join(_few(crowded), ["bv", "bu"], "left").withColumn("cut", F.explode(F.when(F.col("kind") == 0, F.array(mine)).otherwise(every))).drop("cuts")
         dealt = self.scratch.write(dealt, f"dealt-{self.turn}")
         ids = F.broadcast(blocks.select("ent")) if total <= BROADCAST_IDS else blocks.select("ent")
         cells = self.docs.join(ids, F.col("doc_id") == F.col("ent"), "left_semi").mapInArrow(_histograms, "doc_id long, n long, cells binary")
-        cells = cells.groupBy("doc_id").agg(F.first("cells").alias("cells"))
-        sets = dealt.select("bv", "bu", "ent", "n").distinct().join(cells.withColumnRenamed("doc_id", "ent"), "ent")
+        cells = self.scratch.write_texts(cells.groupBy("doc_id").agg(F.first("cells").alias("cells")), f"cells-{self.turn}")
+        self.scratch.drop(*(f"{x}-{self.turn}" for x in ("both", "leads", "placed", "crowds", "entries", "meet")))
+        sets = dealt.select("bv", "bu", "cut", "ent", "n").distinct().join(cells.withColumnRenamed("doc_id", "ent"), "ent")
         empty = {"kind": F.lit(2), "name": F.lit(0).cast("long"), "comp": F.lit(0).cast("long"), "deleted": F.lit(False), "up": F.lit(False)}
         rows = dealt.withColumn("cells", F.lit(None).cast("binary")).unionByName(sets.withColumns(empty))
-        return rows.groupBy("bv", "bu").applyInArrow(_compare, "u long, v long")
+        return rows.groupBy("bv", "bu", "cut").applyInArrow(_compare, "u long, v long")
 
     def quick_pairs(self) -> DataFrame:
         """Each class with the two it shares most quick subsets with, of those that lead a subset (smallest id)."""
@@ -414,26 +516,21 @@ class _Join:
         tagged = self.docs.where("text is not null and doc_id is not null").join(_few(info), "doc_id", "left")
         tagged = tagged.where("known is null or comp is not null").select("doc_id", F.coalesce("comp", "doc_id").alias("comp"), "text")
         words = self.base.agg(F.sum("n")).collect()[0][0] or 0
-        # about 20 million packed bytes for each part, and enough parts for all cores
-        parts = max(4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), 64, words // 1_500_000)
-        packed = tagged.mapInArrow(_signer(parts), "part int, packed binary")
-        return self.scratch.write(packed.groupBy("part").applyInArrow(_meet, MET), "met")
-
-    def allocated(self, met: DataFrame) -> DataFrame:
-        """The look-ups that remain once every set has skipped its most frequent subsets."""
-        parts = 2 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        probing = met.where(F.col("flags").bitwiseAND(F.lit(PROBE)) > 0).withColumn("part", F.pmod(F.xxhash64("ent"), F.lit(parts)))
-        return probing.groupBy("part").applyInArrow(_allocate, "name long, ent long, comp long, n int, deleted boolean, up boolean")
+        odd = frozenset(r[0] for r in self.base.select(F.explode("odd")).distinct().collect())
+        parts = max(4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), 64, words // PART_WORDS)
+        packed = tagged.mapInArrow(_signer(parts, odd), f"dest int, {PACKED}")
+        shared = packed.groupBy("dest").applyInArrow(_meet, PACKED)
+        return self.scratch.write_texts(shared.groupBy("block").applyInArrow(_allocate, MET), "met")
 
     def run(self) -> DataFrame:
         """``u, v``: enough links between representatives to connect all that are connected."""
         links = self.verified(self.quick_pairs())
         groups = self.scratch.write(components(links, self.scratch, "quick"), "groups-1")
         met = self.met(groups)
-        looks = self.scratch.write(self.allocated(met), "looks")
-        met = met.join(_few(looks.select("name").distinct()), "name", "left_semi")
-        index = met.where(F.col("flags").bitwiseAND(F.lit(INDEX)) > 0).select("name", "ent", "comp", "n", (F.col("flags").bitwiseAND(F.lit(DELETED)) > 0).alias("deleted"))
-        index = self.scratch.write(index, "index")
+        looks = self.scratch.write(met.where("looked").select("name", "ent", "comp", "n", "deleted", "up"), "looks")
+        index = met.where("indexed").join(_few(looks.select("name").distinct()), "name", "left_semi")
+        index = self.scratch.write(index.select("name", "ent", "comp", "n", "deleted"), "index")
+        self.scratch.drop("met")
         # one member of each other group first; of a group of one that is all
         single = index.join(groups.select("comp").distinct(), "comp", "left_anti")
         several = self.scratch.write(index.join(groups.select("comp").distinct(), "comp", "left_semi"), "several")

@@ -3,17 +3,37 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests.
+#: Used only on a local master whose session names no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/florilege"
+#: Rows of whole texts that a Python worker gets at a time.
+TEXT_ROWS = 100
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else a local default."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A cluster that names none
+    is refused, as its machines would each write to a folder of their own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "").split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or LOCAL_CHECKPOINTS
+
+
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
+    """For what is run inside: Arrow batches of few rows, as batches count rows and texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 class Scratch:
@@ -29,15 +49,28 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_texts(self, df: DataFrame, name: str) -> DataFrame:
+        """:meth:`write` for plans that hand whole texts to Python workers."""
+        with text_batches(self.spark):
+            return self.write(df, name)
+
     def keep_only(self, *names: str) -> None:
         """Delete the tables that nothing will read again: all but ``names``."""
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        root, fs = self._root()
         for status in fs.listStatus(root):
             if status.getPath().getName() not in names:
                 fs.delete(status.getPath(), True)
 
+    def drop(self, *names: str) -> None:
+        """Delete tables whose last reader is done."""
+        root, fs = self._root()
+        for name in names:
+            fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, name), True)
+
+    def _root(self):
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        return root, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
 
 def keyed(df: DataFrame, scratch: Scratch) -> DataFrame:
     """``_row, _doc``: the rows of ``df`` as structs, each with a key of its own, written once, so that

@@ -6,9 +6,13 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+import pytest
+
 from florilege.llm import decontamination as dc
 from florilege.llm import jaccard_join as jj
 from florilege.llm import line_dedup as ld
+from florilege.llm import shingles as sh
 from tests.llm.cases import awkward, empty
 
 SPACE = re.compile("[^\x20\x09-\x0d]+")
@@ -70,6 +74,39 @@ def test_jaccard_components_against_brute_force(spark):
     assert got == want
 
 
+def tight(monkeypatch):
+    """Neither slack nor reserve: many sets have more empty segments than they may skip."""
+    for name, value in {"SLACK": 0, "LEAST_SLACK": 0, "RESERVE": 0, "LEAST_RESERVE": 0}.items():
+        monkeypatch.setattr(jj, name, value)
+
+
+def small_blocks(monkeypatch):
+    for name, value in {"FLUSH": 500, "PART_WORDS": 200, "BLOCK": 5, "PAIR": 20, "CELL": 12}.items():
+        monkeypatch.setattr(jj, name, value)
+
+
+@pytest.mark.parametrize("change", [tight, small_blocks])
+def test_jaccard_components_do_not_depend_on_layout(spark, monkeypatch, change):
+    docs = awkward(spark, [t for seed in (4, 5) for t in families(seed)])
+    want = brute_components([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+    change(monkeypatch)
+    if change is tight:
+        assert jj._Join(docs).base.where("size(odd) > 0").count() > 3
+    got = sorted((tuple(r) for r in jj.join_components(docs).select("doc_id", "n_shingles", "component_id").collect()), key=repr)
+    assert got == want
+
+
+def test_long_texts_hash_as_in_one_piece(monkeypatch):
+    rng = random.Random(1)
+    texts = pa.array(["".join(rng.choice("abC dE\n\t ") for _ in range(rng.choice([0, 3, 50, 400]))) for _ in range(60)] + ["x" * 3000 + " a b c d e f", " " * 2000 + "q w e r t y"])
+    whole = [x.tolist() for x in sh.shingle_sets(texts)]
+    for piece in (1, 7, 333):
+        monkeypatch.setattr(sh, "PIECE", piece)
+        for name, table in zip(("_POWER", "_INVERSE"), sh._powers(), strict=True):
+            monkeypatch.setattr(sh, name, table)
+        assert [x.tolist() for x in sh.shingle_sets(texts)] == whole
+
+
 def test_one_of_each_component_stays(spark):
     docs = awkward(spark)
     kept = jj.keep_first(docs)
