@@ -1,7 +1,8 @@
 """The corpus pipeline: from raw documents to balanced shards of a mixed, clean corpus.
 
 Each stage works on all that the stage before it kept, and its result is written to the shared
-folder and read again, so a lost executor costs one stage at most.
+folder and read again, so a lost executor costs one stage at most. A table goes once the stage that
+reads it is written.
 
 * language ID keeps documents in a language learned from the corpus; those without letters, or that
   no learned language explains, go;
@@ -12,6 +13,11 @@ folder and read again, so a lost executor costs one stage at most.
 
 All stages but the last return the columns of ``documents``; the last returns the columns of the
 sharding operator.
+
+Defined results, in every stage: a null, empty or blank text goes with the first stage, as it has no
+letter; a null id is kept and judged by its text; a null source is a source of its own; repeated rows
+are near copies, of which one stays; extra columns come along to the last stage but one, whatever
+their names; texts of any length are taken whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -59,6 +65,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for before, (name, stage) in zip([None, *(name for name, _ in STAGES)], STAGES, strict=False):
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
     return docs
