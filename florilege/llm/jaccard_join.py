@@ -68,7 +68,7 @@ SLACK, LEAST_SLACK = 0.12, 3
 #: then fewer, so that small sets, which a common line can fill, have many.
 RESERVE, LEAST_RESERVE = 15, 2
 #: Cells of the histograms that refute pairs, sets in a block of them, and look-ups in a part of a pair of blocks.
-CELLS, BLOCK, PAIR = 1024, 4000, 16_000
+CELLS, BLOCK, PAIR = 1024, 1000, 100_000
 #: Segments that the first, quick look-up uses.
 QUICK = 16
 #: Id lists are broadcast up to so many rows of 16 bytes.
