@@ -4,11 +4,15 @@ Tokens are summed per source; sources ordered by code point (null last) weigh 1,
 and share the words of all sources by weight, except that a source is never asked for more than
 three times what it holds; what it cannot give is shared anew among the others, by weight. The
 rate of a source is its target over its size. Each document is emitted floor(rate) times, plus one
-Bernoulli copy with a probability equal to the fraction. The draws are seeded by hashes: documents
-of a source stand in the order of their size class and the MD5 of their id, and the copy goes to
-those at which ``rank * fraction + phase`` passes a whole number, where the phase comes from the
-MD5 of the source's name. So each draw has the right probability, the draws of one source
-balance each other, and a rerun draws the same.
+Bernoulli copy with a probability equal to the fraction: the document draws a number by the MD5 of
+its id, and is copied if that lies below the fraction. Alone, these draws would leave a source with
+few or unlike documents far from its target, so a few of them are repaired in the order of their
+hashes: the fraction moves to the number at which the words of the copied documents come nearest to
+what the target lacks. So a draw depends on the document's own hash and one cut for each source, and
+a rerun draws the same.
+
+The cut is found from sums over the first hex digits of the hashes, and within one bucket of these
+from the documents themselves; the table is neither sorted nor ranked.
 
 Defined results: a null text has size 0 and is emitted as others of its source are; a null source
 is a source of its own; a source of size 0 has target 0 and nothing of it is emitted. Rows that
@@ -21,11 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from florilege.llm.scratch import BROADCAST_ROWS, Scratch, ranked
+from florilege.llm.scratch import BROADCAST_ROWS, Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_REPEATS = 3
 WEIGHTS = 3
+#: Hex digits of a hash that name its bucket.
+DIGITS = 3
 
 
 def n_words(text: Column) -> Column:
@@ -50,24 +56,41 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return levelled.withColumn("target", F.least("cap", level * F.col("w"))).select("_src", "source_size", "target")
 
 
-def _bucket() -> Column:
-    bits = F.bin("_size")
-    return F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 1, 3), F.substring("_hash", 1, 1))
+def _cuts(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """``_src, cut``: the last hash and size, in their order, of each source that still get a copy."""
+    lacks = F.when(F.col("source_size") > 0, F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")).otherwise(F.lit(0.0))
+    lacking = targets.select("_src", lacks.alias("_lacks")).where("_lacks > 0")
+    buckets = sized.groupBy("_src", F.substring("_hash", 1, DIGITS).alias("_bucket")).agg(F.sum("_size").alias("_sum"))
+    running = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = buckets.withColumn("_before", F.coalesce(F.sum("_sum").over(running), F.lit(0)))
+    same = lambda left, right: left.join(right.withColumnRenamed("_src", "_of"), F.col("_src").eqNullSafe(F.col("_of"))).drop("_of")
+    last = same(before, lacking).where("_before <= _lacks").groupBy("_src").agg(F.max(F.struct("_bucket", "_before", "_lacks")).alias("at")).select("_src", "at.*")
+    inside = same(sized, _few(last)).where(F.substring("_hash", 1, DIGITS) == F.col("_bucket"))
+    drawn = inside.groupBy("_src", "_bucket", "_before", "_lacks", "_hash", "_size").agg(F.sum("_size").alias("_sum"))
+    within = Window.partitionBy("_src").orderBy("_hash", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.col("_before") + F.coalesce(F.sum("_sum").over(within), F.lit(0)) + F.col("_sum") / F.lit(2.0)
+    fits = drawn.withColumn("_fits", taken <= F.col("_lacks"))
+    # where no document of the bucket fits, all buckets before it do
+    cut = F.coalesce(F.max(F.when(F.col("_fits"), F.struct("_hash", "_size"))), F.struct(F.first("_bucket").alias("_hash"), F.lit(-1).cast("long").alias("_size")))
+    return fits.groupBy("_src").agg(cut.alias("cut"))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """``df``, a row for each source, with a broadcast hint while it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def with_copies(sized: DataFrame, scratch: Scratch, slim: DataFrame | None = None) -> DataFrame:
-    """Add ``source_size, target, copies`` to rows with ``_id, _src, _size, _hash``."""
+    """Add ``source_size, target, copies`` to rows with ``_id, _src, _size, _hash``. ``slim``: these
+    columns alone of the same rows, to count from."""
     counted = slim if slim is not None else sized
     targets = scratch.write(source_targets(counted), "targets")
-    if targets.count() <= BROADCAST_ROWS:
-        targets = F.broadcast(targets)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    joined = ranked(sized, scratch, ["_src"], _bucket(), [F.col("_hash"), F.col("_size")], "_rank", counted)
-    joined = joined.join(targets.withColumnRenamed("_src", "_to"), F.col("_src").eqNullSafe(F.col("_to")), "left").drop("_to").withColumn("_rate", rate)
-    part = F.col("_rate") - F.floor("_rate")
-    phase = F.conv(F.substring(F.md5(F.coalesce("_src", F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    extra = F.floor((F.col("_rank") + 1) * part + phase) - F.floor(F.col("_rank") * part + phase)
-    return joined.withColumn("copies", (F.floor("_rate") + extra).cast("long")).drop("_rank", "_rate")
+    cuts = scratch.write(_cuts(counted, targets), "cuts").withColumnRenamed("_src", "_cut_src")
+    both = targets.join(cuts, F.col("_src").eqNullSafe(F.col("_cut_src")), "left").drop("_cut_src").withColumnRenamed("_src", "_to")
+    joined = sized.join(_few(scratch.write(both, "rates")), F.col("_src").eqNullSafe(F.col("_to")), "left").drop("_to")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    extra = F.coalesce((F.struct("_hash", "_size") <= F.col("cut")).cast("long"), F.lit(0))
+    return joined.withColumn("copies", (whole + extra).cast("long")).drop("cut")
 
 
 def _columns(docs: DataFrame) -> dict[str, Column]:
@@ -95,7 +118,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH sized AS (SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS h,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
-ordered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(bin(size)), substr(bin(size), 1, 3), h, size) - 1 AS r FROM sized),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w, (3 * source_size)::DOUBLE AS cap,
     row_number() OVER (ORDER BY source NULLS LAST) AS rn FROM totals),
@@ -103,9 +125,11 @@ levels AS (SELECT *, (sum(source_size::DOUBLE) OVER () - coalesce(sum(cap) OVER
     FROM weighed WINDOW before AS (ORDER BY cap / w, rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 chosen AS (SELECT first(lvl ORDER BY cap / w, rn) AS lvl FROM levels WHERE lvl <= cap / w),
 targets AS (SELECT source, source_size, least(cap, w * (SELECT lvl FROM chosen)) AS target FROM weighed),
-rates AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
-    ('0x' || substr(md5(coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM targets)
-SELECT doc_id, size, source_size, target,
-  (size * (floor(rate) + floor((r + 1) * (rate - floor(rate)) + u) - floor(r * (rate - floor(rate)) + u)))::BIGINT AS taken
-FROM ordered o JOIN rates t ON o.source IS NOT DISTINCT FROM t.source
+rates AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0.0 END AS whole FROM targets),
+drawn AS (SELECT source, h, size, sum(size) AS words FROM sized GROUP BY source, h, size),
+placed AS (SELECT source, h, size, coalesce(sum(words) OVER (PARTITION BY source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + words / 2.0::DOUBLE AS middle FROM drawn),
+copied AS (SELECT p.source, h, size, (source_size > 0 AND target - whole * source_size > 0 AND middle <= target - whole * source_size)::INT AS extra
+    FROM placed p JOIN rates t ON p.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, s.size, source_size, target, (s.size * (whole + extra))::BIGINT AS taken
+FROM sized s JOIN rates t ON s.source IS NOT DISTINCT FROM t.source JOIN copied c ON s.source IS NOT DISTINCT FROM c.source AND s.h = c.h AND s.size = c.size
 """
