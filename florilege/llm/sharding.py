@@ -4,8 +4,9 @@ Documents with equal texts are linked. Each link group hangs on a hub (its membe
 so no pairs are made); a group that would fill a large part of a shard is split by a hash of its
 ids into chunks that vote for themselves. Documents begin in the shard of a hash of their id. In each round
 every hub finds the shard where most of its members are, and the others propose to move there;
-a shard accepts, by a hash of the hub, no more than its quota of linked documents leaves room for.
-The rounds end when nothing moves. Then rows beyond a shard's exact share, unlinked ones
+a shard accepts, by a hash of the hub, no more than its quota of linked documents leaves room for,
+counting the room that those who leave it in this round make. The rounds end when a round moves
+nothing, or less than ``LEAST_MOVED`` of the documents that are linked. Then rows beyond a shard's exact share, unlinked ones
 first, go to the shards that lack rows. The law that holds is ``rows``: the counts of any two
 shards differ by one at most.
 
@@ -13,7 +14,7 @@ Only tables of one row for each shard come to the driver. Ranks are counted in b
 (see :func:`florilege.llm.scratch.ranked`), so that no task holds a shard.
 
 Defined results: a null text has size 1 (no bytes plus 1), CRC 0 and no links. Repeated rows are
-linked copies; each gets a slot. With fewer rows than shards some shards are empty. An empty table
+linked copies; each gets a slot. Equal votes are broken by a hash. Texts of any length count whole. With fewer rows than shards some shards are empty. An empty table
 gives an empty result. Columns other than ``doc_id`` and ``text`` are ignored.
 """
 
@@ -25,9 +26,10 @@ from pyspark.sql import functions as F
 from florilege.llm.scratch import Scratch, ranked
 
 SHARDS = 16
-ROUNDS = 6
-#: A group is split into chunks of about this part of a shard.
-CHUNK_PART = 4
+#: Part of the linked documents that a round has to move for another one to follow.
+LEAST_MOVED = 0.001
+#: A group that is larger than this part of a shard is split into chunks of about that size.
+CHUNK_PART = 1
 RANK_BUCKETS = 256
 
 
@@ -45,21 +47,36 @@ def _per_shard(df: DataFrame, key: str, value: Column, shards: int) -> list[int]
     return [found.get(i, 0) for i in range(shards)]
 
 
+def _room(flow: dict[tuple[int, int], int], load: list[int], quota: int, shards: int) -> list[float]:
+    """The part of the proposals to move to each shard that it can accept: the greatest parts at which
+    no shard gets beyond its quota, or beyond its load if that is more, once the others have left."""
+    part = [1.0] * shards
+    incoming = [sum(n for (a, b), n in flow.items() if b == i != a) for i in range(shards)]
+    while True:
+        leaving = [sum(n * part[b] for (a, b), n in flow.items() if a == i != b) for i in range(shards)]
+        most = [min(1.0, max(0.0, max(quota, load[i]) - load[i] + leaving[i]) / incoming[i]) if incoming[i] else 0.0 for i in range(shards)]
+        if all(p - m < 1e-4 for p, m in zip(part, most, strict=True)):
+            return most
+        part = most
+
+
 def _propagate(state: DataFrame, scratch: Scratch, shards: int, quota: int) -> DataFrame:
     """Move hubs' members together. ``state``: ``grp, chunk, init, cnt, cur``."""
     hub = ["grp", "chunk"]
-    for turn in range(ROUNDS):
+    turn = 0
+    while True:
         votes = state.groupBy(*hub, "cur").agg(F.sum("cnt").alias("v"))
         wish = votes.groupBy(*hub).agg(F.max(F.struct("v", F.xxhash64(*hub, "cur").alias("tie"), "cur"))["cur"].alias("wish"))
         asked = state.join(wish, hub)
-        load = _per_shard(state, "cur", F.sum("cnt"), shards)
-        incoming = _per_shard(asked.where("cur <> wish"), "wish", F.sum("cnt"), shards)
-        if not any(incoming):
-            break
-        room = [min(1.0, max(0, quota - load[i]) / incoming[i]) if incoming[i] else 0.0 for i in range(shards)]
+        flow = {(r["cur"], r["wish"]): r["n"] for r in asked.groupBy("cur", "wish").agg(F.sum("cnt").alias("n")).collect()}  # shards x shards rows
+        load = [sum(n for (a, _), n in flow.items() if a == i) for i in range(shards)]
+        total = sum(load)
+        room = _room(flow, load, quota, shards)
+        if sum(n * room[b] for (a, b), n in flow.items() if a != b) < max(1, LEAST_MOVED * total):
+            return state
         moves = (F.col("cur") != F.col("wish")) & (_unit(F.col("grp"), F.col("chunk"), F.lit(turn)) < _pick(room, F.col("wish")))
         state = scratch.write(asked.select(*hub, "init", "cnt", F.when(moves, F.col("wish")).otherwise(F.col("cur")).alias("cur")), f"state-{turn}")
-    return state
+        turn += 1
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
