@@ -13,7 +13,8 @@ matches, and the lengths of pieces and matches before a match add up to its star
 Main path: DataFrame functions only.
 
 Defined results: a null text is the empty blob, with no spans. Rows with one text share a blob and
-each get its findings, repeated rows included. An empty table gives an empty result. Columns other
+each get its findings, repeated rows included. Texts of any length are scanned whole, in time that
+grows with their length. An empty table gives an empty result. Columns other
 than ``doc_id`` and ``text`` are ignored.
 """
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from florilege.llm.scratch import Scratch
@@ -60,28 +61,41 @@ SPAN = "struct<start:int,rank:int,rule:string,kind:string,end:int>"
 LEDGER = f"blob_id binary, fresh array<string>, spans array<{SPAN}>"
 
 
-def _spans(text: Column, rule: Rule, rank: int) -> Column:
-    """All spans of one rule in ``text``."""
+def _steps(text: Column, rule: Rule) -> Column:
+    """Of one rule: for each match the code points since the last one (``gap``), its own (``m``) and
+    those of the measured group (``g``). Null if no match passes."""
     pattern = F.lit(rule.pattern)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     measured = found if rule.measured == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.measured))
-    steps = F.zip_with(F.split(text, rule.pattern, -1), F.zip_with(found, measured, lambda m, g: F.struct(F.length(m).alias("m"), F.length(g).alias("g"))), lambda piece, m: F.struct(F.length(piece).alias("gap"), m["m"].alias("m"), m["g"].alias("g")))
-    empty = F.array().cast(f"array<{SPAN}>")
+    lengths = F.zip_with(found, measured, lambda m, g: F.struct(F.length(m).alias("m"), F.length(g).alias("g")))
+    steps = F.zip_with(F.split(text, rule.pattern, -1), lengths, lambda piece, m: F.struct(F.length(piece).alias("gap"), m["m"].alias("m"), m["g"].alias("g")))
+    return F.when(F.exists(measured, lambda g: F.length(g) >= rule.least), steps)
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        span = F.struct(start.cast("int").alias("start"), F.lit(rank).alias("rank"), F.lit(rule.key).alias("rule"), F.lit(rule.kind).alias("kind"), (start + x["m"]).cast("int").alias("end"))
-        keep = x["m"].isNotNull() & (x["g"] >= rule.least)
-        return F.struct((start + F.coalesce(x["m"], F.lit(0))).cast("int").alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    folded = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("out")), add)["out"].cast(f"array<{SPAN}>")
-    return F.when(F.size(F.filter(measured, lambda g: F.length(g) >= rule.least)) > 0, folded).otherwise(empty)
+def _found(pending: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``blob_id, fresh, spans`` from ``blob_id, text, fresh, old``: old spans and those of fresh rules.
+
+    Starts are running sums over the matches of a blob and rule, so a text with any number of matches
+    takes time in proportion. Blobs are dealt by their id already; nothing is shuffled again.
+    """
+    of = [F.when(F.array_contains("fresh", r.key), _steps(F.col("text"), r)) for r in rules]
+    scanned = F.filter(F.array(*[F.when(x.isNotNull(), F.struct(F.lit(i).alias("rank"), x.alias("steps"))) for i, x in enumerate(of)]), lambda x: x.isNotNull())
+    each = pending.select("blob_id", "fresh", "old", F.explode_outer(scanned).alias("x"))
+    each = each.select("blob_id", "fresh", "old", F.col("x.rank").alias("rank"), F.posexplode_outer("x.steps").alias("pos", "s"))
+    stop = F.sum(F.col("s.gap") + F.coalesce("s.m", F.lit(0))).over(Window.partitionBy("blob_id", "rank").orderBy("pos")).cast("int")
+    named = lambda value: F.element_at(F.array(*[F.lit(value(r)) for r in rules]), F.col("rank") + 1)
+    span = F.struct((F.col("stop") - F.col("s.m")).alias("start"), "rank", named(lambda r: r.key).alias("rule"), named(lambda r: r.kind).alias("kind"), F.col("stop").alias("end"))
+    kept = each.withColumn("stop", stop).select("blob_id", "fresh", "old", F.when(F.col("s.g") >= named(lambda r: r.least), span).alias("span"))
+    per_blob = kept.groupBy("blob_id").agg(F.first("fresh").alias("fresh"), F.first("old").alias("old"), F.collect_list("span").alias("new"))
+    return per_blob.select("blob_id", "fresh", F.array_sort(F.array_distinct(F.concat("old", "new"))).cast(f"array<{SPAN}>").alias("spans"))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(findings, run): ``doc_id, spans`` for each document, and this run's rows of the ledger.
 
-    ``ledger``: the rows of earlier runs (any union of them), or None. Append ``run`` to it.
+    ``docs``: ``doc_id, text``; a document may come in any number of versions, each a row that gets
+    its own findings. ``ledger``: the rows of earlier runs (any union of them), or None. Append
+    ``run`` to it; its ``fresh`` says which rule versions this run has scanned a blob for.
     """
     spark = docs.sparkSession
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob_id", F.unhex(F.sha2("text", 256)))
@@ -94,18 +108,29 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | N
         past = ledger.groupBy("blob_id").agg(F.array_distinct(F.flatten(F.collect_list("fresh"))).alias("seen"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("old"))
         known = blobs.join(past, "blob_id", "left").withColumns({"seen": F.coalesce("seen", F.array().cast("array<string>")), "old": F.coalesce("old", none)})
     pending = known.withColumn("fresh", F.array_except(keys, F.col("seen")))
-    new = F.concat(*[F.when(F.array_contains("fresh", r.key), _spans(F.col("text"), r, i)).otherwise(none) for i, r in enumerate(rules)])
     held = F.filter("old", lambda s: F.array_contains(keys, s["rule"]))
-    run = pending.select("blob_id", "fresh", F.array_sort(F.array_distinct(F.concat(held, new))).cast(f"array<{SPAN}>").alias("spans"))
-    run = Scratch(spark, "secret-ledger").write(run, "run")
+    run = Scratch(spark, "secret-ledger").write(_found(pending.withColumn("old", held), rules), "run")
     hits = run.where(F.size("spans") > 0).select("blob_id", "spans")
     findings = keyed.select("doc_id", "blob_id").join(hits, "blob_id", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
     return findings, run
 
 
-def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scan_with_ledger(docs: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``doc_id, spans`` for each row of ``docs``; what earlier runs over ``folder`` have scanned is taken
+    from their ledger there, and this run's rows are appended to it."""
+    spark = docs.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    kept = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    findings, run = scan(docs, rules, spark.read.schema(LEDGER).parquet(folder) if kept else None)
+    run.where(F.size("fresh") > 0).write.mode("append").parquet(folder)
+    return findings
+
+
+def op1_secret_scans(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """``ledger``: a shared folder that keeps what is scanned from one call to the next; without one, this
+    run's ledger begins empty and is a table of the run."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    findings, _ = scan(docs)
+    findings = scan_with_ledger(docs, ledger) if ledger else scan(docs)[0]
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     line = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     out = findings.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), line.alias("spans"))
