@@ -3,7 +3,7 @@
 A rule is a host and the beginning of a path. It fits its host and every subdomain of it when the
 URL's path starts with the rule's path. The listed key of a rule is ``host + path`` ("com/fr/").
 Every URL yields its possible keys: each suffix of its host at a label boundary, with each prefix
-of its path that is as long as some rule's path. The keys are probed in a blocked Bloom filter
+of its path that is as long as some rule's path (or every prefix, if rules have many lengths). The keys are probed in a blocked Bloom filter
 (one key touches one 512-bit block); only possible hits reach the exact join with the rules, which
 removes the false positives. The longest rule that fits wins (host and path together); two rules of
 one length with different verdicts: block wins.
@@ -11,7 +11,7 @@ one length with different verdicts: block wins.
 Main path: DataFrame functions only.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, no rule and the
-default verdict. Repeated rows are judged alike, each in its own row. An empty table gives an empty
+default verdict. URLs of any length are judged whole. Repeated rows are judged alike, each in its own row. An empty table gives an empty
 result. Other columns of the input are ignored by :func:`judge_urls`, whatever their names, and
 kept by :func:`filter_pages`.
 """
@@ -33,6 +33,8 @@ LANES = 8
 BITS_PER_KEY = 16
 #: The filter is at most this many 72-byte blocks (about 9 MB), however long the list.
 MAX_BLOCKS = 1 << 17
+#: Path lengths of rules that the plan lists; with more kinds, every prefix of a path is a possible key.
+LISTED_LENGTHS = 64
 
 
 def ascii_lower(text: Column) -> Column:
@@ -75,7 +77,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     """``page_id, url, host, path, rule, verdict`` for every row of ``pages``."""
     spark = pages.sparkSession
     n_rules = rules.count()
-    lengths = [r[0] for r in rules.select(F.length("rule_path")).distinct().limit(4096).collect()]  # a URL's path is shorter than 4096 kinds
+    kinds = rules.select(F.length("rule_path").alias("n")).distinct()
+    lengths = [r[0] for r in kinds.limit(LISTED_LENGTHS + 1).collect()]
     listed = rules.select(F.concat("rule_host", "rule_path").alias("key"), F.struct("rule_host", "rule_path", "rule_verdict").alias("entry"))
     exact = listed.groupBy("key").agg(F.max(F.col("entry.rule_verdict")).alias("key_verdict"))
     urls = pages.select("page_id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
@@ -86,7 +89,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
 
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(lengths)]), lambda p: p.isNotNull())
+    if len(lengths) <= LISTED_LENGTHS:
+        prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted(lengths)]), lambda p: p.isNotNull())
+    else:
+        prefixes = F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     keys = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
     probes = urls.where("host <> ''").select("page_id", "url", F.explode(keys).alias("key")).withColumn("block", _block(F.col("key"), n_blocks))
     passed = None
