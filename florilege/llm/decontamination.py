@@ -14,7 +14,7 @@ The terms and windows of the items are broadcast only in blocks of a bounded siz
 Main path: DataFrame functions only.
 
 Defined results: a null or empty text has no words, is never hit and never contaminated; an item
-without words has no windows. Repeated documents are judged each in its own row; items with equal
+without words has no windows. Texts of any length are indexed whole. Repeated documents are judged each in its own row; items with equal
 text all count. With no items nothing is hit; no documents give an empty result. Columns other than
 ``doc_id`` and ``text`` (``item_id`` and ``text``) are ignored by :func:`match`;
 :func:`remove_contaminated` keeps all columns of the documents, whatever their names.
@@ -73,11 +73,13 @@ def probes(phrases: DataFrame, counts: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, terms: DataFrame, context: int) -> DataFrame:
     """``row, doc_id, n_words, term, pos, lead, around`` of every occurrence of ``terms`` (broadcast).
+    ``docs``: ``row, doc_id, text``; without ``row``, rows are numbered here.
 
     Each document also gets a posting of the empty term, at position -1, that holds its length.
     ``around`` has the ``lead`` words before the term, the term, and up to ``context`` after it.
     """
-    split = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w"))
+    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id().alias("row")
+    split = docs.select(row, "doc_id", words(F.col("text")).alias("w"))
     all_terms = F.concat(F.array(F.lit("")), F.col("w"))
     each = split.select("row", "doc_id", "w", F.posexplode(all_terms).alias("at", "term"))
     kept = each.join(F.broadcast(terms), "term")
@@ -122,11 +124,14 @@ def match(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     counts = term_counts(docs.select("text"), scratch.write(terms, "terms"), n_bytes <= BLOCK_BYTES)
     entries = scratch.write(probes(phrases, counts), "entries")
     blocks = -(-n_bytes * PROBES // BLOCK_BYTES) or 1
+    read = docs.select("doc_id", "text")
+    if blocks > 1:  # one numbering for all blocks
+        read = scratch.write(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "numbered")
     found, heads = [], None
     for b in range(blocks):
         part = entries.where(F.pmod("window", F.lit(blocks)) == b)
         listed = part.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
-        index = scratch.write(postings(docs.select("doc_id", "text"), listed, size - 1).repartition("row"), f"postings-{b}")
+        index = scratch.write(postings(read, listed, size - 1).repartition("row"), f"postings-{b}")
         heads = heads if heads is not None else index.where("pos < 0").select("row", "doc_id", "n_words")
         starts = phrase_starts(index, part)
         held = part.where("rank = 0").select(F.col("window").alias("_w"), "items")

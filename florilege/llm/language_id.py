@@ -19,7 +19,8 @@ the model that goes to the executors is languages x ``BUCKETS`` numbers.
 Inference works on whole texts, in Arrow batches (numpy on trigram counts).
 
 Defined results: text null or without a letter: ``und``, score 0, rejected. No labelled documents:
-every text is ``und``. Null id: held out. Repeated rows are judged alike. An empty table gives an
+every text is ``und``. A text of any length is counted whole; where two languages have equal
+proportions, the first by code point is predicted. Null id: held out. Repeated rows are judged alike. An empty table gives an
 empty result. :func:`keep_known` keeps all columns of its input, whatever their names.
 """
 
@@ -32,6 +33,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from florilege.llm.scratch import Scratch, text_batches
+
 BUCKETS = 1 << 14
 #: Labelled documents drawn for each language, on average, where there are more.
 TRAIN_DOCS = 3000
@@ -149,7 +152,8 @@ def train(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS) -> Model:
     unit = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = usable.where(unit < part[F.col("lang")]).select("text", "lang")
     sums = drawn.mapInPandas(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    rows = sums.toPandas()  # at most languages x BUCKETS rows
+    with text_batches(labelled.sparkSession):
+        rows = sums.toPandas()  # at most languages x BUCKETS rows
     langs = sorted(set(rows["lang"]))
     counts = np.zeros((len(langs), BUCKETS))
     counts[[langs.index(x) for x in rows["lang"]], rows["bucket"].to_numpy(np.int64)] = rows["n"]
@@ -188,11 +192,12 @@ def identify(docs: DataFrame) -> tuple[Column, Model]:
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` in one of the learned languages, all columns kept."""
     predicted, _ = identify(docs)
-    return docs.where(~predicted["rejected"])
+    return Scratch(docs.sparkSession, "language").write_texts(docs.where(~predicted["rejected"]), "known")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     predicted, _ = identify(docs)
     out = docs.select("doc_id", held_out().alias("held_out"), predicted.alias("p"))
+    out = Scratch(spark, "language").write_texts(out, "predicted")
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.languages", "p.background", "p.rejected")
