@@ -113,9 +113,10 @@ def proximity(index: DataFrame, left: str, right: str, within: int) -> DataFrame
     return a.join(b, ["row", "bin"]).where(F.abs(F.col("left_pos") - F.col("right_pos")) <= within).select("doc_id", "left_pos", "right_pos")
 
 
-def match(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``row, doc_id, n_words, n_hit, items`` for each document; ``items``: sorted ids, as strings."""
-    scratch = Scratch(docs.sparkSession, "decontamination")
+def match(docs: DataFrame, items: DataFrame, size: int = WINDOW, scratch: Scratch | None = None) -> DataFrame:
+    """``row, doc_id, n_words, n_hit, items`` for each document; ``items``: sorted ids, as strings.
+    The result reads the index that this writes to ``scratch``."""
+    scratch = scratch or Scratch(docs.sparkSession, "decontamination")
     phrases = windows(items, size).withColumn("window", F.xxhash64(F.array_join("phrase", " ")))
     phrases = scratch.write(phrases, "windows")
     weight = F.sum(F.length(F.array_join("phrase", " ")) + 24 * F.size("phrase") + 16 * F.size("items") + 64)
@@ -155,8 +156,11 @@ def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Rows have keys of their own here: each is judged by its text, whatever its id.
     """
-    rows = keyed(docs, Scratch(docs.sparkSession, "contaminated"))
-    bad = match(rows.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text")), items).where(is_contaminated()).select(F.col("doc_id").alias("_bad"))
+    scratch = Scratch(docs.sparkSession, "contaminated")
+    rows = keyed(docs, scratch)
+    matched = match(rows.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text")), items, scratch=scratch)
+    bad = scratch.write(matched.where(is_contaminated()).select(F.col("doc_id").alias("_bad")), "bad")
+    scratch.keep_only("bad", "keyed")
     return rows.join(bad, F.col("_row") == F.col("_bad"), "left_anti").select("_doc.*")
 
 

@@ -68,7 +68,7 @@ SLACK, LEAST_SLACK = 0.12, 3
 #: then fewer, so that small sets, which a common line can fill, have many.
 RESERVE, LEAST_RESERVE = 15, 2
 #: Cells of the histograms that refute pairs, sets in a block of them, and look-ups in a part of a pair of blocks.
-CELLS, BLOCK, PAIR = 1024, 1000, 100_000
+CELLS, BLOCK, PAIR = 1024, 2000, 100_000
 #: Segments that the first, quick look-up uses.
 QUICK = 16
 #: Id lists are broadcast up to so many rows of 16 bytes.
@@ -548,7 +548,10 @@ class _Join:
 
 def join_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs``."""
-    job = _Join(docs)
+    return _components_of(_Join(docs))
+
+
+def _components_of(job: _Join) -> DataFrame:
     links = job.run()
     comps = job.scratch.write(components(links, job.scratch, "final"), "groups-final")
     # representatives are the smallest ids of their classes, so the smallest representative is the smallest id
@@ -567,12 +570,15 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Rows are joined by keys of their own, so that repeated rows, rows that share an id and rows of a
     null id are judged each by its text. Rows without shingles all stay.
     """
-    rows = keyed(docs, Scratch(docs.sparkSession, "near-copies"))
-    held = join_components(rows.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text"))).where("n_shingles > 0")
+    scratch = Scratch(docs.sparkSession, "near-copies")
+    rows = keyed(docs, scratch)
+    job = _Join(rows.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text")))
+    held = _components_of(job).where("n_shingles > 0")
     held = held.select(F.col("doc_id").alias("_gone"), "component_id").join(rows.select(F.col("_row").alias("_gone"), F.col("_doc.doc_id").alias("id")), "_gone")
     # a group of one loses nothing, so only groups of several are looked at
     first = held.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "_gone"))["_gone"].alias("_first"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    gone = held.join(first, "component_id").where("_gone <> _first").select("_gone")
+    gone = scratch.write(held.join(first, "component_id").where("_gone <> _first").select("_gone"), "gone")
+    job.scratch.keep_only()
     return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").select("_doc.*")
 
 

@@ -8,6 +8,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Used only on a local master whose session names no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/florilege"
@@ -73,9 +74,17 @@ class Scratch:
 
 
 def keyed(df: DataFrame, scratch: Scratch) -> DataFrame:
-    """``_row, _doc``: the rows of ``df`` as structs, each with a key of its own, written once, so that
-    the keys are the same for all who read them."""
-    return scratch.write(df.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[df[c] for c in df.columns]).alias("_doc")), "keyed")
+    """``_row, _doc``: the rows of ``df`` as structs, each with a key of its own (a number).
+
+    The key is ``doc_id`` if that is a whole number that no two rows share and no row lacks. Else rows
+    are numbered and written once, so that the keys are the same for all who read them.
+    """
+    doc = F.struct(*[df[c] for c in df.columns]).alias("_doc")
+    if isinstance(df.schema["doc_id"].dataType, IntegralType):
+        ids = df.select("doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+        if ids.where("n > 1 or doc_id is null").isEmpty():
+            return df.select(df["doc_id"].cast("long").alias("_row"), doc)
+    return scratch.write(df.select(F.monotonically_increasing_id().alias("_row"), doc), "keyed")
 
 
 #: Offsets of :func:`ranked` are broadcast up to so many rows (about 100 bytes each).
