@@ -76,4 +76,4 @@ def dehyphenate(text: Column) -> Column:
 
 def digit_trust(text: Column) -> Column:
     """Digit groups that hold look-alike letters (O for 0, l for 1) are not to be trusted."""
-    return F.when(text.rlike(r"\b[0-9]+[OolI][0-9OolI]*\b"), "substituted").when(text.rlike("[0-9]"), "plain").otherwise("none")
+    return F.when(text.rlike(r"(?:^|[^0-9A-Za-z_])[0-9]+[OolI][0-9OolI]*(?:$|[^0-9A-Za-z_])"), "substituted").when(text.rlike("[0-9]"), "plain").otherwise("none")

@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Where the session names no shared folder, as in tests.
-LOCAL = "/tmp/checkpoints/florilege"
+from florilege.session import shared_folder
 
 
-def shared_target_clusters(edges: DataFrame, left: str, right: str, most_rounds: int = 50) -> DataFrame:
+def shared_target_clusters(edges: DataFrame, left: str, right: str) -> DataFrame:
     """``left, cluster``: the smallest ``left`` reachable through shared ``right`` values.
 
     Labels go from rows to targets and back by minima, so a target that many rows share makes no
-    pairs; labels jump to their own label's label, so rounds stay few on long chains. Each round is
-    written to the shared folder.
+    pairs; labels jump to their own label's label, so rounds stay few on long chains. The rounds end when
+    no label changes. Each is written to the shared folder.
     """
     spark = edges.sparkSession
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or LOCAL}/clusters-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/clusters-{uuid.uuid4().hex}"
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{root}/{name}")
@@ -27,7 +27,7 @@ def shared_target_clusters(edges: DataFrame, left: str, right: str, most_rounds:
 
     e = kept(edges.select(F.col(left).alias("l"), F.col(right).alias("r")).distinct(), "edges")
     labels = e.select("l").distinct().withColumn("c", F.col("l"))
-    for turn in range(most_rounds):
+    for turn in count():
         targets = e.join(labels, "l").groupBy("r").agg(F.min("c").alias("c"))
         new = e.join(targets, "r").groupBy("l").agg(F.min("c").alias("n"))
         jumped = new.join(new.select(F.col("l").alias("n"), F.col("n").alias("j")), "n", "left")

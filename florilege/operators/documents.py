@@ -29,10 +29,10 @@ def identity(strong: Column, medium: Column, weak: Column) -> Column:
     return F.coalesce(tag("strong", strong), tag("medium", medium), tag("weak", weak))
 
 
-def pack(text: str | None, most: int = CHUNK_CHARS, tail: int = CHUNK_TAIL, overlap: int = CHUNK_OVERLAP) -> list[tuple[int, int]]:
-    """Spans of a text in chunks: paragraphs packed up to ``most`` characters, long ones cut at the
-    last sentence end that fits, a tail shorter than ``tail`` joined to the chunk before it; a chunk
-    that continues a paragraph begins ``overlap`` characters early."""
+def pack(text: str | None, most: int = CHUNK_CHARS, tail: int = CHUNK_TAIL) -> list[tuple[int, int]]:
+    """Spans of a text in chunks, one after the other: paragraphs packed up to ``most`` characters, long
+    ones cut at the last sentence end that fits, a tail shorter than ``tail`` joined to the chunk
+    before it."""
     if not text or not text.strip():
         return []
     cuts, at = [], 0
@@ -51,7 +51,7 @@ def pack(text: str | None, most: int = CHUNK_CHARS, tail: int = CHUNK_TAIL, over
             end = max(text.rfind(". ", begin, begin + most), text.rfind("\n", begin, begin + most)) + 1
             end = end if end > begin + most // 2 else begin + most
             spans.append([begin, end])
-            begin = max(end - overlap, begin + 1)
+            begin = end
         spans.append([begin, b])
     if len(spans) > 1 and spans[-1][1] - spans[-1][0] < tail:
         last = spans.pop()
@@ -61,12 +61,16 @@ def pack(text: str | None, most: int = CHUNK_CHARS, tail: int = CHUNK_TAIL, over
 
 def _chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [(key, i, a, b - a, text[a:b]) for key, text in zip(batch["key"], batch["text"], strict=True) for i, (a, b) in enumerate(pack(text))]
+        rows = [(key, i, a, b - a, text[max(0, a - CHUNK_OVERLAP) : b]) for key, text in zip(batch["key"], batch["text"], strict=True) for i, (a, b) in enumerate(pack(text))]
         yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "char_offset", "char_length", "chunk_text"])
 
 
 def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``doc_id, chunk_index, char_offset, char_length, chunk_text`` (offsets in code points)."""
+    """``doc_id, chunk_index, char_offset, char_length, chunk_text`` (offsets in code points).
+
+    Offset and length are those of the chunk's own part; its text begins with the last ``CHUNK_OVERLAP``
+    characters before it, in every chunk but the first.
+    """
     schema = "doc_id long, chunk_index int, char_offset int, char_length int, chunk_text string"
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(_chunk, schema)
 
@@ -83,10 +87,11 @@ def repeated_furniture(docs: DataFrame, key: str, text: str, least: int = 2) ->
 
 
 def without_furniture(docs: DataFrame, key: str, text: str, least: int = 2) -> DataFrame:
-    """``key, text`` with repeated lines kept once, at their first place."""
+    """``key, text`` with repeated lines kept once, at their first place; empty where no line is left."""
     numbered = lines(docs, key, text).withColumn("_rn", F.row_number().over(Window.partitionBy(key, "line").orderBy("line_no")))
     kept = numbered.where(F.col("_rn") < least)
-    return kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("text"))
+    joined = kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("text"))
+    return docs.select(key).join(joined, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
 
 
 def name_tokens(name: Column) -> Column:

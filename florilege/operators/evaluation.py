@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +23,23 @@ def summary(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     return scores.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(m), 6).alias(m) for m in measures])
 
 
-def mcnemar(only_a: Column, only_b: Column, most: int = 1000) -> Column:
-    """Exact two-sided p of McNemar's test from the discordant counts (up to ``most`` in all)."""
-    n, k = only_a + only_b, F.least(only_a, only_b)
-    log_fact = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(most + 1)])
-    lf = lambda i: F.element_at(log_fact, (i + 1).cast("int"))
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), k), F.lit(0.0), lambda s, i: s + F.exp(lf(n) - lf(i) - lf(n - i) - n * math.log(2)))
+def log_gamma(x: Column) -> Column:
+    """The logarithm of the gamma function for x >= 1: Stirling's series at x + 8, brought back."""
+    y = x + 8
+    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5)))
+    return series - F.log(reduce(lambda p, i: p * (x + i), range(1, 8), x))
+
+
+def mcnemar(only_a: Column, only_b: Column) -> Column:
+    """Exact two-sided p of McNemar's test from the discordant counts, of any size.
+
+    The tail of the binomial is summed from its largest term down; terms 20 standard widths further
+    are below e^-800 of it, beyond what a double holds.
+    """
+    n, k = (only_a + only_b).cast("double"), F.least(only_a, only_b).cast("long")
+    last = F.greatest(k - F.ceil(20 * F.sqrt(n) + 50), F.lit(0).cast("long")).cast("long")
+    term = lambda i: F.exp(log_gamma(n + 1) - log_gamma(i + 1) - log_gamma(n - i + 1) - n * math.log(2))
+    tail = F.aggregate(F.sequence(last, k), F.lit(0.0), lambda s, i: s + term(i.cast("double")))
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 

@@ -32,13 +32,15 @@ def in_interval(points: DataFrame, intervals: DataFrame, at: str, start: str, en
 
 
 def semi_any(df: DataFrame, arms: list[tuple[str, DataFrame]]) -> DataFrame:
-    """Rows that match in any arm ``(column of df, keys)``: a disjunction of EXISTS, as one semi-join
-    for each arm over tagged keys, without multiplying rows."""
-    keys = reduce(DataFrame.unionByName, [k.select(F.lit(i).alias("_arm"), F.col(k.columns[0]).cast("string").alias("_key")) for i, (_, k) in enumerate(arms)]).distinct()
-    wanted = F.array(*[F.struct(F.lit(i).alias("_arm"), F.col(c).cast("string").alias("_key")) for i, (c, _) in enumerate(arms)])
-    row = df.withColumn("_id", F.xxhash64(*df.columns)).withColumn("_row", F.struct(*df.columns))
-    hits = row.select("_id", "_row", F.explode(wanted).alias("_w")).select("_id", "_row", "_w.*").join(keys, ["_arm", "_key"], "left_semi")
-    return hits.groupBy("_id", "_row").agg(F.count(F.lit(1)).alias("_n")).select("_row.*")
+    """Rows that match in any arm ``(column of df, keys)``: a disjunction of EXISTS. Each arm is a left
+    join with its distinct keys that sets a flag, so rows are neither multiplied nor folded."""
+    out, flags = df, []
+    for i, (column, keys) in enumerate(arms):
+        key, flag = f"_key{i}", f"_arm{i}"
+        distinct = keys.select(F.col(keys.columns[0]).alias(key)).where(F.col(key).isNotNull()).distinct().withColumn(flag, F.lit(True))
+        out = out.join(distinct, F.col(column) == F.col(key), "left")
+        flags.append(F.coalesce(flag, F.lit(False)))
+    return out.where(reduce(Column.__or__, flags)).select(*df.columns)
 
 
 def unique_keys(df: DataFrame, key: str, target: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ SPARSE_DEPTH, DENSE_DEPTH = 50, 200
 COMMON_DF = 0.5
 TERM_CAP = 40
 ADMIT_DF = 0.008
+#: Sides of a tile of :func:`dense_top`, and queries that it scores at a time.
+TILE_VECTORS, TILE_QUERIES, QUERY_ROWS = 16_384, 4_096, 256
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -46,14 +50,44 @@ def match_any(post: DataFrame, key: str, chosen: DataFrame, depth: int = SPARSE_
     return held.orderBy(F.desc("score"), key).limit(depth)
 
 
-def dense_top(queries: DataFrame, vectors: DataFrame, depth: int) -> DataFrame:
-    """``query_id, vec_id, score, rank``: the nearest vectors by dot product, the query's own aside.
+def _nearest(depth: int, margin: float):
+    """For one tile: what of its vectors can be among the ``depth`` best of each of its queries."""
 
-    ``queries`` is a stated, bounded set; it is broadcast and every task keeps what it finds best.
+    def score(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or vectors.empty:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+        stack = lambda column: np.stack(column.to_numpy()).astype(np.float64)
+        q_ids, v_ids, v = queries["query_id"].to_numpy(), vectors["vec_id"].to_numpy(), stack(vectors["embedding"]).T
+        out = []
+        for at in range(0, len(queries), QUERY_ROWS):
+            dots = stack(queries["q"].iloc[at : at + QUERY_ROWS]) @ v
+            dots[q_ids[at : at + QUERY_ROWS, None] == v_ids[None, :]] = -np.inf
+            least = np.partition(dots, -depth, axis=1)[:, -depth] if dots.shape[1] > depth else np.full(len(dots), -np.inf)
+            i, j = np.nonzero((dots >= least[:, None] - margin) & np.isfinite(dots))
+            out.append(pd.DataFrame({"query_id": q_ids[at + i], "vec_id": v_ids[j], "score": dots[i, j]}))
+        return pd.concat(out)
+
+    return score
+
+
+def dense_top(queries: DataFrame, vectors: DataFrame, depth: int, digits: int = 6) -> DataFrame:
+    """``query_id, vec_id, score, rank``: the nearest vectors by dot product (6 decimals), the query's own
+    aside; ranked by the score rounded to ``digits``, ties to the smaller id.
+
+    A stated query set against all vectors, in tiles of ``TILE_QUERIES`` x ``TILE_VECTORS``: a tile is a
+    matrix product, from which only the best of each query leave. A vector travels once for each tile
+    of queries, a query once for each tile of vectors; nothing is broadcast.
     """
-    dot = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot, 6).alias("score"))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= depth)
+    known = vectors.where("embedding is not null").select("vec_id", "embedding")
+    across, down = (max(1, -(-df.count() // size)) for df, size in ((known, TILE_VECTORS), (queries, TILE_QUERIES)))
+    tile = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.where("q is not null").select(F.col("query_id").cast("long").alias("query_id"), "q", tile("query_id", down).alias("qt"), every(across).alias("vt"))
+    v = known.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", tile("vec_id", across).alias("vt"), every(down).alias("qt"))
+    near = q.groupBy("qt", "vt").cogroup(v.groupBy("qt", "vt")).applyInPandas(_nearest(depth, 1.01 * 10.0**-digits + 1e-6), "query_id long, vec_id long, score double")
+    scored = near.withColumn("score", F.round("score", 6))
+    order = [F.desc(F.round("score", digits)), F.col("vec_id")]
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= depth)
 
 
 def best_per_document(hits: DataFrame, query: str, doc: str, cap: int) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,3 +78,32 @@ def runs(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFr
 def conflicts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Groups with more than one distinct ``value``."""
     return df.groupBy(*keys).agg(F.count_distinct(value).alias("n_values"), F.array_sort(F.collect_set(value)).alias("values")).where("n_values > 1")
+
+
+def rate_limited(df: DataFrame, key: str, at: str, order: str, limit: int, seconds: int) -> DataFrame:
+    """``order, refused, after_us`` for each row: a sliding log of the admitted rows of a key. A row is
+    refused while ``limit`` admitted rows lie in the ``seconds`` before it (ends included), and
+    ``after_us`` says how many microseconds remain until it would not be.
+
+    A pause longer than the window empties the log, so a key is cut there, and a group is one busy
+    stretch of a key.
+    """
+    span = seconds * 1_000_000
+    timed = df.select(F.col(key).alias("_key"), F.col(order).alias("_id"), F.unix_micros(F.col(at).cast("timestamp")).alias("_us"))
+    line = Window.partitionBy("_key").orderBy("_us", "_id")
+    cut = (F.col("_us") - F.lag("_us").over(line) > span).cast("int")
+    runs = timed.withColumn("_cut", F.coalesce(cut, F.lit(1))).withColumn("_run", F.sum("_cut").over(line))
+
+    def admit(group: pd.DataFrame) -> pd.DataFrame:
+        log, refused, after = deque(), [], []
+        group = group.sort_values(["_us", "_id"])
+        for us in group["_us"]:
+            while log and log[0] < us - span:
+                log.popleft()
+            refused.append(len(log) >= limit)
+            after.append(log[0] + span - us if refused[-1] else 0)
+            if not refused[-1]:
+                log.append(us)
+        return pd.DataFrame({order: group["_id"], "refused": refused, "after_us": after})
+
+    return runs.groupBy("_key", "_run").applyInPandas(admit, f"{order} long, refused boolean, after_us long")

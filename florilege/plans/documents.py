@@ -128,9 +128,9 @@ def script_retention(t: Tables) -> DataFrame:
 
 
 @query("doc_digit_trust", r"""
-SELECT doc_id, CASE WHEN regexp_matches(text, '\b[0-9]+[OolI][0-9OolI]*\b') THEN 'substituted' WHEN regexp_matches(text, '[0-9]') THEN 'plain' ELSE 'none' END AS trust FROM documents WHERE regexp_matches(text, '^[\x01-\x7F]*$')""")
+SELECT doc_id, CASE WHEN regexp_matches(text, '(?:^|[^0-9A-Za-z_])[0-9]+[OolI][0-9OolI]*(?:$|[^0-9A-Za-z_])') THEN 'substituted' WHEN regexp_matches(text, '[0-9]') THEN 'plain' ELSE 'none' END AS trust FROM documents""")
 def digit_trust(t: Tables) -> DataFrame:
-    return t.documents.where(F.col("text").rlike(r"^[\x01-\x7F]*$")).select("doc_id", quality.digit_trust(F.col("text")).alias("trust"))
+    return t.documents.select("doc_id", quality.digit_trust(F.col("text")).alias("trust"))
 
 
 @query("doc_date_quality", """
@@ -151,7 +151,7 @@ def repeated_lines(t: Tables) -> DataFrame:
 @query("doc_without_furniture", r"""
 WITH s AS (SELECT doc_id, generate_subscripts(a, 1) AS i, trim(unnest(a)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS rn FROM s WHERE line <> '')
-SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM k WHERE rn < 2 GROUP BY 1""")
+SELECT doc_id, coalesce(k.text, '') AS text FROM documents LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM k WHERE rn < 2 GROUP BY 1) k USING (doc_id)""")
 def without_furniture(t: Tables) -> DataFrame:
     return d.without_furniture(t.documents, "doc_id", "text")
 
@@ -191,13 +191,18 @@ def licence_lines(t: Tables) -> DataFrame:
 
 
 @query("doc_name_jaccard", """
-WITH s AS (SELECT p_partkey, p_brand, p_size, list_distinct(list_filter(regexp_extract_all(lower(p_type), '[a-z]+'), lambda w: length(w) >= 3)) AS g FROM part)
-SELECT a.p_partkey AS a, b.p_partkey AS b, round(len(list_intersect(a.g, b.g)) / nullif(len(list_distinct(list_concat(a.g, b.g))), 0), 6) AS similarity FROM s a JOIN s b ON a.p_brand = b.p_brand AND b.p_size BETWEEN a.p_size - 1 AND a.p_size + 1 AND a.p_partkey < b.p_partkey WHERE a.p_partkey <= 300 AND len(list_intersect(a.g, b.g)) / nullif(len(list_distinct(list_concat(a.g, b.g))), 0) >= 0.45""")
+WITH s AS (SELECT p_brand, p_size, p_type, count(*) AS n, list_distinct(list_filter(regexp_extract_all(lower(p_type), '[a-z]+'), lambda w: length(w) >= 3)) AS g FROM part GROUP BY 1, 2, 3)
+SELECT a.p_brand AS brand, a.p_size AS a_size, a.p_type AS a_type, b.p_size AS b_size, b.p_type AS b_type, a.n AS a_parts, b.n AS b_parts, round(len(list_intersect(a.g, b.g)) / nullif(len(list_distinct(list_concat(a.g, b.g))), 0), 6) AS similarity
+FROM s a JOIN s b ON a.p_brand = b.p_brand AND (b.p_size = a.p_size + 1 OR (b.p_size = a.p_size AND a.p_type < b.p_type)) WHERE len(list_intersect(a.g, b.g)) / nullif(len(list_distinct(list_concat(a.g, b.g))), 0) >= 0.45""")
 def name_jaccard(t: Tables) -> DataFrame:
-    s = t.part.select("p_partkey", "p_brand", "p_size", d.name_tokens(F.col("p_type")).alias("g"))
-    a = s.where("p_partkey <= 300").select("p_brand", F.col("p_partkey").alias("a"), F.col("g").alias("ga"), F.explode(F.array(F.col("p_size") - 1, F.col("p_size"), F.col("p_size") + 1)).alias("p_size"))
-    pairs = a.join(s.select("p_brand", "p_size", F.col("p_partkey").alias("b"), F.col("g").alias("gb")), ["p_brand", "p_size"]).where("a < b")
-    return pairs.withColumn("s", jaccard(F.col("ga"), F.col("gb"))).where("s >= 0.45").select("a", "b", F.round("s", 6).alias("similarity"))
+    """Pairs of names of one brand and neighbouring sizes, with the parts that bear them: names, not
+    parts, are paired, so that a common name makes one pair."""
+    s = t.part.groupBy("p_brand", "p_size", "p_type").agg(F.count(F.lit(1)).alias("n")).withColumn("g", d.name_tokens(F.col("p_type")))
+    a = s.select("p_brand", F.col("p_size").alias("a_size"), F.col("p_type").alias("a_type"), F.col("n").alias("a_parts"), F.col("g").alias("ga"), F.explode(F.array(F.col("p_size"), F.col("p_size") + 1)).alias("b_size"))
+    b = s.select("p_brand", F.col("p_size").alias("b_size"), F.col("p_type").alias("b_type"), F.col("n").alias("b_parts"), F.col("g").alias("gb"))
+    pairs = a.join(b, ["p_brand", "b_size"]).where((F.col("b_size") > F.col("a_size")) | (F.col("a_type") < F.col("b_type")))
+    kept = pairs.withColumn("s", jaccard(F.col("ga"), F.col("gb"))).where("s >= 0.45")
+    return kept.select(F.col("p_brand").alias("brand"), "a_size", "a_type", "b_size", "b_type", "a_parts", "b_parts", F.round("s", 6).alias("similarity"))
 
 
 @query("doc_name_coverage", """

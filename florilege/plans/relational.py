@@ -245,9 +245,9 @@ def exact_quantiles(t: Tables) -> DataFrame:
 
 
 @query("agg_distinct_array", """
-SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS priorities FROM orders WHERE o_custkey <= 200 GROUP BY 1""")
+SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS priorities FROM orders GROUP BY 1""")
 def distinct_array(t: Tables) -> DataFrame:
-    return t.orders.where("o_custkey <= 200").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("priorities"))
+    return t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("priorities"))
 
 
 @query("agg_ordered_string", """
@@ -417,10 +417,10 @@ def has_more(t: Tables) -> DataFrame:
 
 
 @query("top_case_priority", """
-SELECT o_orderkey FROM orders WHERE o_custkey <= 300 ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderdate DESC, o_orderkey LIMIT 40""")
+SELECT o_orderkey FROM orders ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderdate DESC, o_orderkey LIMIT 40""")
 def case_priority(t: Tables) -> DataFrame:
     urgency = F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
-    return t.orders.where("o_custkey <= 300").orderBy(urgency, F.desc("o_orderdate"), "o_orderkey").limit(40).select("o_orderkey")
+    return t.orders.orderBy(urgency, F.desc("o_orderdate"), "o_orderkey").limit(40).select("o_orderkey")
 
 
 @query("top_nulls_last", """

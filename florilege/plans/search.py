@@ -325,10 +325,9 @@ h AS (SELECT query_id, list(vec_id) AS b FROM (SELECT query_id, vec_id, row_numb
 SELECT query_id, len(list_intersect(a, b))::BIGINT AS overlap FROM d JOIN h USING (query_id)""")
 def topk_overlap(t: Tables) -> DataFrame:
     asked = t.embeddings.where(ASKED).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    every = retrieval.dense_top(asked, t.embeddings.select("vec_id", "embedding"), 1 << 30)
-    coarse = every.withColumn("r2", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 2)), "vec_id")))
-    both = coarse.groupBy("query_id").agg(F.count_if((F.col("rank") <= 10) & (F.col("r2") <= 10)).alias("overlap"))
-    return both
+    top = lambda digits, name: retrieval.dense_top(asked, t.embeddings.select("vec_id", "embedding"), 10, digits).select("query_id", "vec_id", F.lit(1).alias(name))
+    both = top(6, "fine").join(top(2, "coarse"), ["query_id", "vec_id"], "left")
+    return both.groupBy("query_id").agg(F.count("coarse").alias("overlap"))
 
 
 @query("eval_displacement", f"""
@@ -378,12 +377,12 @@ def paired_error(t: Tables) -> DataFrame:
 
 
 @query("eval_mcnemar", """
-WITH c AS (SELECT o_orderpriority, count(*) FILTER (WHERE o_totalprice > 300000 AND o_orderstatus <> 'F') AS a, count(*) FILTER (WHERE o_totalprice <= 30000 AND o_orderstatus = 'F') AS b FROM orders WHERE o_orderkey <= 2000 GROUP BY 1)
+WITH c AS (SELECT o_orderpriority, count(*) FILTER (WHERE o_totalprice > 300000 AND o_orderstatus <> 'F') AS a, count(*) FILTER (WHERE o_totalprice <= 30000 AND o_orderstatus = 'F') AS b FROM orders GROUP BY 1)
 SELECT o_orderpriority, a, b, CASE WHEN a + b = 0 THEN 1.0 ELSE round(least(1.0, 2 * (SELECT sum(exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - (a + b) * ln(2))) FROM range(0, least(a, b) + 1) r(i))), 6) END AS p FROM c""")
 def mcnemar(t: Tables) -> DataFrame:
     a = F.count_if((F.col("o_totalprice") > 300000) & (F.col("o_orderstatus") != "F"))
     b = F.count_if((F.col("o_totalprice") <= 30000) & (F.col("o_orderstatus") == "F"))
-    counts = t.orders.where("o_orderkey <= 2000").groupBy("o_orderpriority").agg(a.alias("a"), b.alias("b"))
+    counts = t.orders.groupBy("o_orderpriority").agg(a.alias("a"), b.alias("b"))
     return counts.select("o_orderpriority", "a", "b", F.round(evaluation.mcnemar(F.col("a"), F.col("b")), 6).alias("p"))
 
 

@@ -6,14 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from florilege.plans.catalog import Tables, query
+from florilege.session import shared_folder
 from florilege.streaming import events as ev
 
-#: Where the session names no shared folder, as in tests.
-LOCAL = "/tmp/checkpoints/florilege"
-
 
 def folder(t: Tables) -> str:
-    return t.spark.conf.get("spark.checkpoint.dir", None) or LOCAL
+    return shared_folder(t.spark)
 
 
 def stream(t: Tables) -> DataFrame:

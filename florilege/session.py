@@ -35,3 +35,12 @@ def local_session(cpus: int | None = None, shuffle_partitions: int = 8, **conf:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables under ``sf_dir``; any path Spark can open will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local master may do
+    without; machines of a cluster would each write to a folder of their own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.conf.get("spark.master", "").split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or "/tmp/checkpoints/florilege").rstrip("/")

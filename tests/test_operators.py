@@ -6,6 +6,7 @@ import bisect
 import datetime
 import math
 import random
+from fractions import Fraction
 
 from pyspark.sql import functions as F
 
@@ -72,9 +73,9 @@ def test_merge_keeps_and_takes(spark):
 
 
 def test_semi_any_does_not_multiply(spark):
-    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, s string")
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (3, "c"), (None, None)], "id int, s string")
     arms = [("id", spark.createDataFrame([(1,), (1,), (2,)], "x int")), ("s", spark.createDataFrame([("a",)], "y string"))]
-    assert values(joins.semi_any(df, arms)) == [(1, "a"), (2, "b")]
+    assert values(joins.semi_any(df, arms)) == [(1, "a"), (2, "b"), (2, "b")]
 
 
 def test_ordinal_is_gapless(spark):
@@ -104,10 +105,10 @@ def test_fusion_is_the_sum_of_reciprocals(spark):
 
 
 def test_mcnemar_against_binomial(spark):
-    df = spark.createDataFrame([(0, 0), (5, 1), (10, 10), (3, 12)], "a long, b long")
+    df = spark.createDataFrame([(0, 0), (5, 1), (10, 10), (3, 12), (700, 640), (2100, 2000)], "a long, b long")
     for r in df.select("a", "b", evaluation.mcnemar(F.col("a"), F.col("b")).alias("p")).collect():
         n = r["a"] + r["b"]
-        want = min(1.0, 2 * sum(math.comb(n, i) for i in range(min(r["a"], r["b"]) + 1)) / 2**n) if n else 1.0
+        want = min(1.0, float(Fraction(2 * sum(math.comb(n, i) for i in range(min(r["a"], r["b"]) + 1)), 2**n))) if n else 1.0
         assert abs(r["p"] - want) < 1e-9
 
 
@@ -126,11 +127,11 @@ def test_chunks_tile_and_stay_in_bounds():
     rng = random.Random(1)
     for _ in range(200):
         t = "".join(rng.choice(["word ", "end. ", "\n\n", "x" * 50]) for _ in range(rng.randint(0, 200)))
-        spans = documents.pack(t, 300, 40, 30)
+        spans = documents.pack(t, 300, 40)
         assert all(0 <= a < b <= len(t) and b - a <= 300 + 40 for a, b in spans)
         if t.strip():
             assert spans[0][0] == 0 and spans[-1][1] == len(t)
-            assert all(x[1] >= y[0] for x, y in zip(spans, spans[1:], strict=False))
+            assert all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False))
 
 
 def test_quality_signals_on_nulls_and_empties(spark):
@@ -202,3 +203,51 @@ def test_clusters_on_a_long_chain(spark):
     edges = [(i, f"t{i}") for i in range(40)] + [(i + 1, f"t{i}") for i in range(39)] + [(100, "u"), (101, "u"), (102, "v")]
     got = dict(values(shared_target_clusters(spark.createDataFrame(edges, "a int, b string"), "a", "b")))
     assert got == {**{i: 0 for i in range(40)}, 100: 100, 101: 100, 102: 102}
+
+
+def test_shared_paragraphs_against_union_find(spark, sf):
+    from florilege.plans.registry import QUERIES
+
+    parent, holders = {}, {}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for doc, body in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        for p in (body or "").split("\n"):
+            if len(p.strip(" ")) >= 120:
+                parent.setdefault(doc, doc)
+                holders.setdefault(p.strip(" "), []).append(doc)
+    for docs in holders.values():
+        for doc in docs[1:]:
+            a, b = sorted((find(docs[0]), find(doc)))
+            parent[b] = a
+    assert values(QUERIES["ref_shared_target_clusters"](spark, sf)) == sorted((x, find(x)) for x in parent)
+
+
+def test_rate_limit_counts_only_what_it_admits(spark):
+    at = [0, 10, 20, 59, 61, 70, 75, 500, 501, 502]
+    df = spark.createDataFrame([(i, 1, s) for i, s in enumerate(at)] + [(99, 2, 5)], "id long, u long, s int").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r["id"]: (r["refused"], r["after_us"] // 1_000_000) for r in rows.rate_limited(df, "u", "ts", "id", 2, 60).collect()}
+    assert got == {0: (False, 0), 1: (False, 0), 2: (True, 40), 3: (True, 1), 4: (False, 0), 5: (True, 0), 6: (False, 0), 7: (False, 0), 8: (False, 0), 9: (True, 58), 99: (False, 0)}
+
+
+def test_dense_top_in_tiles(spark, monkeypatch):
+    rng = random.Random(3)
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)] + [(900, None)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    asked = df.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    x = {r[0]: r[1] for r in df.where("embedding is not null").collect()}
+    for name, value in {"TILE_VECTORS": 40, "TILE_QUERIES": 5, "QUERY_ROWS": 2}.items():
+        monkeypatch.setattr(retrieval, name, value)
+    for digits in (6, 1):
+        out = retrieval.dense_top(asked, df, 7, digits)
+        assert "NestedLoop" not in out._jdf.queryExecution().toString()
+        got = {}
+        for r in out.orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        for q in (k for k in x if k % 25 == 0):
+            score = {v: sum(a * b for a, b in zip(x[q], x[v], strict=True)) for v in x if v != q}
+            assert got[q] == sorted(score, key=lambda v: (-round(score[v], digits), v))[:7]
