@@ -32,12 +32,14 @@ Defined results: null or empty html gives the empty text. A null url, or one wit
 judged by declared evidence alone, as is a branch that fewer than ``LEAST_PAGES`` pages of its host
 have (on two pages, copies of one text would pass for furniture). Unclosed and
 cut-off markup is read as far as it goes, at any depth; the style tree takes containers below
-``TREE_DEPTH`` for part of the one at that depth. Repeated rows are extracted each in its own row. An empty
+``TREE_DEPTH`` for part of the one at that depth. Texts of any length are
+extracted whole. Repeated rows are extracted each in its own row. An empty
 table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections import Counter
@@ -63,7 +65,7 @@ RAW = "script|style|noscript|template|textarea|iframe|svg|title|xmp"
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 NOISE_TAGS = set("nav header footer aside form button select option menu dialog head object canvas audio video map fieldset".split())
 NOISE_WORDS = set(
-    "ad ads adbox advert adverts advertisement banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disqus "
+    "ad ads adbox advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
     "footer form header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo "
     "recommended related reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
@@ -72,7 +74,7 @@ NEUTRAL_WORDS = set(
     "site global main top bottom left right primary secondary first last inner outer wrap wrapper container box bar block section area region "
     "column col slot unit zone panel list item items link links button buttons btn icon icons posts articles stories widgets this".split()
 )
-NOISE_COMPOUNDS = set("post-comments post-comment post-navigation post-share entry-comments entry-share article-comments article-share author-byline page-navigation page-footer".split())
+NOISE_COMPOUNDS = set("post-comments post-comment post-navigation post-share entry-comments entry-share article-comments article-share page-navigation page-footer".split())
 NOISE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 MAIN_TAGS = ("article", "main")
 TEXT_BLOCKS = set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption summary tbody thead table ul ol dl".split())
@@ -200,6 +202,10 @@ def _judged(found: list[tuple[str, _Open]]) -> list[Block]:
     return [Block(text, at.path, x or k > (least if at.main else 0), at.main) for k, x, (text, at) in zip(marks, inner, found, strict=True)]
 
 
+def _hash(feature: str) -> int:
+    return int.from_bytes(hashlib.blake2b(feature.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _branches(found: list[Block]) -> Iterator[tuple[str, Block]]:
     for block in found:
         for depth in range(1, len(block.path) + 1):
@@ -207,7 +213,8 @@ def _branches(found: list[Block]) -> Iterator[tuple[str, Block]]:
 
 
 def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``host, path, kind, feature`` of the undeclared branches: kind 0 the page, 1 its presentation, 2 a text."""
+    """``host, path, kind, feature`` of the undeclared branches: kind 0 the page, 1 its presentation, 2 a
+    text; of both the hash, as each text counts in every branch that holds it."""
     for batch in batches:
         rows = []
         for host, page in zip(batch["host"], batch["html"], strict=True):
@@ -217,17 +224,17 @@ def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if branch not in seen:
                     seen.add(branch)
                     style = children.get(tuple(branch.split("/")), Counter())
-                    rows += [(host, branch, 0, ""), (host, branch, 1, ",".join(f"{k}*{n}" for k, n in sorted(style.items())))]
+                    rows += [(host, branch, 0, 0), (host, branch, 1, _hash(",".join(f"{k}*{n}" for k, n in sorted(style.items()))))]
                 if (branch, block.text) not in seen:
                     seen.add((branch, block.text))
-                    rows.append((host, branch, 2, block.text))
+                    rows.append((host, branch, 2, _hash(block.text)))
         yield pd.DataFrame(rows, columns=["host", "path", "kind", "feature"])
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
     """``host, path, pages, importance`` for every branch of every host's merged tree."""
-    seen = pages.where("host <> ''").select("host", "html").mapInPandas(_observe, "host string, path string, kind int, feature string")
-    counts = seen.groupBy("host", "path", "kind", F.xxhash64("feature").alias("f")).agg(F.count(F.lit(1)).alias("k"))
+    seen = pages.where("host <> ''").select("host", "html").mapInPandas(_observe, "host string, path string, kind int, feature long")
+    counts = seen.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("k"))
     k, log_k = F.col("k"), F.col("k") * F.log("k")
     only = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x).otherwise(0))
     sums = counts.groupBy("host", "path").agg(
