@@ -90,16 +90,12 @@ def postings(docs: DataFrame, terms: DataFrame, context: int) -> DataFrame:
 
 def phrase_starts(index: DataFrame, entries: DataFrame) -> DataFrame:
     """``row, window, start`` of every exact occurrence of the windows in ``entries`` (broadcast)."""
-    small = entries.select("window", "term", "offset", "rank", "probes", F.size("phrase").alias("size"))
+    small = entries.select("window", "term", "offset", "rank", "probes", F.size("phrase").alias("size"), F.when(F.col("rank") == 0, F.col("phrase")).alias("phrase"))
     lists = index.where("pos >= 0").join(F.broadcast(small), "term")
     lists = lists.withColumn("start", F.col("pos") - F.col("offset")).where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n_words")))
-    words_at = F.slice("around", F.col("lead") - F.col("offset") + 1, F.col("size"))
-    met = lists.groupBy("row", "window", "start").agg(
-        F.count(F.lit(1)).alias("met"), F.max("probes").alias("probes"), F.max(F.when(F.col("rank") == 0, words_at)).alias("found")
-    )
-    phrases = entries.where("rank = 0").select(F.col("window").alias("_w"), "phrase")
-    exact = met.where("met = probes").join(F.broadcast(phrases), F.col("window") == F.col("_w")).where("found = phrase")
-    return exact.select("row", "window", "start", F.size("phrase").alias("size"))
+    same = F.slice("around", F.col("lead") - F.col("offset") + 1, F.col("size")) == F.col("phrase")  # null beyond the rarest term
+    met = lists.groupBy("row", "window", "start", "size").agg(F.count(F.lit(1)).alias("met"), F.max("probes").alias("probes"), F.max(F.coalesce(same, F.lit(False))).alias("same"))
+    return met.where("met = probes and same").select("row", "window", "start", "size")
 
 
 def proximity(index: DataFrame, left: str, right: str, within: int) -> DataFrame:
@@ -132,7 +128,7 @@ def match(docs: DataFrame, items: DataFrame, size: int = WINDOW, scratch: Scratc
     for b in range(blocks):
         part = entries.where(F.pmod("window", F.lit(blocks)) == b)
         listed = part.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
-        index = scratch.write(postings(read, listed, size - 1).repartition("row"), f"postings-{b}")
+        index = scratch.write(postings(read, listed, size - 1), f"postings-{b}")
         heads = heads if heads is not None else index.where("pos < 0").select("row", "doc_id", "n_words")
         starts = phrase_starts(index, part)
         held = part.where("rank = 0").select(F.col("window").alias("_w"), "items")

@@ -109,6 +109,10 @@ def _reserve(m: int) -> int:
     return m if m <= RESERVE else max(LEAST_RESERVE, RESERVE - (m - RESERVE) // 4)
 
 
+#: Roles of the rows of a pair of blocks: a set with its histogram; a subset that is indexed, or else looked
+#: up; one with an element deleted; one of a raised segment.
+SET, INDEXED, REMOVED, RAISED = 1, 2, 4, 8
+
 _bounds: dict[int, np.ndarray] = {}
 
 
@@ -200,20 +204,23 @@ def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compare(table):
     """Pairs of one pair of blocks that share a subset and that their histograms do not refute."""
-    kind = table.column("kind").to_numpy()
-    pick = lambda k: table.filter(pa.array(kind == k))
-    looks, index, sets = pick(0), pick(1), pick(2)
+    column = lambda c: table.column(c).to_numpy()
+    role, ent, name = column("role"), column("ent"), column("name")
     none = pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
-    if not looks.num_rows or not index.num_rows or not sets.num_rows:
+    is_set = role & SET > 0
+    looks, index = np.flatnonzero(~is_set & (role & INDEXED == 0)), np.flatnonzero(~is_set & (role & INDEXED > 0))
+    if not len(looks) or not len(index) or not is_set.any():
         return none
-    ids, first = np.unique(sets.column("ent").to_numpy(), return_index=True)
-    cells = np.frombuffer(b"".join(x.as_py() for x in sets.column("cells").take(pa.array(first)).combine_chunks()), np.uint8).reshape(-1, CELLS)
-    n = sets.column("n").to_numpy()[first].astype(np.int64)
+    ids, first = np.unique(ent[is_set], return_index=True)
+    first = np.flatnonzero(is_set)[first]
+    sets = table.select(["n", "comp", "cells"]).take(pa.array(first))  # in other rows these are null
+    n, comp = (sets.column(c).to_numpy() for c in ("n", "comp"))
+    cells = np.frombuffer(b"".join(x.as_py() for x in sets.column("cells")), np.uint8).reshape(-1, CELLS)
     full = (cells == 255).any(axis=1)
-    order = np.argsort(index.column("name").to_numpy(), kind="stable")
-    column = lambda t, c, at=slice(None): t.column(c).to_numpy(zero_copy_only=False)[at] if isinstance(t.column(c), pa.Array) else t.column(c).to_numpy()[at]
-    i_name, i_ent, i_comp, i_del = (column(index, c, order) for c in ("name", "ent", "comp", "deleted"))
-    s_name, s_ent, s_comp, s_del, s_up = (column(looks, c) for c in ("name", "ent", "comp", "deleted", "up"))
+    index = index[np.argsort(name[index], kind="stable")]
+    i_name, i_ent, i_del = name[index], ent[index], role[index] & REMOVED > 0
+    s_name, s_ent, s_del, s_up = name[looks], ent[looks], role[looks] & REMOVED > 0, role[looks] & RAISED > 0
+    i_comp, s_comp = (comp[np.searchsorted(ids, x)] for x in (i_ent, s_ent))
     us, a = np.unique(np.searchsorted(ids, i_ent), return_inverse=True)
     vs, b = np.unique(np.searchsorted(ids, s_ent), return_inverse=True)
     seen = np.zeros(len(us) * len(vs), bool)
@@ -221,7 +228,7 @@ def _compare(table):
     ends = np.cumsum(high - low)
     out_u, out_v, at = [], [], 0
     while at < len(s_name):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2_000_000, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 500_000, "right")))
         count = (high - low)[at:to]
         s = np.repeat(np.arange(at, to), count)
         i = np.arange(len(s)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[at:to], count)
@@ -462,10 +469,12 @@ class _Join:
         one group, in which a pair of sets is made once, whatever the number of subsets it shares.
         """
         self.turn += 1
-        looks, index = looks.select("name", "ent", "comp", "n", "deleted", "up"), index.select("name", "ent", "comp", "n", "deleted", F.lit(False).alias("up"))
-        both = self.scratch.write(looks.withColumn("kind", F.lit(0)).unionByName(index.withColumn("kind", F.lit(1))), f"both-{self.turn}")
+        removed = F.when(F.col("deleted"), REMOVED).otherwise(0)
+        slim = lambda df, role: df.select("name", "ent", "comp", "n", role.cast("byte").alias("role"))
+        both = slim(looks, removed + F.when(F.col("up"), RAISED).otherwise(0)).unionByName(slim(index, removed + INDEXED))
+        both = self.scratch.write(both, f"both-{self.turn}")
         lead = self.scratch.write(both.groupBy("name").agg(F.min("ent").alias("lead")), f"leads-{self.turn}")
-        placed = both.join(lead, "name").groupBy("ent").agg(F.min("lead").alias("lead"), F.max("n").alias("n"))
+        placed = both.join(lead, "name").groupBy("ent").agg(F.min("lead").alias("lead"), F.max("n").alias("n"), F.min("comp").alias("comp"))
         placed = self.scratch.write(placed, f"placed-{self.turn}")
         crowd = self.scratch.write(placed.groupBy("lead").agg(F.count(F.lit(1)).alias("c")), f"crowds-{self.turn}")
         total = placed.count()
@@ -474,29 +483,31 @@ class _Join:
         parts = -(-total // BLOCK)
         # a small crowd goes where its lead's hash says, a large one is cut up
         cut = F.pmod(F.xxhash64("ent"), F.ceil(F.col("c") / BLOCK))
-        blocks = placed.join(crowd, "lead").select("ent", "n", F.when(F.col("c") > BLOCK, F.xxhash64("lead", cut)).otherwise(F.pmod(F.xxhash64("lead"), F.lit(parts))).alias("b"))
+        blocks = placed.join(crowd, "lead").select("ent", "n", "comp", F.when(F.col("c") > BLOCK, F.xxhash64("lead", cut)).otherwise(F.pmod(F.xxhash64("lead"), F.lit(parts))).alias("b"))
         blocks = self.scratch.write(blocks, f"blocks-{self.turn}")
         few = F.broadcast(blocks.select("ent", "b")) if total <= BROADCAST_IDS else blocks.select("ent", "b")
-        entries = self.scratch.write(both.join(few, "ent"), f"entries-{self.turn}")
-        side = lambda k, name: entries.where(F.col("kind") == k).select("name", F.col("b").alias(name)).distinct()
-        meet = self.scratch.write(side(0, "bv").join(side(1, "bu"), "name"), f"meet-{self.turn}")
-        mine = F.when(F.col("kind") == 0, F.col("bv")).otherwise(F.col("bu"))
-        dealt = entries.join(meet, "name").where(F.col("b") == mine).select("bv", "bu", "kind", "name", "ent", "comp", "n", "deleted", "up")
+        entries = self.scratch.write(both.select("name", "ent", "role").join(few, "ent"), f"entries-{self.turn}")
+        is_index = F.col("role").bitwiseAND(F.lit(INDEXED).cast("byte")) > 0
+        side = lambda where, name: entries.where(where).select("name", F.col("b").alias(name)).distinct()
+        meet = self.scratch.write(side(~is_index, "bv").join(side(is_index, "bu"), "name"), f"meet-{self.turn}")
+        mine = F.when(is_index, F.col("bu")).otherwise(F.col("bv"))
+        dealt = entries.join(meet, "name").where(F.col("b") == mine).select("bv", "bu", "name", "ent", "role")
+        dealt = self.scratch.write(dealt, f"dealt-{self.turn}")
         # a pair of blocks with many look-ups is cut by their sets, each part against all that is indexed
-        crowded = dealt.where("kind = 0").groupBy("bv", "bu").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > PAIR).select("bv", "bu", F.ceil(F.col("c") / PAIR).cast("int").alias("cuts"))
-        crowded = self.scratch.write(crowded, f"crowded-{self.turn}")
-        mine = F.pmod(F.xxhash64("ent"), F.coalesce("cuts", F.lit(1))).cast("int")
+        crowded = dealt.where(~is_index).groupBy("bv", "bu").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > PAIR).select("bv", "bu", F.ceil(F.col("c") / PAIR).cast("int").alias("cuts"))
+        crowded = _few(self.scratch.write(crowded, f"crowded-{self.turn}"))
+        part = F.pmod(F.xxhash64("ent"), F.coalesce("cuts", F.lit(1))).cast("int")
         every = F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1)
-        dealt = dealt.join(_few(crowded), ["bv", "bu"], "left").withColumn("cut", F.explode(F.when(F.col("kind") == 0, F.array(mine)).otherwise(every))).drop("cuts")
-        dealt = self.scratch.write(dealt, f"dealt-{self.turn}")
+        cut = dealt.join(crowded, ["bv", "bu"], "left").select("bv", "bu", "name", "ent", "role", F.explode(F.when(is_index, every).otherwise(F.array(part))).alias("cut"))
+        cut = cut.select(F.xxhash64("bv", "bu", "cut").alias("pair"), "name", "ent", "role")
         ids = F.broadcast(blocks.select("ent")) if total <= BROADCAST_IDS else blocks.select("ent")
         cells = self.docs.join(ids, F.col("doc_id") == F.col("ent"), "left_semi").mapInArrow(_histograms, "doc_id long, n long, cells binary")
-        cells = self.scratch.write_texts(cells.groupBy("doc_id").agg(F.first("cells").alias("cells")), f"cells-{self.turn}")
-        self.scratch.drop(*(f"{x}-{self.turn}" for x in ("both", "leads", "placed", "crowds", "entries", "meet")))
-        sets = dealt.select("bv", "bu", "cut", "ent", "n").distinct().join(cells.withColumnRenamed("doc_id", "ent"), "ent")
-        empty = {"kind": F.lit(2), "name": F.lit(0).cast("long"), "comp": F.lit(0).cast("long"), "deleted": F.lit(False), "up": F.lit(False)}
-        rows = dealt.withColumn("cells", F.lit(None).cast("binary")).unionByName(sets.withColumns(empty))
-        return rows.groupBy("bv", "bu", "cut").applyInArrow(_compare, "u long, v long")
+        cells = cells.groupBy(F.col("doc_id").alias("ent")).agg(F.first("cells").alias("cells"))
+        cells = self.scratch.write_texts(cells.join(blocks.select("ent", "n", "comp"), "ent"), f"cells-{self.turn}")
+        self.scratch.drop(*(f"{x}-{self.turn}" for x in ("both", "leads", "placed", "crowds", "blocks", "entries", "meet")))
+        sets = cut.select("pair", "ent").distinct().join(cells, "ent").select("pair", F.lit(0).cast("long").alias("name"), "ent", F.lit(SET).cast("byte").alias("role"), "n", "comp", "cells")
+        rows = cut.withColumns({"n": F.lit(None).cast("long"), "comp": F.lit(None).cast("long"), "cells": F.lit(None).cast("binary")}).unionByName(sets)
+        return rows.groupBy("pair").applyInArrow(_compare, "u long, v long")
 
     def quick_pairs(self) -> DataFrame:
         """Each class with the two it shares most quick subsets with, of those that lead a subset (smallest id)."""

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from florilege.llm.scratch import Scratch, text_batches
+from florilege.llm.scratch import Scratch, keyed, text_batches
 
 BUCKETS = 1 << 14
 #: Labelled documents drawn for each language, on average, where there are more.
@@ -191,8 +191,12 @@ def identify(docs: DataFrame) -> tuple[Column, Model]:
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` in one of the learned languages, all columns kept."""
-    predicted, _ = identify(docs)
-    return docs.where(~predicted["rejected"])
+    scratch = Scratch(docs.sparkSession, "language")
+    rows = keyed(docs, scratch)
+    model = train(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    judged = rows.select(F.col("_row").alias("_gone"), _predictor(model)(F.col("_doc.text")).alias("p"))
+    gone = scratch.write_texts(judged.where("p.rejected").select("_gone"), "gone")
+    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").select("_doc.*")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
