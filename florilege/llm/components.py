@@ -11,19 +11,25 @@ from florilege.llm.scratch import Scratch
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``node, comp`` for every node of ``edges`` (``u, v``); ``comp`` is the smallest node reached.
 
-    Each round writes its edges to the shared folder, so lineage stays short. Minima of neighbours
-    are aggregated before they are joined back, so a node with many neighbours is no hot group.
+    Each round is one job that writes its edges to the shared folder, so lineage stays short. Minima of
+    neighbours are aggregated before they are joined back, so a node with many neighbours is no hot
+    group.
     """
     now = scratch.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), f"{name}-0")
     turn = 0
-    while not now.join(now.select(F.col("v").alias("w")).distinct(), F.col("u") == F.col("w"), "left_semi").isEmpty() or not now.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        # until the edges are stars: nothing points to a node that points on, and nothing points twice
+    while not _stars(now):
         turn += 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-{turn}-least")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = scratch.write(large, f"{name}-{turn}-large")
-        low = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{turn}-low")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         now = scratch.write(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), f"{name}-{turn}")
+        scratch.drop(f"{name}-{turn - 1}")
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether nothing points twice, or to a node that points on."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)").isEmpty()

@@ -72,7 +72,7 @@ CELLS, BLOCK, PAIR = 1024, 2000, 100_000
 #: Segments that the first, quick look-up uses.
 QUICK = 16
 #: Id lists are broadcast up to so many rows of 16 bytes.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 #: Subsets in a block, and words for each partition of the hash space.
 FLUSH, PART_WORDS = 1_000_000, 4_000_000
 #: Bits of a subset's name that its partition keeps. A collision costs a candidate, no more.
@@ -495,7 +495,6 @@ class _Join:
         dealt = self.scratch.write(dealt, f"dealt-{self.turn}")
         # a pair of blocks with many look-ups is cut by their sets, each part against all that is indexed
         crowded = dealt.where(~is_index).groupBy("bv", "bu").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > PAIR).select("bv", "bu", F.ceil(F.col("c") / PAIR).cast("int").alias("cuts"))
-        crowded = _few(self.scratch.write(crowded, f"crowded-{self.turn}"))
         part = F.pmod(F.xxhash64("ent"), F.coalesce("cuts", F.lit(1))).cast("int")
         every = F.sequence(F.lit(0), F.coalesce("cuts", F.lit(1)) - 1)
         cut = dealt.join(crowded, ["bv", "bu"], "left").select("bv", "bu", "name", "ent", "role", F.explode(F.when(is_index, every).otherwise(F.array(part))).alias("cut"))
