@@ -189,29 +189,17 @@ def test_patience_diff_is_a_common_subsequence():
 
 
 def brute_kept(rows):
-    """Each text stripped of blocks aligned with an earlier text that first holds one of its lines."""
+    """Each text stripped of the blocks aligned with any earlier text."""
     cls = {}
     for i, t in rows:
         if t is not None:
             cls[t] = min(ld.LAST if i is None else i, cls.get(t, ld.LAST))
     order = sorted(cls, key=lambda t: (cls[t], hashlib.md5(t.encode()).digest()))
     cut = {t: [(k, x.strip(" ")) for k, x in enumerate(t.split("\n")) if x.strip(" ")] for t in order}
-    first = {}
-    for t in order:
-        for _, x in cut[t]:
-            first.setdefault(x, t)
     kept = {}
     for t in order:
-        lines, gone, run, runs = [x for _, x in cut[t]], set(), [], []
-        for k, x in enumerate(lines):
-            if first[x] != t:
-                run.append(k)
-            elif run:
-                runs.append(run)
-                run = []
-        runs += [run] if run else []
-        partners = {first[lines[k]] for r in runs if sum(len(re.split(r"\s+", lines[k])) for k in r) >= ld.LEAST_WORDS for k in r}
-        for p in partners:
+        lines, gone = [x for _, x in cut[t]], set()
+        for p in order[: order.index(t)]:
             gone |= {cut[t][k][0] for k in ld.common_blocks(lines, [x for _, x in cut[p]], [len(re.split(r"\s+", x)) for x in lines])}
         kept[t] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone) if gone else t
     out = []
