@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from florilege.plans import documents, graph, operations, references, relational, search, streams  # noqa: F401  each module registers its queries
+from florilege.plans import documents, graph, operations, passages, references, relational, resolution, search, streams  # noqa: F401  each module registers its queries
 from florilege.plans.catalog import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
