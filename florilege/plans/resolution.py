@@ -89,7 +89,8 @@ SELECT source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY n_cha
 def passage_fill(t: Tables) -> DataFrame:
     """The first twenty candidates of a group keep their places; those without a passage that matched show
     how they begin."""
-    hit = t.documents.select("doc_id", F.regexp_extract("text", r"[^.\n]*thorre[^.\n]*", 0).alias("hit")).where("hit <> ''")
+    sentences = F.split(F.col("text"), r"[.\n]")
+    hit = t.documents.where(F.contains("text", F.lit("thorre"))).select("doc_id", F.get(F.filter(sentences, lambda x: F.contains(x, F.lit("thorre"))), F.lit(0)).alias("hit"))
     slim = t.documents.select("source", "lang", "n_chars", "doc_id")
     ranked = rows.top_n_per_group(slim, ["source", "lang"], [F.col("n_chars"), F.col("doc_id")], 20).withColumnRenamed("rn", "ordinal")
     return ranked.join(t.documents.select("doc_id", "text"), "doc_id").join(hit, "doc_id", "left").select("source", "lang", "ordinal", "doc_id", F.coalesce("hit", F.substring("text", 1, 80)).alias("passage"))
