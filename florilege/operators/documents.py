@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -105,3 +106,39 @@ def marker_lift(docs: DataFrame, words: Column, label: Column, least: int) -> Da
     totals = docs.agg(F.count_if(label).alias("_p"), F.count_if(~label).alias("_n"))
     lift = ((F.col("pos") + 1) / (F.col("_p") + 2)) / ((F.col("neg") + 1) / (F.col("_n") + 2))
     return held.where(F.col("pos") + F.col("neg") >= least).join(F.broadcast(totals)).select("word", "pos", "neg", F.round(lift, 6).alias("lift"))  # one row
+
+
+def _runs(text: Column, words: int, inner: bool) -> Column:
+    """Hashes of the runs of ``words`` words that white space bounds. Of an ``inner`` text the first and the
+    last word may be parts of words elsewhere, so only its first run between them is taken."""
+
+    def hashes(w: Column) -> Column:
+        last = F.size(w) - words - (1 if inner else 0)
+        starts = F.when(last >= 1, F.array(F.lit(1))).otherwise(F.array()) if inner else F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array())
+        return F.transform(starts.cast("array<int>"), lambda i: F.xxhash64(F.slice(w, i + 1, words)))
+
+    # bound as a lambda variable, the split text is evaluated once, not for each run
+    return F.array_distinct(F.flatten(F.transform(F.array(F.split(text, r"\s+")), hashes)))
+
+
+def locate(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, words: str, run: int = 4, block: int = 500) -> DataFrame:
+    """``item, key, start``: each document that holds the text of an item, and where it does first (from 0).
+
+    An item of ``run + 2`` words or more is looked up by its first ``run`` inner words, which stand in the
+    document as they are: an equi-join on hashes, then the exact test. Shorter items are a stated query
+    set, broadcast ``block`` rows at a time. A null text holds nothing and is held by nothing, an empty
+    item is held by every text; repeated rows of an item or a document each give their rows.
+    """
+    d_rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+    asked = items.select(F.col(item).alias("_i"), F.col(words).alias("_w"), F.get(_runs(F.col(words), run, True), F.lit(0)).alias("_h")).where("_w is not null")
+    held = d_rows.select("_k", F.explode(_runs(F.col("_t"), run, False)).alias("_h"))
+    pairs = held.join(asked.select("_h", "_i").where("_h is not null").distinct(), "_h").select(F.col("_k").alias("_pk"), F.col("_i").alias("_pi")).distinct()
+    long = asked.where("_h is not null")
+    candidates = pairs.join(long, F.col("_pi").eqNullSafe(F.col("_i"))).join(d_rows, F.col("_pk").eqNullSafe(F.col("_k")))
+    found = [candidates.where(F.contains("_t", F.col("_w")))]
+    short = asked.where("_h is null")
+    for i in range(blocks := -(-short.count() // block)):
+        part = short.where(F.pmod(F.xxhash64("_i", "_w"), F.lit(blocks)) == i)
+        found.append(d_rows.join(F.broadcast(part), F.contains("_t", F.col("_w"))))
+    start = (F.expr("instr(_t, _w)") - 1).cast("long")
+    return reduce(DataFrame.unionByName, [f.select("_i", "_k", "_t", "_w") for f in found]).select(F.col("_i").alias(item), F.col("_k").alias(key), start.alias("start"))

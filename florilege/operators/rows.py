@@ -75,6 +75,21 @@ def runs(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFr
     )
 
 
+def maximum_before(df: DataFrame, key: str, value: str, out: str, size: int = 1000, levels: int = 2) -> DataFrame:
+    """``df`` with ``out``: the greatest ``value`` of all rows with a smaller integer ``key`` (unique), null
+    for the first. Ranges of ``size`` keys are summed up ``levels`` times, so that the last window, which
+    is one task, sees one row for ``size ** levels`` keys; rows without a key come first."""
+    if not levels:
+        return df.withColumn(out, F.max(value).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)))
+    part = f"_range{levels}"
+    ranged = df.withColumn(part, F.floor(F.col(key) / size))
+    sums = ranged.groupBy(part).agg(F.max(value).alias("_most"))
+    carried = maximum_before(sums, part, "_most", "_carried", size, levels - 1).select(F.col(part).alias("_q"), "_carried")
+    within = F.max(value).over(Window.partitionBy(part).orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
+    joined = ranged.withColumn("_within", within).join(carried, F.col(part).eqNullSafe(F.col("_q")))
+    return joined.withColumn(out, F.greatest("_within", "_carried")).select(*df.columns, out)
+
+
 def conflicts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Groups with more than one distinct ``value``."""
     return df.groupBy(*keys).agg(F.count_distinct(value).alias("n_values"), F.array_sort(F.collect_set(value)).alias("values")).where("n_values > 1")

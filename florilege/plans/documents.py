@@ -248,9 +248,7 @@ def operative_region(t: Tables) -> DataFrame:
 @query("doc_span_location", """
 SELECT item_id, doc_id, strpos(d.text, b.text) - 1 AS start FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
 def span_location(t: Tables) -> DataFrame:
-    """Exact spans of the items (a small, stated query set) in all documents."""
-    few = t.benchmark.select("item_id", F.col("text").alias("item"))
-    return t.documents.join(F.broadcast(few), F.contains("text", F.col("item"))).select("item_id", "doc_id", (F.expr("instr(text, item)") - 1).cast("long").alias("start"))
+    return d.locate(t.documents, "doc_id", "text", t.benchmark, "item_id", "text")
 
 
 @query("doc_vector_norms", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))), 6) AS norm FROM embeddings")

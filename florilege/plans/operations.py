@@ -112,14 +112,9 @@ def frontier(t: Tables) -> DataFrame:
 @query("incr_late_rows", """
 WITH w AS (SELECT event_id, ts, max(ts) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM events) SELECT count(*) FILTER (WHERE ts < seen - INTERVAL 10 DAY) AS late, count(*) AS total FROM w""")
 def late_rows(t: Tables) -> DataFrame:
-    """Arrival order is the id; the watermark before a row is the maximum over earlier ids, carried
-    from range to range of ids so that no task sees all rows."""
-    ranged = t.events.select("event_id", "ts", F.floor(F.col("event_id") / 1000).alias("r"))
-    high = ranged.groupBy("r").agg(F.max("ts").alias("m"))
-    before = high.select(F.col("r").alias("_r"), F.max("m").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    within = F.max("ts").over(Window.partitionBy("r").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1))
-    seen = F.greatest(F.col("inner"), F.col("carried"))
-    return ranged.withColumn("inner", within).join(before, F.col("r") == F.col("_r")).agg(F.count_if(F.col("ts") < seen - F.expr("INTERVAL 10 DAYS")).alias("late"), F.count(F.lit(1)).alias("total"))
+    """Arrival order is the id; the watermark before a row is the maximum over all earlier ids."""
+    seen = rows.maximum_before(t.events.select("event_id", "ts"), "event_id", "ts", "seen")
+    return seen.agg(F.count_if(F.col("ts") < F.col("seen") - F.expr("INTERVAL 10 DAYS")).alias("late"), F.count(F.lit(1)).alias("total"))
 
 
 @query("incr_change_capture", """

@@ -441,9 +441,16 @@ def keyset_page(t: Tables) -> DataFrame:
 @query("top_statutory_order", r"""
 SELECT p_partkey, row_number() OVER (ORDER BY regexp_extract(p_brand, '(\d+)', 1)::INT, p_name, p_partkey) AS place FROM part WHERE p_size = 7""")
 def statutory_order(t: Tables) -> DataFrame:
+    """Places in the order of the number, then of the name: counted in ranges of (number, first letters of
+    the name), then shifted by what stands in the ranges before."""
     number = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
-    few = t.part.where("p_size = 7").select("p_partkey", number.alias("number"), "p_name")
-    return few.withColumn("place", F.row_number().over(Window.orderBy("number", "p_name", "p_partkey"))).select("p_partkey", "place")
+    few = t.part.where("p_size = 7").select("p_partkey", number.alias("number"), "p_name", F.substring("p_name", 1, 2).alias("head"))
+    before = Window.orderBy("number", "head").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sizes = few.groupBy("number", "head").agg(F.count(F.lit(1)).alias("n"))
+    shifts = sizes.select(F.col("number").alias("_n"), F.col("head").alias("_h"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    within = few.withColumn("rn", F.row_number().over(Window.partitionBy("number", "head").orderBy("p_name", "p_partkey")))
+    joined = within.join(shifts, F.col("number").eqNullSafe(F.col("_n")) & F.col("head").eqNullSafe(F.col("_h")))
+    return joined.select("p_partkey", (F.col("shift") + F.col("rn")).alias("place"))
 
 
 @query("top_distinct_values", "SELECT DISTINCT o_orderpriority FROM orders")

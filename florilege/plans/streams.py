@@ -24,25 +24,34 @@ def projections(t: Tables) -> DataFrame:
     return ev.run_available(ev.projections(stream(t)), folder(t))
 
 
-@query("stream_tumbling_window")
+#: The windows that the watermark has closed at the end: those that end by the last event less 10 minutes.
+CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+
+
+@query("stream_tumbling_window", f"""
+SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE <= {CLOSED}""")
 def tumbling(t: Tables) -> DataFrame:
-    """No oracle: windows that the watermark has not closed are not written. The batch form has one."""
+    """Windows that the watermark has not closed are not written, so that none is written twice."""
     out = ev.run_available(ev.windowed(stream(t), "15 minutes"), folder(t))
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("stream_sliding_window")
+@query("stream_sliding_window", f"""
+SELECT start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM (SELECT time_bucket(INTERVAL 30 MINUTE, ts) - back AS start, event_type, value FROM events, (VALUES (INTERVAL 0 MINUTE), (INTERVAL 30 MINUTE)) b(back)) GROUP BY 1, 2 HAVING start + INTERVAL 1 HOUR <= {CLOSED}""")
 def sliding(t: Tables) -> DataFrame:
     out = ev.run_available(ev.windowed(stream(t), "1 hour", "30 minutes"), folder(t))
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("stream_sessions")
+@query("stream_sessions", f"""
+WITH m AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY rn) AS session FROM m)
+SELECT min(ts) AS start, user_id, count(*) AS n FROM s GROUP BY user_id, session HAVING max(ts) + INTERVAL 30 MINUTE <= {CLOSED}""")
 def sessions(t: Tables) -> DataFrame:
     out = ev.run_available(ev.sessions(stream(t), "30 minutes"), folder(t))
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("stream_first_of")
+@query("stream_first_of", "SELECT DISTINCT user_id, event_type FROM events")
 def first_of(t: Tables) -> DataFrame:
     return ev.run_available(ev.first_of(stream(t), ["user_id", "event_type"], "60 days").select("user_id", "event_type"), folder(t))

@@ -251,3 +251,21 @@ def test_dense_top_in_tiles(spark, monkeypatch):
         for q in (k for k in x if k % 25 == 0):
             score = {v: sum(a * b for a, b in zip(x[q], x[v], strict=True)) for v in x if v != q}
             assert got[q] == sorted(score, key=lambda v: (-round(score[v], digits), v))[:7]
+
+
+def test_items_are_located_exactly(spark):
+    texts = ["a b c d e f g h", "xa b c d e f gy a b c d e f g", "b c\td e f", "", None, "a b c d e f g h", "zz b z"]
+    docs = spark.createDataFrame([(i % 6, t) for i, t in enumerate(texts)] + [(None, "a b c d e f g")], "doc_id long, text string")
+    asked = ["a b c d e f g", "b", "", None, "b c d e f", " b c d e f ", "b", "nowhere to be found in any text"]
+    items = spark.createDataFrame([(min(i, 6), t) for i, t in enumerate(asked)], "item_id long, text string")
+    got = documents.locate(docs, "doc_id", "text", items, "item_id", "text", block=2).collect()
+    rows = [(i % 6, t) for i, t in enumerate(texts)] + [(None, "a b c d e f g")]
+    want = [(min(i, 6), k, t.find(w)) for i, w in enumerate(asked) if w is not None for k, t in rows if t is not None and w in t]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_maximum_before_over_ranges(spark):
+    values = [(i, (i * 7919) % 101 if i % 5 else None) for i in range(0, 300, 3)]
+    df = spark.createDataFrame(values, "k long, v long")
+    got = {r.k: r.m for r in rows.maximum_before(df, "k", "v", "m", size=7).collect()}
+    assert got == {k: max((v for q, v in values if q < k and v is not None), default=None) for k, _ in values}
