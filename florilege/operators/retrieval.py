@@ -70,21 +70,24 @@ def _nearest(depth: int, margin: float):
     return score
 
 
-def dense_top(queries: DataFrame, vectors: DataFrame, depth: int, digits: int = 6) -> DataFrame:
+def dense_top(queries: DataFrame, vectors: DataFrame, depth: int, digits: int = 6, within: str | None = None) -> DataFrame:
     """``query_id, vec_id, score, rank``: the nearest vectors by dot product (6 decimals), the query's own
-    aside; ranked by the score rounded to ``digits``, ties to the smaller id.
+    aside; ranked by the score rounded to ``digits``, ties to the smaller id. With ``within``, a column of
+    both sides, only vectors that have the query's value there are candidates.
 
     A stated query set against all vectors, in tiles of ``TILE_QUERIES`` x ``TILE_VECTORS``: a tile is a
     matrix product, from which only the best of each query leave. A vector travels once for each tile
     of queries, a query once for each tile of vectors; nothing is broadcast.
     """
-    known = vectors.where("embedding is not null").select("vec_id", "embedding")
+    same = [F.col(within).alias("_same")] if within else []
+    known = vectors.where("embedding is not null").select("vec_id", "embedding", *same)
     across, down = (max(1, -(-df.count() // size)) for df, size in ((known, TILE_VECTORS), (queries, TILE_QUERIES)))
     tile = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.where("q is not null").select(F.col("query_id").cast("long").alias("query_id"), "q", tile("query_id", down).alias("qt"), every(across).alias("vt"))
-    v = known.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", tile("vec_id", across).alias("vt"), every(down).alias("qt"))
-    near = q.groupBy("qt", "vt").cogroup(v.groupBy("qt", "vt")).applyInPandas(_nearest(depth, 1.01 * 10.0**-digits + 1e-6), "query_id long, vec_id long, score double")
+    q = queries.where("q is not null").select(F.col("query_id").cast("long").alias("query_id"), "q", tile("query_id", down).alias("qt"), every(across).alias("vt"), *same)
+    keys = ["qt", "vt", "_same"] if within else ["qt", "vt"]
+    v = known.select(*known.columns[2:], F.col("vec_id").cast("long").alias("vec_id"), "embedding", tile("vec_id", across).alias("vt"), every(down).alias("qt"))
+    near = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(_nearest(depth, 1.01 * 10.0**-digits + 1e-6), "query_id long, vec_id long, score double")
     scored = near.withColumn("score", F.round("score", 6))
     order = [F.desc(F.round("score", digits)), F.col("vec_id")]
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= depth)

@@ -8,9 +8,10 @@ import math
 import random
 from fractions import Fraction
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from florilege.functions import quality, text
+from florilege.functions import quality, signals, text
 from florilege.operators import analytics, documents, evaluation, joins, retrieval, rows
 from florilege.sources import tables as files
 
@@ -269,3 +270,42 @@ def test_maximum_before_over_ranges(spark):
     df = spark.createDataFrame(values, "k long, v long")
     got = {r.k: r.m for r in rows.maximum_before(df, "k", "v", "m", size=7).collect()}
     assert got == {k: max((v for q, v in values if q < k and v is not None), default=None) for k, _ in values}
+
+
+def test_signals_of_single_texts(spark):
+    texts = [None, "", "ab #$%", "he nd ersion icense oftware his", "the and version license software this", "he nd"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    whole, cut = signals.cut_counts(F.col("t"))
+    got = df.select("i", signals.font_verdict(F.col("t"), r"[#%$&*]{3}"), whole, cut, signals.fnv1a(F.col("t"))).orderBy("i").collect()
+
+    def fnv(text):
+        h = 2166136261
+        for c in (text or "").encode():
+            h = ((h ^ c) * 16777619) % 2**32
+        return None if text is None else h
+
+    assert [tuple(r)[1:] for r in got] == [
+        (v, w, c, fnv(t)) for t, v, w, c in zip(texts, ["unknown", "clean", "suspect", "clean", "clean", "clean"], [0, 0, 0, 0, 6, 0], [0, 0, 0, 6, 0, 2], strict=True)
+    ]
+
+
+def test_half_precision_and_swapped_digits(spark):
+    rng = random.Random(5)
+    numbers = [0.0, 1.0, -1.0, 2.0**-14, 2.0**-25, 3 * 2.0**-25, 65504.0, *[rng.uniform(-1, 1) * 2.0 ** rng.randint(-20, 10) for _ in range(500)]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double")
+    assert [r.h for r in df.orderBy("i").select(signals.half(F.col("x")).alias("h")).collect()] == [float(np.float16(x)) for x in numbers]
+    ids = spark.createDataFrame([(None,), (7,), (22,), (21,), (1203,)], "n long")
+    assert [r.s for r in ids.select(signals.swapped_digits(F.col("n")).alias("s")).collect()] == [None, None, None, "12", "1230"]
+
+
+def test_nearest_within_a_group(spark):
+    rng = random.Random(9)
+    vectors = [(i, [rng.uniform(-1, 1) for _ in range(4)], None if i % 7 == 0 else i % 3) for i in range(60)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label long")
+    asked = df.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    got = values(retrieval.dense_top(asked, df, 3, within="label").select("query_id", "rank", "vec_id"))
+    want = []
+    for i, q, label in vectors[:10]:
+        near = sorted((-round(sum(a * b for a, b in zip(q, v, strict=True)), 6), j) for j, v, other in vectors if j != i and other == label)
+        want += [(i, place, j) for place, (_, j) in enumerate(near[:3], 1)]
+    assert got == sorted(want)
