@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -87,6 +89,51 @@ def test_mix_comes_near_its_targets_on_many_documents(spark):
         assert abs(r["n"] - want[r["source"]]) <= 0.05 * want[r["source"]] + largest
 
 
+def brute_mix(docs):
+    """``(doc_id, size, copies)``: draws and their repair, one source after the other."""
+    words = lambda t: len(re.findall("[^\x20\x09-\x0d]+", t or ""))
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    sizes, by, seen = Counter(), {}, Counter()
+    for i, text, source in docs:
+        key = digest("\n".join(["" if i is None else str(i), digest(source or ""), digest(text or "")]))
+        by.setdefault(source, []).append((digest(f"{key}:{seen[key]}"), i, words(text)))
+        seen[key] += 1
+        sizes[source] += words(text)
+    out, want = [], brute_targets(sizes)
+    for source, own in by.items():
+        rate = want[source] / sizes[source] if sizes[source] else 0.0
+        whole, lacks = int(rate), want[source] - int(rate) * sizes[source]
+        near = [abs(int(h[:13], 16) / 2**52 - (rate - whole)) <= 8 / len(own) ** 0.5 for h, _, _ in own]
+        copied = [int(h[:13], 16) / 2**52 < rate - whole for h, _, _ in own]
+        have = sum(n for (_, _, n), c, k in zip(own, copied, near) if c and not k)
+        for k in sorted((k for k in range(len(own)) if near[k]), key=lambda k: own[k][0]):
+            copied[k] = have + own[k][2] / 2 <= lacks
+            have += own[k][2]
+        out += [(i, n, whole + (c and lacks > 0)) for (_, i, n), c in zip(own, copied)]
+    return sorted(out, key=repr), want
+
+
+def mixed(spark, tmp_path, data):
+    spark.createDataFrame(data, "doc_id long, text string, source string, copies int, _no string").repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = mixing.op9_mixing(spark, str(tmp_path)).collect()
+    return sorted(((r["doc_id"], r["size"], r["taken"]) for r in rows), key=repr)
+
+
+def test_draws_and_repairs_against_brute_force(spark, tmp_path):
+    rng = random.Random(14)
+    data = [(rng.choice([None, i, i, 7]), rng.choice([None, "", "a b c", "w " * rng.randrange(1, 300)]), rng.choice(["s0", "s1", "s2", "s2", "s2", None, "ü"]), 1, "x") for i in range(1500)]
+    want, _ = brute_mix([d[:3] for d in data])
+    assert mixed(spark, tmp_path, data) == sorted(((i, n, n * c) for i, n, c in want), key=repr)
+
+
+def test_a_source_of_equal_rows_comes_near_its_target(spark, tmp_path):
+    data = [(None, "a b c d e", "s0", 1, "x") for _ in range(40)] + [(i, "a b c d e f", "s1", 1, "x") for i in range(90)] + [(1, "w " * 30, "s2", 1, "x")]
+    got = mixed(spark, tmp_path, data)
+    want, targets = brute_mix([d[:3] for d in data])
+    assert got == sorted(((i, n, n * c) for i, n, c in want), key=repr)
+    assert abs(sum(t for i, _, t in got if i is None) - targets["s0"]) <= 2.5
+
+
 # ---- sharding
 
 def laws(rows, texts):
