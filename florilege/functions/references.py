@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,54 +34,38 @@ def references(docs: DataFrame, key: str, text: str) -> DataFrame:
     return each.groupBy(key, "kind", "reference").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _spots(patterns: tuple[tuple[str, str], ...]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compiled = [(kind, re.compile(p)) for kind, p in patterns]
+        for batch in batches:
+            for key, text in zip(batch["key"], batch["text"], strict=True):
+                rows = [(key, kind, m.group(), m.start(), m.end()) for kind, p in compiled for m in p.finditer(text or "")]
+                yield pd.DataFrame(rows, columns=["key", "kind", "found", "start", "end"])
+
+    return run
+
+
+def spots(docs: DataFrame, key: str, text: str, patterns: tuple[tuple[str, str], ...] = PATTERNS) -> DataFrame:
+    """``key, kind, found, start, end`` of every reference of every text, in one pass over each text.
+    Offsets are code points. Patterns must mean the same to Python and the SQL engines."""
+    slim = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    return slim.mapInPandas(_spots(patterns), "key long, kind string, found string, start int, end int").withColumnRenamed("key", key)
+
+
 def first_offsets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, kind, reference, start``: the first code point of each reference, through the pieces
-    between matches, without Python."""
-    arms = []
-    for kind, p in PATTERNS:
-        found, gaps = F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.split(text, p, -1)
-        pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"), m.alias("r")))
-        start = F.aggregate(
-            pairs, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<r:string,start:int>>").alias("out")),
-            lambda acc, x: F.struct((acc["at"] + x["g"] + x["m"]).alias("at"), F.concat(acc["out"], F.array(F.struct(x["r"].alias("r"), (acc["at"] + x["g"]).alias("start")))).alias("out")),
-        )["out"]
-        arms.append(docs.where(F.col(text).rlike(p)).select(key, F.lit(kind).alias("kind"), F.explode(start).alias("f")))
-    union = arms[0]
-    for arm in arms[1:]:
-        union = union.unionByName(arm)
-    return union.groupBy(key, "kind", normal(F.col("f.r")).alias("reference")).agg(F.min("f.start").alias("start"))
+    """``key, kind, reference, start``: the first code point of each reference."""
+    return spots(docs, key, text).groupBy(key, "kind", normal(F.col("found")).alias("reference")).agg(F.min("start").alias("start"))
 
 
 def co_named(docs: DataFrame, key: str, text: str, within: int = 55) -> DataFrame:
-    """Pairs of different references of one document that stand within ``within`` characters."""
-    spots = first_offsets(docs, key, text)
-    a, b = spots.select(key, F.col("reference").alias("a"), F.col("start").alias("sa")), spots.select(key, F.col("reference").alias("b"), F.col("start").alias("sb"))
-    near = F.abs(F.col("sa") - F.col("sb")) <= within
-    return a.join(b, key).where((F.col("a") < F.col("b")) & near).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Where a span stands in a text: exactly, with white space collapsed, or its longest prefix."""
-    for batch in batches:
-        out = []
-        for key, text, span in zip(batch["key"], batch["text"], batch["span"], strict=True):
-            text, span = text or "", span or ""
-            if span and (at := text.find(span)) >= 0:
-                out.append((key, "exact", at, len(span)))
-                continue
-            flat, want = " ".join(text.split()), " ".join(span.split())
-            if want and (at := flat.find(want)) >= 0:
-                out.append((key, "collapsed", at, len(want)))
-                continue
-            low, high = 0, len(want)
-            while low < high:
-                mid = (low + high + 1) // 2
-                low, high = (mid, high) if want[:mid] in flat else (low, mid - 1)
-            out.append((key, "partial" if low >= max(8, len(want) // 2) else "absent", flat.find(want[:low]) if low else -1, low))
-        yield pd.DataFrame(out, columns=["key", "verdict", "start", "size"])
-
-
-def locate(spans: DataFrame, key: str, text: str, span: str) -> DataFrame:
-    """``key, verdict, start, size`` for rows that carry a text and a span said to be in it."""
-    slim = spans.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(span).alias("span"))
-    return slim.mapInPandas(_align, "key long, verdict string, start int, size int").withColumnRenamed("key", key)
+    """Pairs of different references of one document whose first places lie within ``within`` characters.
+
+    Places are binned by the reach and met in their own and the next bin, so that a document of many
+    references makes no pairs beyond the reach.
+    """
+    at = first_offsets(docs, key, text).withColumn("_bin", F.floor(F.col("start") / within))
+    a = at.select(key, F.explode(F.array("_bin", F.col("_bin") + 1)).alias("_bin"), F.col("_bin").alias("_own"), F.col("reference").alias("a"), F.col("start").alias("sa"))
+    b = at.select(key, "_bin", F.col("_bin").alias("_home"), F.col("reference").alias("b"), F.col("start").alias("sb"))
+    near = (F.col("sb") - F.col("sa")).between(-within, within) & (F.col("a") != F.col("b")) & ((F.col("_own") < F.col("_home")) | (F.col("a") < F.col("b")))
+    pairs = a.join(b, [key, "_bin"]).where(near)
+    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("n"))

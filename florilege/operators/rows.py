@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -97,28 +99,31 @@ def conflicts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def rate_limited(df: DataFrame, key: str, at: str, order: str, limit: int, seconds: int) -> DataFrame:
     """``order, refused, after_us`` for each row: a sliding log of the admitted rows of a key. A row is
-    refused while ``limit`` admitted rows lie in the ``seconds`` before it (ends included), and
-    ``after_us`` says how many microseconds remain until it would not be.
+    refused while ``limit`` admitted rows lie less than ``seconds`` before it (a row exactly that old
+    no longer counts), and ``after_us`` says how many microseconds remain until it would not be.
 
-    A pause longer than the window empties the log, so a key is cut there, and a group is one busy
-    stretch of a key.
+    Rows are shuffled by key and sorted by time, and one pass over a partition carries the log of the
+    present key, ``limit`` times at most, from batch to batch: no group is built, so neither many short
+    stretches nor a key that never pauses cost more than their rows. A null key is a key of its own.
     """
     span = seconds * 1_000_000
     timed = df.select(F.col(key).alias("_key"), F.col(order).alias("_id"), F.unix_micros(F.col(at).cast("timestamp")).alias("_us"))
-    line = Window.partitionBy("_key").orderBy("_us", "_id")
-    cut = (F.col("_us") - F.lag("_us").over(line) > span).cast("int")
-    runs = timed.withColumn("_cut", F.coalesce(cut, F.lit(1))).withColumn("_run", F.sum("_cut").over(line))
-
-    def admit(group: pd.DataFrame) -> pd.DataFrame:
-        log, refused, after = deque(), [], []
-        group = group.sort_values(["_us", "_id"])
-        for us in group["_us"]:
-            while log and log[0] < us - span:
-                log.popleft()
-            refused.append(len(log) >= limit)
-            after.append(log[0] + span - us if refused[-1] else 0)
-            if not refused[-1]:
-                log.append(us)
-        return pd.DataFrame({order: group["_id"], "refused": refused, "after_us": after})
-
-    return runs.groupBy("_key", "_run").applyInPandas(admit, f"{order} long, refused boolean, after_us long")
+
+    def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present, log = object(), deque()
+        for batch in batches:
+            refused, after = [], []
+            for name, us in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if name != present:
+                    present, log = name, deque()
+                while log and log[0] <= us - span:
+                    log.popleft()
+                full = len(log) >= limit
+                refused.append(full)
+                after.append(log[0] + span - us if full else 0)
+                if not full:
+                    log.append(us)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(refused, pa.bool_()), pa.array(after, pa.int64())], [order, "refused", "after_us"])
+
+    schema = StructType([StructField(order, df.schema[order].dataType), StructField("refused", BooleanType()), StructField("after_us", LongType())])
+    return timed.repartition("_key").sortWithinPartitions("_key", "_us", "_id").mapInArrow(admit, schema)

@@ -188,8 +188,8 @@ def coverage_watermark(t: Tables) -> DataFrame:
 @query("incr_rate_limit", """
 WITH RECURSIVE s AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 walk AS (SELECT event_id, user_id, rn, ts AS last, NULL::TIMESTAMP AS before, false AS refused FROM s WHERE rn = 1
-  UNION ALL SELECT s.event_id, s.user_id, s.rn, CASE WHEN coalesce(w.before >= s.ts - INTERVAL 6 HOUR, false) THEN w.last ELSE s.ts END,
-    CASE WHEN coalesce(w.before >= s.ts - INTERVAL 6 HOUR, false) THEN w.before ELSE w.last END, coalesce(w.before >= s.ts - INTERVAL 6 HOUR, false)
+  UNION ALL SELECT s.event_id, s.user_id, s.rn, CASE WHEN coalesce(w.before > s.ts - INTERVAL 6 HOUR, false) THEN w.last ELSE s.ts END,
+    CASE WHEN coalesce(w.before > s.ts - INTERVAL 6 HOUR, false) THEN w.before ELSE w.last END, coalesce(w.before > s.ts - INTERVAL 6 HOUR, false)
   FROM walk w JOIN s ON s.user_id = w.user_id AND s.rn = w.rn + 1)
 SELECT event_id, refused FROM walk""")
 def rate_limit(t: Tables) -> DataFrame:

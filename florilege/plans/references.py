@@ -49,14 +49,6 @@ def strip(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.length(x).cast("long").alias("n"))
 
 
-@query("ref_locate_spans")
-def locate(t: Tables) -> DataFrame:
-    """Sentences of a document looked up in the text with line ends turned to blanks. No oracle:
-    partial matches are a search; tests hold the verdicts on small cases."""
-    sentence = F.trim(F.regexp_extract("text", r"(?s)\.\s+([^.]+\.)", 1))
-    return refs.locate(t.documents.select("doc_id", F.regexp_replace("text", "\n", "  ").alias("text"), sentence.alias("span")), "doc_id", "text", "span")
-
-
 @query("ref_name_split", r"""
 SELECT c_custkey, string_split(c_name, '#')[1] AS party, string_split(c_name, '#')[2] AS serial FROM customer""")
 def name_split(t: Tables) -> DataFrame:

@@ -232,7 +232,13 @@ def test_rate_limit_counts_only_what_it_admits(spark):
     at = [0, 10, 20, 59, 61, 70, 75, 500, 501, 502]
     df = spark.createDataFrame([(i, 1, s) for i, s in enumerate(at)] + [(99, 2, 5)], "id long, u long, s int").withColumn("ts", F.timestamp_seconds("s"))
     got = {r["id"]: (r["refused"], r["after_us"] // 1_000_000) for r in rows.rate_limited(df, "u", "ts", "id", 2, 60).collect()}
-    assert got == {0: (False, 0), 1: (False, 0), 2: (True, 40), 3: (True, 1), 4: (False, 0), 5: (True, 0), 6: (False, 0), 7: (False, 0), 8: (False, 0), 9: (True, 58), 99: (False, 0)}
+    assert got == {0: (False, 0), 1: (False, 0), 2: (True, 40), 3: (True, 1), 4: (False, 0), 5: (False, 0), 6: (True, 46), 7: (False, 0), 8: (False, 0), 9: (True, 58), 99: (False, 0)}
+
+
+def test_rate_limit_of_a_key_that_never_pauses(spark):
+    df = spark.range(25_000).select("id", F.lit(None).cast("long").alias("u"), F.timestamp_seconds("id").alias("ts"))
+    got = {r["id"] for r in rows.rate_limited(df, "u", "ts", "id", 2, 10).where("not refused").collect()}
+    assert got == {i for i in range(25_000) if i % 10 < 2}
 
 
 def test_dense_top_in_tiles(spark, monkeypatch):
