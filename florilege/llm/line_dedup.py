@@ -1,14 +1,19 @@
-"""Line dedup by repeated blocks.
-
-Lines (trimmed, blank ones aside) are hashed. A block is a run of consecutive lines of ``LEAST_WORDS``
-words or more; a block of a document goes if any earlier document holds the same lines in a row,
-wherever and in whatever order of blocks. That is at least what aligning each document with all
-earlier ones deletes: an aligned common block (:func:`common_blocks`) is a run of both.
-
-No pairs are made. Every common block is covered by the shortest runs of ``LEAST_WORDS`` words
-that begin or end at its lines, and what such a run holds depends on its lines alone. So runs are hashed,
-the first holder of each is the document of the smallest id that has it, and in all later
-holders the lines of the run go.
+"""Line dedup by pairwise alignment.
+
+Lines (trimmed, blank ones aside) are hashed. Documents overlap if they share a run of consecutive
+lines of ``LEAST_WORDS`` words or more, which is far rarer than a line. Every shared block is covered by
+the shortest such runs that begin or end at its lines, and what these hold depends on their lines
+alone: so the runs are hashed, and their first holder is the document of the smallest id. A later
+document is paired with the first holder of each of its runs, and with no other: another earlier
+document that holds the run has it from there. So a passage that very many documents share makes one
+pair for each of them, and every shared block has a pair that holds it on both sides.
+
+Each pair is aligned by patience diff on its line hashes: lines that are unique on both sides and stand
+in the same order are anchors, which grow to blocks; aligned blocks of ``LEAST_WORDS`` words or more are
+deleted from the later document. What is left is aligned again, with breaks where blocks were, until
+nothing is deleted: so a block that stands elsewhere in the earlier document goes too. What patience diff
+cannot anchor, as its lines repeat or as it overlaps a block that is gone, is looked up by its shortest
+runs. What any pair deletes goes; a test holds the result against all pairs of earlier documents.
 
 Equal texts form a class of which the smallest id goes on; the lines of later copies all go.
 A run that very many documents share makes one row for each of them, not one for each pair.
@@ -23,7 +28,9 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +100,42 @@ def common_blocks(a: list[int], b: list[int], words: list[int], least: int = LEA
     return gone
 
 
+def _short_runs(lines: list[int], words: list[int], least: int) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """The shortest runs of ``least`` words that begin or end at each line, each with its place."""
+    for i in range(len(lines)):
+        j = n = 0
+        while n < least and i + j < len(lines):
+            n, j = n + words[i + j], j + 1
+        if n >= least:
+            yield i, tuple(lines[i : i + j])
+        j = n = 0
+        while n < least and i - j >= 0:
+            n, j = n + words[i - j], j + 1
+        if n >= least:
+            yield i - j + 1, tuple(lines[i - j + 1 : i + 1])
+
+
+def aligned_blocks(a: list[int], b: list[int], words_a: list[int], words_b: list[int], least: int = LEAST_WORDS) -> set[int]:
+    """Positions in ``a`` of all blocks that align with ``b``, once and again on what is left."""
+    left, gone = list(a), set()
+    while new := common_blocks(left, b, words_a, least):
+        for i in new:
+            gone.add(i)
+            left[i] = (1 << 64) + i  # equal to no line
+    theirs = {run for _, run in _short_runs(b, words_b, least)}
+    for i, run in _short_runs(a, words_a, least):
+        if run in theirs:
+            gone.update(range(i, i + len(run)))
+    return gone
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        places = [sorted(aligned_blocks(a, b, m, n)) for _, a, m, b, n in zip(*columns, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.list_(pa.int32()))], ["cls", "places"])
+
+
 def _runs(lines: Column, words: Column) -> Column:
     """``at, size, run`` of the shortest runs of ``LEAST_WORDS`` words: at each line the one that begins
     there, and the one that ends there unless it is the first kind of an earlier line. A line has a
@@ -127,11 +170,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     holder = F.struct("rep", "cls")
     shared = each.groupBy("run").agg(F.min(holder).alias("first"), F.max(holder).alias("last")).where("first <> last")
     shared = scratch.write(shared.select("run", F.col("first.cls").alias("first")), "shared")
-    later = each.join(shared, "run").where("first <> cls")
-    spans = later.groupBy("cls").agg(F.collect_list(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("spans"))
-    masks = spans.select("cls", F.array_distinct(F.flatten("spans")).alias("places"))
+    pairs = scratch.write(each.join(shared, "run").where("first <> cls").select("cls", "first").distinct(), "pairs")
+    ours, theirs = lined.select("cls", "lines", "words"), lined.select(F.col("cls").alias("first"), F.col("lines").alias("other"), F.col("words").alias("other_words"))
+    both = pairs.join(theirs, "first").drop("first").join(ours, "cls").select("cls", "lines", "words", "other", "other_words")
+    aligned = scratch.write_texts(both.mapInArrow(_align, "cls binary, places array<int>").where("size(places) > 0"), "aligned")
+    masks = aligned.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
     out = lined.select("cls", "rep", "copies", "at").join(masks, "cls", "left").where("copies > 1 or places is not null")
-    out = out.withColumn("gone", F.array_sort(F.transform("places", lambda i: F.element_at("at", i))))
+    out = out.withColumn("gone", F.array_sort(F.transform("places", lambda i: F.element_at("at", i + 1))))
     removed = scratch.write(out.select("cls", "rep", F.coalesce("gone", F.array().cast("array<int>")).alias("gone")), "removed")
     scratch.keep_only("removed")
     return F.broadcast(removed) if removed.count() <= BROADCAST_ROWS else removed

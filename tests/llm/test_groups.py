@@ -237,6 +237,20 @@ def test_long_passages_go_and_clean_documents_stay(spark):
     assert got == {1: f"first own\n{passage}\nend one", 2: "second own\nend two", 3: "nothing shared here"}
 
 
+def test_swapped_blocks_go_in_two_alignments():
+    p, q, mid = [1, 2, 3], [4, 5], [9]
+    words = {1: 8, 2: 8, 3: 8, 4: 15, 5: 15, 9: 3, 8: 3}
+    first, later = [*p, *mid, *q], [*q, 8, *p]
+    count = lambda x: [words[i] for i in x]
+    once = ld.common_blocks(later, first, count(later))
+    assert once in ([0, 1], [3, 4, 5])  # one common subsequence holds one of them
+    assert ld.aligned_blocks(later, first, count(later), count(first)) == {0, 1, 3, 4, 5}
+
+
+def test_repeating_lines_have_no_anchor_but_go():
+    assert ld.aligned_blocks([7, 7, 7, 1], [2, 7, 7, 7, 7], [10, 10, 10, 1], [1, 10, 10, 10, 10]) == {0, 1, 2}
+
+
 def test_line_dedup_of_an_empty_table(spark):
     assert ld.remove_repeated(empty(spark)).count() == 0
 
