@@ -45,7 +45,7 @@ OPEN_BINS = 8192
 BUCKET = 65_536
 ROUND = 8192
 #: Cuts of text whose ids a worker keeps.
-CACHE = 400_000
+CACHE = 1_000_000
 #: Bytes of ids in one batch of pieces.
 FLUSH = 4_000_000
 
@@ -85,7 +85,7 @@ class Encoder:
                 yield b"".join(map(self.known.__getitem__, cuts)) + end
                 continue
             except KeyError:
-                new = list(set(cuts) - self.known.keys())
+                new = [c for c in set(cuts) if c not in self.known]
             if len(self.known) + len(new) > CACHE:
                 self.known = {}
                 new = list(set(cuts))
