@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import random
@@ -146,6 +147,7 @@ def test_query_of_runs_on_awkward_rows(spark, tmp_path):
 # packing
 
 
+@functools.cache
 def library():
     from tokenizers import Tokenizer
 
