@@ -26,9 +26,9 @@ def ocr_quality(text: Column) -> Column:
     return F.round(1 - F.coalesce(F.try_divide(F.size(damaged), F.size(alpha)), F.lit(0.0)), 3)
 
 
-def corruption(text: Column) -> tuple[Column, Column, Column]:
-    """(tokens, share of single characters, share of tokens that look like words)."""
-    w = pieces(text)
+def corruption(w: Column) -> tuple[Column, Column, Column]:
+    """(tokens, share of single characters, share of tokens that look like words) of a column of
+    :func:`pieces`."""
     n = F.size(w)
     single = F.try_divide(F.size(F.filter(w, lambda x: F.length(x) == 1)), n)
     wordlike = F.try_divide(F.size(F.filter(w, lambda x: x.rlike(r"^[A-Za-z]{3,}[.,;:!?]?$"))), n)

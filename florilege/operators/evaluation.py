@@ -50,19 +50,24 @@ def sample_size(p1: Column, p2: Column, z_alpha: float = 1.959963984540054, z_be
     return F.ceil(F.try_divide(top * top, (p1 - p2) * (p1 - p2)))
 
 
-def bootstrap(df: DataFrame, unit: str, value: str, iterations: int = 200, seed: int = 7) -> DataFrame:
-    """Mean with a 95% interval: each unit gets a hash-seeded Poisson(1) weight in each iteration.
+#: Draws of a bootstrap; one MD5 gives eight of 16 bits each.
+DRAWS, PER_HASH = 2000, 8
+#: Where a draw of 16 bits passes to the next Poisson(1) weight.
+POISSON = [round(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 65536) for k in range(7)]
 
-    Poisson weights resample without collecting the units, so a unit is read once for each iteration
-    in whatever task holds it.
+
+def bootstrap(df: DataFrame, unit: str, value: str, iterations: int = DRAWS, seed: int = 7) -> DataFrame:
+    """``mean, n, low, high``: a mean with its 95% interval. Each unit gets a Poisson(1) weight in each
+    iteration, drawn by the MD5 of unit, block of iterations and seed.
+
+    Poisson weights resample without collecting the units: a unit is read once, in whatever task holds
+    it, and each task sums its weights by iteration before the shuffle.
     """
-    i = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("i")
-    u = (F.pmod(F.xxhash64(F.col(unit), F.col("i"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    weight, total = F.lit(0), 0.0
-    for k in range(8):
-        total += math.exp(-1) / math.factorial(k)
-        weight = weight + (u > total).cast("int")
-    means = df.select(unit, value, i).groupBy("i").agg((F.sum(F.col(value) * weight) / F.sum(weight)).alias("m"))
+    hashed = df.select(value, unit, F.explode(F.sequence(F.lit(0), F.lit(-(-iterations // PER_HASH) - 1))).alias("b"))
+    hashed = hashed.select(value, "b", F.md5(F.concat_ws(":", F.col(unit).cast("string"), F.col("b").cast("string"), F.lit(str(seed)))).alias("h"))
+    drawn = hashed.select(value, "b", F.posexplode(F.array(*[F.conv(F.substring("h", 4 * k + 1, 4), 16, 10).cast("int") for k in range(PER_HASH)])).alias("k", "u"))
+    weight = sum(((F.col("u") >= c).cast("int") for c in POISSON), F.lit(0))
+    means = drawn.where(F.col("b") * PER_HASH + F.col("k") < iterations).groupBy("b", "k").agg((F.sum(F.col(value) * weight) / F.sum(weight)).alias("m"))
     interval = means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     return df.agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n")).join(F.broadcast(interval))  # one row
 

@@ -79,10 +79,11 @@ def ocr_quality(t: Tables) -> DataFrame:
 WITH s AS (SELECT doc_id, len(w) AS n, round(len(list_filter(w, lambda x: length(x) = 1)) / nullif(len(w), 0), 6) AS single, round(len(list_filter(w, lambda x: regexp_matches(x, '^[A-Za-z]{{3,}}[.,;:!?]?$'))) / nullif(len(w), 0), 6) AS wordlike, list_avg(list_transform(w, lambda x: length(x))) AS mean FROM (SELECT doc_id, {PIECES} AS w FROM documents))
 SELECT doc_id, n, single, wordlike, CASE WHEN n < 40 THEN 'too_short' WHEN single > 0.3 THEN 'exploded' WHEN wordlike < 0.2 AND mean < 2.5 THEN 'garbled' ELSE 'sound' END AS verdict FROM s""")
 def corruption(t: Tables) -> DataFrame:
-    n, single, wordlike = quality.corruption(F.col("text"))
-    w = quality.pieces(F.col("text"))
+    w = F.col("w")
+    n, single, wordlike = quality.corruption(w)
     mean = F.try_divide(F.aggregate(w, F.lit(0), lambda s, x: s + F.length(x)), F.size(w))
-    s = t.documents.select("doc_id", n.cast("long").alias("n"), single.alias("single"), wordlike.alias("wordlike"), mean.alias("mean"))
+    cut = t.documents.select("doc_id", quality.pieces(F.col("text")).alias("w"))
+    s = cut.select("doc_id", n.cast("long").alias("n"), single.alias("single"), wordlike.alias("wordlike"), mean.alias("mean"))
     verdict = quality.corruption_verdict(F.col("n"), F.col("single"), F.col("wordlike"), F.col("mean"))
     return s.select("doc_id", "n", "single", "wordlike", verdict.alias("verdict"))
 

@@ -174,9 +174,15 @@ SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER B
 
 
 def label_arm(t: Tables) -> DataFrame:
-    """A second ranked list: vectors of the query's label, nearest ids first."""
-    asked = t.embeddings.where(ASKED).select(F.col("vec_id").alias("query_id"), "label")
-    pairs = t.embeddings.select("vec_id", "label").join(F.broadcast(asked), "label").where("vec_id <> query_id")  # the stated query set
+    """A second ranked list: vectors of the query's label, nearest ids first.
+
+    Ids are numbered within their label; a query meets the thirty places before its own and the thirty
+    behind it, by an equi-join, and no others.
+    """
+    slim = t.embeddings.select("label", "vec_id")
+    placed = slim.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
+    asked = placed.where(ASKED).select(F.col("vec_id").alias("query_id"), "label", F.explode(F.sequence(F.col("place") - 30, F.col("place") + 30)).alias("place"))
+    pairs = asked.join(placed, ["label", "place"]).where("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.abs(F.col("query_id") - F.col("vec_id")), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where("rank <= 30").select("query_id", "vec_id", "rank")
 
@@ -395,10 +401,17 @@ def sample_size(t: Tables) -> DataFrame:
     return rates.select("l_linestatus", evaluation.sample_size(F.col("p1"), F.col("p2")).cast("long").alias("n"))
 
 
-@query("eval_bootstrap")
+@query("eval_bootstrap", f"""
+WITH units AS (SELECT o_custkey, avg(o_totalprice) AS v FROM orders GROUP BY 1),
+hashed AS (SELECT v, b, md5(o_custkey || ':' || b || ':7') AS h FROM units, (SELECT unnest(range(0, {evaluation.DRAWS // evaluation.PER_HASH})) AS b)),
+drawn AS (SELECT v, b * {evaluation.PER_HASH} + k AS i, ('0x' || substr(h, 4 * k + 1, 4))::INT AS u FROM hashed, (SELECT unnest(range(0, {evaluation.PER_HASH})) AS k)),
+means AS (SELECT i, sum(v * w) / sum(w) AS m FROM (SELECT i, v, {" + ".join(f"(u >= {c})::INT" for c in evaluation.POISSON)} AS w FROM drawn) GROUP BY 1)
+SELECT (SELECT round(avg(v), 4) FROM units) AS mean, (SELECT count(*) FROM units) AS n, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high FROM means""")
 def bootstrap(t: Tables) -> DataFrame:
-    """No oracle: the resampling is seeded by Spark's xxhash64."""
-    return evaluation.bootstrap(t.orders.select("o_orderkey", "o_totalprice"), "o_orderkey", "o_totalprice")
+    """Customers are the units, with the mean price of their orders."""
+    units = t.orders.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("v"))
+    found = evaluation.bootstrap(units, "o_custkey", "v")
+    return found.select(*[F.round(c, 4).alias(c) for c in ("mean", "low", "high")], "n")
 
 
 @query("eval_latency_percentiles", "SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, max(value) AS worst FROM events GROUP BY 1")
