@@ -191,10 +191,10 @@ def test_empty_tables(spark):
 
 
 def test_locate_verdicts(spark):
-    from florilege.functions.references import locate
+    from florilege.operators.spans import locate
 
     df = spark.createDataFrame([(1, "a  b c", "a  b"), (2, "a  b\nc", "a b c"), (3, "alpha beta gamma", "alpha beta delta"), (4, "x", "quite other"), (5, None, "y"), (6, "z", None)], "id long, t string, s string")
-    got = {r["id"]: (r["verdict"], r["start"]) for r in locate(df, "id", "t", "s").collect()}
+    got = {r["id"]: (r["verdict"], r["start"]) for r in locate(df.withColumn("s", F.array("s")), "id", "t", "s").collect()}
     assert got == {1: ("exact", 0), 2: ("collapsed", 0), 3: ("partial", 0), 4: ("absent", -1), 5: ("absent", -1), 6: ("absent", -1)}
 
 
