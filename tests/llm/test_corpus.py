@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -168,8 +170,117 @@ def test_shards_of_awkward_rows_and_of_a_group_larger_than_a_shard(spark):
     assert sharding.shard(empty(spark)).count() == 0
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of (value, bytes it has)."""
+    seed = 42
+    for v, size in values:
+        seed = xxhash.xxh64_intdigest((v & (1 << 8 * size) - 1).to_bytes(size, "little"), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def plain_propagation(rows, shards, quota):
+    """``{(grp, chunk, init): shard}`` and how many rounds moved something."""
+    at = {r[:3]: r[2] for r in rows}
+    count = {r[:3]: r[3] for r in rows}
+    turn = 0
+    while True:
+        votes = defaultdict(Counter)
+        for k, s in at.items():
+            votes[k[:2]][s] += count[k]
+        wish = {hub: max(v, key=lambda s: (v[s], spark_hash((hub[0], 8), (hub[1], 8), (s, 4)), s)) for hub, v in votes.items()}
+        flow, load = Counter(), [0] * shards
+        for k, s in at.items():
+            flow[s, wish[k[:2]]] += count[k]
+            load[s] += count[k]
+        room = sharding._room(flow, load, quota, shards)
+        if sum(n * room[b] for (a, b), n in flow.items() if a != b) < max(1, sharding.LEAST_MOVED * sum(load)):
+            return at, turn
+        for k, s in at.items():
+            if wish[k[:2]] != s and (spark_hash((k[0], 8), (k[1], 8), (turn, 4)) % (1 << 20)) / (1 << 20) < room[wish[k[:2]]]:
+                at[k] = wish[k[:2]]
+        turn += 1
+
+
+def cut_links(at, count):
+    """Members of a hub that stand apart from the most of it."""
+    votes = defaultdict(Counter)
+    for k, s in at.items():
+        votes[k[:2]][s] += count[k]
+    return sum(sum(v.values()) - max(v.values()) for v in votes.values())
+
+
+@pytest.mark.parametrize("quota", [10_000, 260, 200])
+def test_propagation_against_a_plain_version(spark, quota):
+    rng = random.Random(quota)
+    rows = [(g, c, i, rng.randrange(1, 6), i) for g in range(60) for c in range(1 + g % 2) for i in rng.sample(range(4), rng.randrange(1, 5))]
+    state = spark.createDataFrame(rows, "grp long, chunk long, init int, cnt long, cur int")
+    from florilege.llm.scratch import Scratch
+
+    got = {tuple(r)[:3]: r["cur"] for r in sharding._propagate(state, Scratch(spark, "test-shards"), 4, quota).select("grp", "chunk", "init", "cur").collect()}
+    want, turns = plain_propagation(rows, 4, quota)
+    assert got == want and turns > 0
+    count = {r[:3]: r[3] for r in rows}
+    before, after = cut_links({r[:3]: r[2] for r in rows}, count), cut_links(got, count)
+    assert after == 0 if quota == 10_000 else after < 0.5 * before
+    load, began = Counter(), Counter()
+    for k, s in got.items():
+        load[s] += count[k]
+        began[k[2]] += count[k]
+    assert all(load[s] <= 1.25 * max(quota, began[s]) for s in load)  # shares of room are met by hash, on average
+
+
 # ---- language
 
+def plain_language(text, counts):
+    """Prediction, score and share of the background, by sums over single trigrams."""
+    grams = li.trigrams(text)
+    if grams is None or not counts:
+        return "und", 0.0, 1.0
+    langs, seen = sorted(counts), Counter(int(g) for g in grams)
+    total = {x: sum(counts[x].values()) + li.SMOOTHING * li.BUCKETS for x in langs}
+    p = {g: [(counts[x].get(g, 0) + li.SMOOTHING) / total[x] for x in langs] + [1 / li.BUCKETS] for g in seen}
+    share = [1 / (len(langs) + 1)] * (len(langs) + 1)
+    for _ in range(li.EM_STEPS):
+        new = [0.0] * len(share)
+        for g, n in seen.items():
+            whole = sum(s * q for s, q in zip(share, p[g]))
+            for k, (s, q) in enumerate(zip(share, p[g])):
+                new[k] += n * s * q / whole / len(grams)
+        moved = max(abs(a - b) for a, b in zip(share, new))
+        share = new
+        if moved < 1e-4:
+            break
+    order = sorted(range(len(langs)), key=lambda k: -share[k])
+    best = None
+    for size in range(1, len(order) + 1):
+        own = [max(share[k], 1e-12) for k in order[:size]]
+        own = [s / sum(own) * (1 - share[-1]) for s in own]
+        fit = sum(n * math.log(sum(s * p[g][k] for s, k in zip(own, order)) + share[-1] * p[g][-1] + 1e-300) for g, n in seen.items()) - 0.5 * size * math.log(len(grams))
+        if best is None or fit > best[0]:
+            best = fit, order[:size]
+    held = sum(share[k] for k in best[1])
+    return langs[best[1][0]], min(1.0, share[best[1][0]] / held), share[-1]
+
+
+def test_language_query_against_a_plain_version(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    counts = {}
+    for r in docs:
+        if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 and (grams := li.trigrams(r["text"])) is not None:
+            counts.setdefault(r["lang"], Counter()).update(int(g) for g in grams)
+    got = {r["doc_id"]: r for r in li.op3_language_id(spark, sf).collect()}
+    for r in docs:
+        lang, score, background = plain_language(r["text"], counts)
+        assert got[r["doc_id"]]["lang_pred"] == lang
+        assert got[r["doc_id"]]["score"] == pytest.approx(score, abs=1e-6) and got[r["doc_id"]]["background"] == pytest.approx(background, abs=1e-6)
+
+
+def test_languages_of_equal_proportions_go_by_code_point():
+    counts = np.zeros((2, li.BUCKETS))
+    counts[:, li.trigrams("abc abd")] = 5.0
+    assert li.Model(["de", "en"], counts).infer("abc abd")[0] == "de"
+
+
 def test_held_out_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     rows = li.op3_language_id(spark, sf).join(docs, "doc_id").collect()
