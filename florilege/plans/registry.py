@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from florilege.plans import documents, evidence, graph, lexical, markers, operations, passages, references, relational, resolution, search, statutes, streams, tables, vectors, verification  # noqa: F401  each module registers its queries
+from florilege.plans import documents, evidence, fits, graph, lexical, markers, operations, passages, references, relational, resolution, search, statutes, streams, tables, vectors, verification  # noqa: F401  each module registers its queries
 from florilege.plans.catalog import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
