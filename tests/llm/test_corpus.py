@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import html.parser
 import math
 import random
 import re
@@ -368,6 +369,82 @@ def test_wrappers_and_depth_lose_no_text(page, text):
     assert he.main_text(page, set()) == text
 
 
+class PlainArticle(html.parser.HTMLParser):
+    """The blocks of the article elements of a page, by the standard library's parser."""
+
+    BLOCKS = {"article", "p", "h1", "h2", "h3", "ul", "ol", "li", "div", "section", "table", "tr", "td", "blockquote", "pre"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.held, self.out = 0, [], []
+
+    def end(self):
+        text = " ".join("".join(self.held).split())
+        self.held = []
+        if text and self.depth:
+            self.out.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS:
+            self.end()
+        self.depth += tag == "article"
+        if tag == "br":
+            self.held.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.end()
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.held.append(data)
+
+
+def test_extraction_query_against_a_plain_parser(spark, sf):
+    held = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = he.op4_html_extraction(spark, sf).collect()
+    assert len(got) == len(held)
+    for r in got:
+        plain = PlainArticle()
+        plain.feed(held[r["page_id"]])
+        plain.close()
+        assert r["text"] == "\n".join(plain.out) and r["n_chars"] == len(r["text"])
+
+
+def plain_entropy(counts, pages):
+    """Entropy of how often something stands on the pages, to the base of their number."""
+    return -sum(n / pages * math.log(n / pages, pages) for n in counts)
+
+
+def test_style_tree_against_a_plain_version(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(60):
+        side = "".join(f"<p>note {rng.randrange(3)}</p>" for _ in range(rng.randrange(4)))
+        rows.append((i, f"http://h{i % 3}.org/{i}", f"<html><body><div class=k{rng.randrange(2)}>{side}</div><section><h1>t{i}</h1><div><p>body {i}</p></div></section></body></html>", None))
+    got = {(r["host"], r["path"]): (r["pages"], r["importance"]) for r in he.style_tree(pages(spark, rows).withColumn("host", F.regexp_extract("url", "//([^/]*)", 1))).collect()}
+    tree = defaultdict(lambda: (Counter(), Counter(), [0]))
+    for i, _, page, _ in rows:
+        found, children = he.blocks(page)
+        for path in {b.path[:d] for b in found if not b.noise for d in range(1, len(b.path) + 1)}:
+            styles, texts, n = tree[f"h{i % 3}.org", "/".join(path)]
+            n[0] += 1
+            styles[tuple(sorted(children.get(path, Counter()).items()))] += 1
+            texts.update({b.text for b in found if not b.noise and b.path[: len(path)] == path})
+    assert got.keys() == tree.keys() and len(got) > 10
+    for key, (styles, texts, (n,)) in tree.items():
+        assert got[key][0] == n
+        style = plain_entropy(styles.values(), n) if n > 1 else 1.0
+        # over the standing texts: one less the mean share of pages, in logarithms, that a text stands on
+        text = 1.0
+        if n > 1 and texts:
+            spread = [math.log(k, n) for k in texts.values() for _ in range(k)]
+            text = 1 - sum(spread) / len(spread)
+        weight = 1 - he.DECAY ** len(styles)
+        assert got[key][1] == pytest.approx(weight * style + (1 - weight) * text)
+
+
 def test_no_pages(spark):
     assert he.extract(pages(spark, [])).count() == 0
 
@@ -443,3 +520,28 @@ def test_stages_keep_the_columns(spark, sf):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns, name
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "jaccard_join", "decontamination", "mixing", "sharding"]
+
+
+def test_awkward_and_empty_tables_go_through_all_stages(spark, tmp_path):
+    rng = random.Random(17)
+    words = {x: ["".join(rng.choice(x * 3 + "eirs") for _ in range(5)) for _ in range(60)] for x in ("ab", "cd")}
+    extra = [" ".join(rng.choice(words["ab" if i % 2 else "cd"]) for _ in range(80)) for i in range(60)]
+    docs = awkward(spark, extra).withColumn("lang", F.when(F.col("doc_id") < 13, F.col("lang")).when(F.col("doc_id") % 2 == 0, "xx").otherwise("yy"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items = spark.createDataFrame([(1, extra[7]), (2, None), (None, ""), (3, "")], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = frame
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = Scratch(spark, "test-stage").write(stage(spark, kept, str(tmp_path)), name)
+        assert kept.columns == frame.columns and kept.count() > 0
+        ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
+        assert name != "language_id" or not ids & {0, 1, 2}  # null, empty, blank
+        assert name != "jaccard_join" or (5 in ids and 6 not in ids and None not in ids)
+        assert name != "decontamination" or 13 + 7 not in ids
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    count = Counter(r["shard"] for r in out)
+    assert len(out) == kept.count() and max(count.values()) - min(count.get(k, 0) for k in range(sharding.SHARDS)) <= 1
+    empty(spark).write.parquet(f"{tmp_path}/none/documents.parquet")
+    items.write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
