@@ -48,8 +48,23 @@ def write_by(df: DataFrame, path: str, keys: list[str], rows_per_file: int = 1_0
     df.repartition(*keys).write.option("maxRecordsPerFile", rows_per_file).partitionBy(*keys).mode("overwrite").parquet(path)
 
 
-def failure_ledger(failures: DataFrame, key: str, reason: str, permanent: tuple[str, ...], most: int = 3) -> DataFrame:
+def export_ordered(df: DataFrame, path: str, keys: list[str], rows_per_file: int = 1_000_000) -> None:
+    """CSV files with a header, ordered by ``keys`` within each file and from file to file: rows are dealt by
+    ranges of the keys, so nothing is sorted in one task."""
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.option("header", True).option("maxRecordsPerFile", rows_per_file).option("nullValue", "\\N").option("escape", '"').mode("overwrite").csv(path)
+
+
+def import_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What :func:`export_ordered` wrote; a line that does not fit the schema stops the read."""
+    return spark.read.schema(schema).option("header", True).option("nullValue", "\\N").option("escape", '"').option("multiLine", True).option("mode", "FAILFAST").csv(path)
+
+
+def failure_ledger(failures: DataFrame, key: str, reason: str, permanent: tuple[str, ...], most: int = 3, succeeded: DataFrame | None = None) -> DataFrame:
     """``key, attempts, last_reason, permanent``: given up after ``most`` attempts, or at once for
-    some reasons."""
+    some reasons. ``succeeded`` (``key, at``): a key that succeeded later than its last failure leaves the
+    ledger; failures before a success no longer count."""
+    if succeeded is not None:
+        last = succeeded.groupBy(F.col(key).alias("_ok")).agg(F.max("at").alias("_at"))
+        failures = failures.join(last, F.col(key) == F.col("_ok"), "left").where("_at is null or at > _at").drop("_ok", "_at")
     held = failures.groupBy(key).agg(F.count(F.lit(1)).alias("attempts"), F.max_by(reason, "at").alias("last_reason"), F.bool_or(F.col(reason).isin(*permanent)).alias("_fatal"))
     return held.select(key, "attempts", "last_reason", (F.col("_fatal") | (F.col("attempts") >= most)).alias("permanent"))
