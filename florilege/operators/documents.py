@@ -121,24 +121,39 @@ def _runs(text: Column, words: int, inner: bool) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.array(F.split(text, r"\s+")), hashes)))
 
 
-def locate(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, words: str, run: int = 4, block: int = 500) -> DataFrame:
+def _grams(text: Column, size: int) -> Column:
+    """The different stretches of ``size`` characters of a text."""
+    places = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(size))))
+
+
+def locate(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, words: str, run: int = 4, gram: int = 3, block: int = 500) -> DataFrame:
     """``item, key, start``: each document that holds the text of an item, and where it does first (from 0).
 
-    An item of ``run + 2`` words or more is looked up by its first ``run`` inner words, which stand in the
-    document as they are: an equi-join on hashes, then the exact test. Shorter items are a stated query
-    set, broadcast ``block`` rows at a time. A null text holds nothing and is held by nothing, an empty
-    item is held by every text; repeated rows of an item or a document each give their rows.
+    An item of three words or more is looked up by its first inner words, ``run`` at most, which stand in the
+    document as they are; a shorter one by its first characters, ``gram`` at most. Either is an equi-join, with the
+    exact test after it; documents are only cut in the ways that some item asks for. A null text holds nothing and is held by nothing, an empty
+    item is held by every text (these alone are broadcast, ``block`` at a time); repeated rows of an item or a document each give their rows.
     """
     d_rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    asked = items.select(F.col(item).alias("_i"), F.col(words).alias("_w"), F.get(_runs(F.col(words), run, True), F.lit(0)).alias("_h")).where("_w is not null")
-    held = d_rows.select("_k", F.explode(_runs(F.col("_t"), run, False)).alias("_h"))
-    pairs = held.join(asked.select("_h", "_i").where("_h is not null").distinct(), "_h").select(F.col("_k").alias("_pk"), F.col("_i").alias("_pi")).distinct()
-    long = asked.where("_h is not null")
-    candidates = pairs.join(long, F.col("_pi").eqNullSafe(F.col("_i"))).join(d_rows, F.col("_pk").eqNullSafe(F.col("_k")))
-    found = [candidates.where(F.contains("_t", F.col("_w")))]
-    short = asked.where("_h is null")
-    for i in range(blocks := -(-short.count() // block)):
-        part = short.where(F.pmod(F.xxhash64("_i", "_w"), F.lit(blocks)) == i)
-        found.append(d_rows.join(F.broadcast(part), F.contains("_t", F.col("_w"))))
+    asked = items.select(F.col(item).alias("_i"), F.col(words).alias("_w")).where("_w is not null")
+    inner = F.least(F.size(F.split("_w", r"\s+")) - 2, F.lit(run))
+    asked = asked.withColumn("_cut", F.when(inner >= 1, inner).otherwise(-F.least(F.length("_w"), F.lit(gram))))
+    kinds = sorted(r["_cut"] for r in asked.select("_cut").distinct().collect())  # run + gram + 1 at most
+    found = []
+    for cut in kinds:
+        own = asked.where(F.col("_cut") == cut)
+        if cut == 0:
+            for i in range(blocks := -(-own.count() // block)):
+                part = own.where(F.pmod(F.xxhash64("_i"), F.lit(blocks)) == i)
+                found.append(d_rows.where("_t is not null").crossJoin(F.broadcast(part)))
+            continue
+        name = F.get(_runs(F.col("_w"), cut, True), F.lit(0)) if cut > 0 else F.left("_w", F.lit(-cut))
+        held = d_rows.select("_k", F.explode(_runs(F.col("_t"), cut, False) if cut > 0 else _grams(F.col("_t"), -cut)).alias("_h"))
+        pairs = held.join(own.select(name.alias("_h"), "_i").distinct(), "_h").select(F.col("_k").alias("_pk"), F.col("_i").alias("_pi")).distinct()
+        candidates = pairs.join(own, F.col("_pi").eqNullSafe(F.col("_i"))).join(d_rows, F.col("_pk").eqNullSafe(F.col("_k")))
+        found.append(candidates.where(F.contains("_t", F.col("_w"))))
+    if not found:
+        found = [d_rows.join(asked, F.lit(False))]
     start = (F.expr("instr(_t, _w)") - 1).cast("long")
     return reduce(DataFrame.unionByName, [f.select("_i", "_k", "_t", "_w") for f in found]).select(F.col("_i").alias(item), F.col("_k").alias(key), start.alias("start"))
