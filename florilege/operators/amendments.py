@@ -31,6 +31,11 @@ VERBS = (
     ("inserted", r"(?<![a-z])(?:ins\.?|inserted|added)\s*,?\s*(?:by|ibid)"),
     ("commenced", r"\bvide\s+notif"),
 )
+# How notes print an act, a day, a section and the words replaced.
+ACT = r"((?:[A-Z][A-Za-z.]*\s+){0,3}Act)\s+(\d{1,3})\s+of\s+(\d{4})"
+DAY = r"(?i)w\.e\.f\.\s*(\d{1,2})\s*-\s*(\d{1,2})\s*-\s*(\d{4})"
+SECTION = r"(?i:\bs)\.\s*(\d+[A-Z]*)"
+REPLACED = '\\bfor\\s+[“"]([^”"]+)[”"]'
 FIRST_YEAR, LAST_YEAR = 1830, 2100
 
 
@@ -52,7 +57,7 @@ def entries(note: str) -> list[tuple[int, str]]:
 
 
 def effective_day(entry: str) -> date | None:
-    found = re.search(r"(?i)w\.e\.f\.\s*(\d{1,2})\s*-\s*(\d{1,2})\s*-\s*(\d{4})", entry)
+    found = re.search(DAY, entry)
     if not found or not FIRST_YEAR <= int(found[3]) <= LAST_YEAR:
         return None
     try:
@@ -63,7 +68,7 @@ def effective_day(entry: str) -> date | None:
 
 def act(entry: str) -> tuple[str, int, int] | None:
     """Name as printed, number and year of the amending act."""
-    found = re.search(r"((?:[A-Z][A-Za-z.]*\s+){0,3}Act)\s+(\d{1,3})\s+of\s+(\d{4})", entry)
+    found = re.search(ACT, entry)
     return (" ".join(found[0].split()), int(found[2]), int(found[3])) if found else None
 
 
@@ -92,8 +97,8 @@ class AmendmentEvents:
             last = own or last
             named = own or (last if back else None) or (None, None, None)
             yield (
-                number, kind or "unread", *named, _first(r"(?i:\bs)\.\s*(\d+[A-Z]*)", text) if kind else None, effective_day(text) if kind else None,
-                _first('\\bfor\\s+[“"]([^”"]+)[”"]', text) if kind else None, ("resolved" if last else "open") if back else None, text,
+                number, kind or "unread", *named, _first(SECTION, text) if kind else None, effective_day(text) if kind else None,
+                _first(REPLACED, text) if kind else None, ("resolved" if last else "open") if back else None, text,
             )
 
 

@@ -23,11 +23,11 @@ SHORT = ("v", "vs", "ltd", "no", "dr", "mr", "mrs", "smt", "ors", "anr", "co", "
 NAME_CHARS = 110
 
 _SEPARATOR = re.compile(r"–\s*(" + "|".join(re.escape(d).replace(r"\ ", r"\s+") for d in sorted(DISPOSITIONS, key=len, reverse=True)) + r")(?=[\s;.]|\Z)\.?|;", re.IGNORECASE)
+# How reports print citations, parallel ones, and the header that pages put between.
 _SCR = r"\[(\d{4})\]\s*(\d+\s+)?(Suppl?\.?\s*)?(\d+\s*)?SCR\s*(\d+)"
 _SCC = r"\((\d{4})\)\s*(Suppl?\.?\s*)?(\d+)\s*SCC\s*(\d+)"
 _CITED = re.compile(rf"{_SCR}|{_SCC}|\bAIR\s+\d{{4}}\s+[A-Z]+\s+\d+")
 _PAIR = re.compile(rf"(?P<scr>{_SCR})\s*:\s*(?P<scc>{_SCC})|(?P<scc2>{_SCC})\s*:\s*(?P<scr2>{_SCR})")
-#: A running header that pages put into citations, with the page number before it.
 _HEADER = re.compile(r"\d*\s*\[\d{4}\]\s*\d+\s*S\.C\.R\.\s*(?:Digital\s+Supreme\s+Court\s+Reports)?\s*", re.IGNORECASE)
 _SENTENCE = re.compile(r"(\w+)\.\s+(?=[A-Z0-9])|\]\s+(?=[A-Z])")
 
