@@ -2,7 +2,7 @@
 
 A line is furniture if it is nothing but one of ``RULES``; if it is a case number alone and the same
 line comes ``LEAST_REPEATS`` times or more (once, it is a reference); or if it is a running header: the
-same short line at the edge of ``LEAST_PAGES`` pages or more, and nowhere else. What goes is returned as spans of the
+same short line at the same edge of ``LEAST_PAGES`` pages or more, and nowhere else. What goes is returned as spans of the
 raw text, ``start, end, rule``, so that offsets of the stripped text lead back to the raw one, and a
 reference found in the raw text can say whether it lies in furniture. Lines are never cut.
 """
@@ -49,7 +49,7 @@ def find(text: str) -> list[dict]:
     why = [next((name for name, rule in rules if rule.fullmatch(line)), None) if line and len(line) <= HEADER_CHARS else None for line in bare]
     cases = Counter(line for line in bare if len(line) <= HEADER_CHARS and case_number.fullmatch(line))
     # lines next to a page rule, over other furniture between
-    beside: dict[str, set[int]] = defaultdict(set)
+    beside: dict[tuple[str, int], set[int]] = defaultdict(set)
     edges = [-1, *(i for i, rule in enumerate(why) if rule in PAGE_RULES), len(bare)]  # of the pages, ends of the text among them
     for page, i in enumerate(edges):
         for step in (1, -1):
@@ -57,9 +57,9 @@ def find(text: str) -> list[dict]:
             while 0 <= j < len(bare) and (why[j] or not bare[j]):
                 j += step
             if 0 <= j < len(bare) and len(bare[j]) <= HEADER_CHARS:
-                beside[bare[j]].add(page)
+                beside[bare[j], step].add(page)
     often = Counter(bare)
-    headers = {line for line, pages in beside.items() if len(pages) >= LEAST_PAGES and often[line] == len(pages)}
+    headers = {line for (line, _), pages in beside.items() if len(pages) >= LEAST_PAGES and often[line] == len(pages)}
     why = [rule or ("case_number" if cases[line] >= LEAST_REPEATS else "running_header" if line in headers else None) for rule, line in zip(why, bare, strict=True)]
     last = max((i for i, rule in enumerate(why) if rule is None), default=-1)
     out, at = [], 0
