@@ -38,9 +38,8 @@ def _spots(patterns: tuple[tuple[str, str], ...]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiled = [(kind, re.compile(p)) for kind, p in patterns]
         for batch in batches:
-            for key, text in zip(batch["key"], batch["text"], strict=True):
-                rows = [(key, kind, m.group(), m.start(), m.end()) for kind, p in compiled for m in p.finditer(text or "")]
-                yield pd.DataFrame(rows, columns=["key", "kind", "found", "start", "end"])
+            rows = [(key, kind, m.group(), m.start(), m.end()) for key, text in zip(batch["key"], batch["text"], strict=True) for kind, p in compiled for m in p.finditer(text or "")]
+            yield pd.DataFrame(rows, columns=["key", "kind", "found", "start", "end"])
 
     return run
 

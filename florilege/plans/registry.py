@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from florilege.plans import documents, evidence, fields, files, fits, graph, identities, lexical, markers, operations, passages, references, relational, resolution, resolver, search, statutes, streams, tables, vectors, verification  # noqa: F401  each module registers its queries
+from florilege.plans import documents, evidence, fields, files, fits, graph, identities, issues, lexical, markers, operations, passages, references, relational, resolution, resolver, roles, search, statutes, streams, tables, vectors, verification  # noqa: F401  each module registers its queries
 from florilege.plans.catalog import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
