@@ -3,15 +3,18 @@
 Nearness is the inner product. Vectors are lengthened by one component to one common norm, which
 turns the largest inner product into the smallest angle, and dealt into lists by spherical k-means.
 A query probes the lists whose centres are nearest to it. Within a list, vectors are rotated by a
-random orthogonal matrix and read in column blocks. After each block the rest of an inner product
-is, under the rotation, about normal with deviation |q_rest| |x_rest| / sqrt(dimensions left); a
-candidate is abandoned when even ``SIGMAS`` deviations above its partial sum it would not reach the
-query's twentieth best so far. Survivors are scored exactly, on the original vectors, in double
+random orthogonal matrix and read in column blocks. Under the rotation the share that the first ``b`` of
+``d`` columns have in an inner product is about ``b / d`` of it, whatever the vectors are like, with a known
+deviation; a candidate is abandoned when its partial sum lies more than ``SIGMAS`` deviations below the share
+that the query's twentieth best so far would have, or when the norms of what is left cannot lift it there.
+(That the rest is about normal around nothing holds for unrelated vectors only: near ones agree in the rest too.)
+Survivors are scored exactly, on the original vectors, in double
 precision, summed in the order of the components, so that equal vectors tie exactly.
 
 The nearest list of each query is scanned first; its twentieth score is the bound for the others.
 Centres, rotation and the number of probes are fitted on a hash sample of about ``SAMPLE`` rows
-(probes: the fewest at which sample queries find ``TARGET`` of their sample neighbours); every row
+(probes: the fewest at which a sample of the rows that ask finds ``TARGET`` of its neighbours in the sample; if
+that is not the whole table, in the half of it that the centres were not fitted on); every row
 is indexed. A list is cut into pieces of about ``PIECE_ROWS`` rows by a hash, and queries of a
 piece into blocks, so that a list that holds a third of all rows is no hot group.
 
@@ -41,6 +44,10 @@ SIGMAS = 3.0
 COLUMN_BLOCK = 16
 PIECE_ROWS = 4096
 PIECE_QUERIES = 1024
+#: Queries that a task scans at a time, and the share of pairs alive below which columns are read pair by pair.
+QUERY_ROWS, SPARSE = 256, 0.05
+#: Rows that ask, of which the number of probes is fitted.
+ASKED = 200
 
 
 def usable(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
@@ -68,35 +75,38 @@ def _long(x: np.ndarray, norm: float) -> np.ndarray:
 
 
 class Index:
-    """What the sample fits: list centres, rotation and the number of probes."""
+    """What the sample fits: list centres, rotation and the number of probes. ``ids`` are those of the sample,
+    ``asked`` and ``asked_ids`` rows that ask."""
 
-    def __init__(self, sample: np.ndarray, norm: float, rows: int, d: int, seed: int = 17):
+    def __init__(self, ids: np.ndarray, sample: np.ndarray, asked_ids: np.ndarray, asked: np.ndarray, norm: float, rows: int, d: int, seed: int = 17):
         rng = np.random.default_rng(seed)
         self.norm, self.d = norm, d
         self.rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
+        order = rng.permutation(len(sample))
+        half = len(sample) // 2 if len(sample) < rows and len(sample) > 4 * NEAREST else 0  # rows that centres do not know are further from them
         lists = int(np.clip(np.sqrt(rows) / 2, 1, 4096))
-        self.lists = min(lists, len(sample))
         long = _long(sample, norm)
-        centres = long[rng.permutation(len(long))[: self.lists]]
+        known = long[order[half:]]
+        self.lists = min(lists, len(known))
+        centres = known[: self.lists]
         for _ in range(10):
-            near = (long @ centres.T).argmax(axis=1)
+            near = (known @ centres.T).argmax(axis=1)
             sums = np.zeros_like(centres)
-            np.add.at(sums, near, long)
+            np.add.at(sums, near, known)
             length = np.linalg.norm(sums, axis=1, keepdims=True)
             centres = np.where(length > 0, sums / np.maximum(length, 1e-300) * norm, centres)
         self.centres = centres
-        self.probes = self._fit(sample, long, rng)
-
-    def _fit(self, sample: np.ndarray, long: np.ndarray, rng: np.random.Generator) -> int:
-        asked = rng.permutation(len(sample))[:200]
-        scores = sample[asked] @ sample.T
-        scores[np.arange(len(asked)), asked] = -np.inf
-        k = min(NEAREST, len(sample) - 1)
-        if k < NEAREST:
+        held = order[:half] if half else order
+        self.probes = self._fit(ids[held], sample[held], long[held], asked_ids, asked)
+
+    def _fit(self, ids: np.ndarray, sample: np.ndarray, long: np.ndarray, asked_ids: np.ndarray, asked: np.ndarray) -> int:
+        if len(sample) <= NEAREST or not len(asked):
             return self.lists
-        best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+        scores = asked @ sample.T
+        scores[asked_ids[:, None] == ids[None, :]] = -np.inf
+        best = np.argpartition(-scores, NEAREST - 1, axis=1)[:, :NEAREST]
         place = np.empty((len(asked), self.lists), np.int64)
-        order = self.order(sample[asked], self.lists)
+        order = self.order(asked, self.lists)
         np.put_along_axis(place, order, np.arange(self.lists)[None, :], axis=1)
         at = np.take_along_axis(place, (long @ self.centres.T).argmax(axis=1)[best], axis=1)
         return int(np.quantile(at, TARGET, method="higher")) + 1
@@ -134,6 +144,47 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return total
 
 
+def _alive(q: np.ndarray, x: np.ndarray, queries: np.ndarray, ids: np.ndarray, bound: np.ndarray, some: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of rotated vectors that are not abandoned on the way through the columns."""
+    d = x.shape[1]
+    # norms of what is left of each vector from a column on
+    x_left, q_left = (np.sqrt(np.maximum(np.cumsum((v * v)[:, ::-1], axis=1)[:, ::-1], 0)) for v in (x, q))
+    sure = np.zeros((len(q), len(x)), bool)  # the candidates that make a first bound are not abandoned, so that twenty are found
+    if some > NEAREST and np.isneginf(bound).any():  # a first bound: of some candidates the twentieth, its own row aside
+        scores = q @ x[:some].T
+        scores[queries[:, None] == ids[None, :some]] = -np.inf
+        twentieth = np.partition(scores, some - NEAREST, axis=1)[:, some - NEAREST]
+        sure[:, :some] = (scores >= twentieth[:, None]) & np.isneginf(bound)[:, None]
+        bound = np.maximum(bound, twentieth)
+    slip = 1e-9 * q_left[:, 0] * x_left[:, 0].max()  # of rounding
+    part, qi, xi = np.zeros((len(q), len(x))), None, None
+    for a in range(0, d, COLUMN_BLOCK):
+        b = min(a + COLUMN_BLOCK, d)
+        if qi is None:
+            part += q[:, a:b] @ x[:, a:b].T
+            i, j = np.arange(len(q))[:, None], np.arange(len(x))[None, :]
+        else:
+            i, j = qi, xi
+            part = part + np.einsum("ij,ij->i", q[i, a:b], x[j, a:b])
+        least = bound - slip
+        if b < d:
+            alive = part + q_left[i, b] * x_left[j, b] >= least[i]
+            deviation = SIGMAS * np.sqrt(b * (d - b) / (d * d * (d + 2.0)))  # of the share, times sqrt(1 + cos^2), which a chord bounds
+            share = np.where(np.isneginf(bound), -np.inf, b / d * least - deviation * 0.4143 * np.abs(np.where(np.isneginf(bound), 0, bound)))
+            alive &= part + deviation * q_left[i, 0] * x_left[j, 0] >= share[i]
+        else:
+            alive = part >= least[i]
+        if qi is None:
+            alive |= sure
+            if b == d or alive.mean() < SPARSE:
+                qi, xi = np.nonzero(alive)
+                part = part[qi, xi]
+        else:
+            alive |= sure[qi, xi]
+            qi, xi, part = qi[alive], xi[alive], part[alive]
+    return qi, xi
+
+
 def _scanner(index: Index):
     d = index.d
 
@@ -145,30 +196,13 @@ def _scanner(index: Index):
         x0, q0 = _matrix(left.column("x"), d), _matrix(right.column("q"), d)
         bound = right.column("bound").to_numpy().copy()
         x, q = x0 @ index.rotation, q0 @ index.rotation
-        # squares of what is left of each vector from a column on
-        x_left, q_left = (np.sqrt(np.maximum(np.cumsum((v * v)[:, ::-1], axis=1)[:, ::-1], 0)) for v in (x, q))
         some = min(len(ids), 4 * NEAREST)
-        sure = np.zeros((len(q), len(x)), bool)  # the candidates that make a first bound are not abandoned, so that twenty are found
-        if some > NEAREST and np.isneginf(bound).any():  # a first bound: of some candidates the twentieth, its own row aside
-            scores = q @ x[:some].T
-            scores[queries[:, None] == ids[None, :some]] = -np.inf
-            twentieth = np.partition(scores, some - NEAREST, axis=1)[:, some - NEAREST]
-            sure[:, :some] = (scores >= twentieth[:, None]) & np.isneginf(bound)[:, None]
-            bound = np.maximum(bound, twentieth)
-        first = min(COLUMN_BLOCK, d)
-        part = q[:, :first] @ x[:, :first].T
-        if first < d:
-            alive = part + SIGMAS / np.sqrt(d - first) * q_left[:, first, None] * x_left[None, :, first] >= bound[:, None] - 1e-9
-            qi, xi = np.nonzero(alive | sure)
-        else:
-            qi, xi = np.nonzero((part >= bound[:, None] - 1e-9) | sure)
-        part = part[qi, xi]
-        for a in range(first, d, COLUMN_BLOCK):
-            b = min(a + COLUMN_BLOCK, d)
-            part = part + np.einsum("ij,ij->i", q[qi, a:b], x[xi, a:b])
-            slack = SIGMAS / np.sqrt(d - b) * q_left[qi, b] * x_left[xi, b] if b < d else 0.0
-            alive = (part + slack >= bound[qi] - 1e-9) | sure[qi, xi]
-            qi, xi, part = qi[alive], xi[alive], part[alive]
+        out = []
+        for at in range(0, len(queries), QUERY_ROWS):
+            rows = slice(at, at + QUERY_ROWS)
+            qi, xi = _alive(q[rows], x, queries[rows], ids, bound[rows], some)
+            out.append((qi + at, xi))
+        qi, xi = (np.concatenate(parts) for parts in zip(*out, strict=True))
         other = queries[qi] != ids[xi]
         qi, xi = qi[other], xi[other]
         score = _exact(q0[qi], x0[xi])
@@ -197,12 +231,20 @@ def search(rows: DataFrame, every: int = EVERY) -> DataFrame:
     if not d:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     square = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
-    n, norm2 = vectors.agg(F.count(F.lit(1)), F.max(square)).collect()[0]
-    drawn = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) < SAMPLE).select("x")  # about SAMPLE rows of a hash sample
-    sample = np.array([r[0] for r in drawn.collect()], np.float64).reshape(-1, d)
+    asks = F.pmod("vec_id", F.lit(every)) == 0
+    n, n_asked, norm2 = vectors.agg(F.count(F.lit(1)), F.count_if(asks), F.max(square)).collect()[0]
+
+    def drawn(part: DataFrame, total: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """About ``size`` rows of a hash sample."""
+        rows = part.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(total, 1))) < size).select("vec_id", "x").collect()
+        return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64).reshape(-1, d)
+
+    ids, sample = drawn(vectors, n, SAMPLE)
     if len(sample) == 0:
-        sample = np.array([vectors.first()["x"]], np.float64)
-    index = Index(sample, float(np.sqrt(norm2)), n, d)
+        one = vectors.first()
+        ids, sample = np.array([one["vec_id"]], np.int64), np.array([one["x"]], np.float64)
+    asked_ids, asked_rows = drawn(vectors.where(asks), n_asked, ASKED)
+    index = Index(ids, sample, asked_ids, asked_rows, float(np.sqrt(norm2)), n, d)
 
     listed = scratch.write(vectors.mapInArrow(_assign(index), "vec_id long, x array<double>, list int"), "lists")
     held = {r[0]: r[1] for r in listed.groupBy("list").agg(F.count(F.lit(1))).collect()}  # a row for each list
@@ -210,7 +252,7 @@ def search(rows: DataFrame, every: int = EVERY) -> DataFrame:
     cut = listed.withColumn("piece", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.element_at(pieces, F.col("list") + 1)).cast("int"))
     n_queries = -(-n // every)
     blocks = max(1, n_queries // PIECE_QUERIES)
-    asked = listed.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("x"))
+    asked = listed.where(asks).select(F.col("vec_id").alias("query_id"), F.col("x"))
 
     def scanned(queries: DataFrame, first: int, last: int, name: str) -> DataFrame:
         probing = queries.mapInArrow(_probe(index, first, last), "query_id long, x array<double>, bound double, lists array<int>")
