@@ -15,10 +15,13 @@ else.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from florilege.functions.text import lookup_key, tokens
+from florilege.session import shared_folder
 
 FIELDS = ("party", "judge", "cite", "caseno", "cnr", "court", "date", "act", "section", "type", "text")
 #: Fields that are searched by word; the others by their whole value.
@@ -75,22 +78,65 @@ def _keys(conditions: DataFrame) -> DataFrame:
     return conditions.withColumns({"_first": first, "_last": last}).select("*", F.explode(key).alias("_key")).where("_key is not null")
 
 
+#: Conditions are broadcast to the index up to so many keys, sets of them and queries up to so many rows.
+BROADCAST_KEYS = 200_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
+def _matched(entries: DataFrame, row_id: str, conditions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``_set, row_id`` of the rows that meet a set of conditions, and ``query_id, _set``.
+
+    Queries that ask for the same are one set, and conditions that many queries share are met once. A row
+    knows the conditions that it meets; it is a candidate of the sets whose rarest condition it meets, and no others.
+    """
+    shared = ["field", "op", "value", "upto"]
+    named = conditions.withColumn("_cond", F.xxhash64(F.to_json(F.struct(*shared))))  # names keep nulls apart
+    asked = _keys(named.select(*shared, "_cond").distinct())
+    # one pass over the index: an entry is asked for by its key, and by its head
+    ways = F.array(F.struct(F.lit(False).alias("by_head"), F.col("key").alias("_key")), F.struct(F.lit(True).alias("by_head"), F.col("head").alias("_key")))
+    each = entries.select(row_id, "field", F.col("key").alias("_word"), "day", F.explode(ways).alias("w")).select("*", "w.*").drop("w").where("_key is not null")
+    pairs = each.join(_small(asked.withColumn("by_head", F.col("op") == "prefix")), ["field", "by_head", "_key"])
+    begun = F.startswith(F.col("_word"), F.lower(F.col("value"))) & (F.length("value") >= HEAD)
+    held = F.when(F.col("op") == "prefix", begun).when(F.col("op") == "between", F.col("day").between(F.col("_first"), F.col("_last"))).otherwise(True)
+    met = pairs.where(held).select("_cond", row_id)
+    rows = met.groupBy(row_id).agg(F.collect_set("_cond").alias("_met"))
+    path = f"{shared_folder(entries.sparkSession)}/fielded-{uuid.uuid4().hex}"
+    rows.write.parquet(path)  # read twice: for the rarest conditions, and for candidates
+    rows = entries.sparkSession.read.schema(rows.schema).parquet(path)
+
+    several = lambda negated: F.sort_array(F.collect_set(F.when(F.col("negated") == F.lit(negated), F.col("_cond"))))
+    queries = named.groupBy("query_id").agg(several(False).alias("_all"), several(True).alias("_none")).where(F.size("_all") > 0).withColumn("_set", F.xxhash64(F.size("_all"), "_all", "_none"))
+    sets = queries.groupBy("_set").agg(F.first("_all").alias("_all"), F.first("_none").alias("_none"))
+    often = _small(rows.select(F.explode("_met").alias("_c")).groupBy("_c").agg(F.count(F.lit(1)).alias("_n")))
+    each = sets.select("_set", F.explode("_all").alias("_c")).join(often, "_c", "left")
+    rarest = each.groupBy("_set").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_c").alias("c")))["c"].alias("_rarest"))
+    held = rows.select(row_id, "_met", F.explode("_met").alias("_rarest")).join(_small(sets.join(rarest, "_set")), "_rarest")
+    found = held.where((F.size(F.array_except("_all", "_met")) == 0) & ~F.arrays_overlap("_none", "_met"))
+    return found.select("_set", row_id), queries.select("query_id", "_set")
+
+
 def search(entries: DataFrame, row_id: str, conditions: DataFrame) -> DataFrame:
     """``query_id, row_id`` of each row that meets all conditions of a query."""
-    asked = _keys(conditions)
-    heads = asked.where("op = 'prefix'").join(entries.where("head is not null").select(row_id, "field", F.col("head").alias("_key"), F.col("key").alias("_word")), ["field", "_key"])
-    heads = heads.where(F.startswith(F.col("_word"), F.lower(F.col("value"))) & (F.length("value") >= HEAD))
-    whole = asked.where("op <> 'prefix'").join(entries.select(row_id, "field", F.col("key").alias("_key"), "day"), ["field", "_key"])
-    whole = whole.where((F.col("op") != "between") | F.col("day").between(F.col("_first"), F.col("_last")))
-    met = heads.select("query_id", "cond_no", "negated", row_id).unionByName(whole.select("query_id", "cond_no", "negated", row_id)).distinct()
-    counted = met.groupBy("query_id", row_id).agg(F.count_if(~F.col("negated")).alias("_met"), F.max("negated").alias("_bad"))
-    needed = conditions.groupBy("query_id").agg(F.count_if(~F.col("negated")).alias("_needed")).where("_needed > 0")
-    return counted.where("not _bad").join(needed, "query_id").where("_met = _needed").select("query_id", row_id)
+    found, queries = _matched(entries, row_id, conditions)
+    return found.join(_small(queries), "_set").select("query_id", row_id)
+
+
+def counts(entries: DataFrame, row_id: str, conditions: DataFrame) -> DataFrame:
+    """``query_id, n``: how many rows :func:`search` finds, where it finds any. Rows are counted by set."""
+    found, queries = _matched(entries, row_id, conditions)
+    return queries.join(found.groupBy("_set").agg(F.count(F.lit(1)).alias("n")), "_set").select("query_id", "n")
 
 
 def outcomes(conditions: DataFrame, found: DataFrame) -> DataFrame:
     """``query_id, outcome, n``: ``refused`` (negations only), ``no_match`` or ``matched``."""
+    return named(conditions, found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")))
+
+
+def named(conditions: DataFrame, counted: DataFrame) -> DataFrame:
+    """:func:`outcomes` from :func:`counts`."""
     asked = conditions.groupBy("query_id").agg(F.bool_and("negated").alias("_none"))
-    counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     n = F.coalesce("n", F.lit(0))
-    return asked.join(counts, "query_id", "left").select("query_id", F.when(F.col("_none"), "refused").when(n == 0, "no_match").otherwise("matched").alias("outcome"), n.alias("n"))
+    return asked.join(counted, "query_id", "left").select("query_id", F.when(F.col("_none"), "refused").when(n == 0, "no_match").otherwise("matched").alias("outcome"), n.alias("n"))

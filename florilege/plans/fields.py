@@ -62,4 +62,4 @@ WITH {DECISIONS} SELECT s_suppkey AS query_id, CASE WHEN s_suppkey % 6 = 5 THEN
 def fielded_outcomes(t: Tables) -> DataFrame:
     """What each query comes to; one that only negates is refused."""
     conditions = asked(t)
-    return fields.outcomes(conditions, fields.search(fields.index(decisions(t), "o_orderkey"), "o_orderkey", conditions))
+    return fields.named(conditions, fields.counts(fields.index(decisions(t), "o_orderkey"), "o_orderkey", conditions))
