@@ -25,11 +25,16 @@ def refusal(raw: Column) -> Column:
     )
 
 
+def _apart(key: Column, columns: list[str]) -> Column:
+    """``key``, and for rows without one a value of their own that no key is, so that they are no hot group of the join."""
+    return F.coalesce(key, F.concat(F.lit("?"), F.xxhash64(*columns).cast("string")))
+
+
 def resolve(references: DataFrame, raw: str, own: str, index: DataFrame, cohorts: DataFrame) -> DataFrame:
     """``references`` with ``state`` and ``target``. ``index``: ``key, target, cohort``; ``cohorts``: ``cohort,
     declared, held, unread``; ``own``: the column of the row that refers."""
     keys = index.groupBy("key").agg(F.count_distinct("target").alias("_n"), F.min("target").alias("_target"), F.min("cohort").alias("_cohort"))
-    asked = references.withColumns({"_why": refusal(F.col(raw)), "_key": lookup_key(F.col(raw))})
+    asked = references.withColumns({"_why": refusal(F.col(raw)), "_key": _apart(F.when(refusal(F.col(raw)).isNull(), lookup_key(F.col(raw))), references.columns)})
     found = asked.join(keys, F.col("_key") == F.col("key"), "left").join(cohorts.select(F.col("cohort").alias("_c"), "declared", "held", "unread"), F.col("_cohort") == F.col("_c"), "left")
     state = (
         F.when(F.col("_why").isNotNull(), "REFUSED").when(F.col("_n").isNull(), "TARGET_NOT_HELD").when(F.col("_n") > 1, "AMBIGUOUS").when(F.col("_target") == F.col(own), "SELF_REFERENCE")
@@ -43,9 +48,13 @@ def reresolve(edges: DataFrame, index: DataFrame) -> DataFrame:
     """``edges`` (``source, cited, target``) with ``verdict`` and the ``target`` they now have. A target that
     is there stays, whatever the index says. Others get the one target of their key if the year printed in
     the citation is among the target's ``years`` and the target is not the source. ``index``: ``key, target, years``."""
-    keys = index.groupBy("key").agg(F.count_distinct("target").alias("_n"), F.min("target").alias("_found"), F.array_distinct(F.flatten(F.collect_list("years"))).alias("_years"))
+    # nothing grows with the targets of a key: years count only where there is one target, and its years are a set
+    one = index.groupBy("key", "target").agg(F.array_distinct(F.flatten(F.collect_set("years"))).alias("_y"))
+    single = F.min("target") == F.max("target")
+    keys = one.groupBy("key").agg(F.when(single | F.max("target").isNull(), F.count("target")).otherwise(2).cast("long").alias("_n"), F.min("target").alias("_found"), F.when(single, F.min("_y")).alias("_years"))
     year = F.regexp_extract("cited", r"(1[89][0-9]{2}|20[0-9]{2})", 1)
-    asked = edges.withColumn("_key", F.when(F.col("target").isNull() & (F.col("cited") != ""), lookup_key(F.col("cited")))).withColumn("_year", F.when(year != "", year.cast("int")))
+    own = F.when(F.col("target").isNull() & (F.col("cited") != ""), lookup_key(F.col("cited")))
+    asked = edges.withColumn("_key", _apart(own, edges.columns)).withColumn("_year", F.when(year != "", year.cast("int")))
     found = asked.join(keys, F.col("_key") == F.col("key"), "left")
     verdict = (
         F.when(F.col("target").isNotNull(), "kept").when(F.coalesce(F.col("cited"), F.lit("")) == "", "cites_nothing").when(F.col("_n").isNull(), "not_held").when(F.col("_n") > 1, "several_targets")

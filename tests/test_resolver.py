@@ -53,3 +53,17 @@ def test_days_before_years(spark):
     rows = [(d(2000, 6, 1), None, d(2000, 7, 1), 2000), (d(2000, 8, 1), None, d(2000, 7, 1), 2000), (None, 2000, d(2000, 7, 1), None), (d(2000, 6, 1), None, None, 2000), (d(1999, 6, 1), None, None, 2000)]
     df = spark.createDataFrame(rows, "day date, year int, enacted date, act int")
     assert [r[0] for r in df.select(rs.in_time(F.col("day"), F.col("year"), F.col("enacted"), F.col("act"))).collect()] == [False, True, True, True, False]
+
+
+def test_rows_without_a_key_are_no_hot_group(spark):
+    edges = spark.range(20_000).select(F.col("id").alias("source"), F.when(F.col("id") % 2 == 0, "").otherwise("2001 SCC 1").alias("cited"), F.when(F.col("id") % 4 < 3, F.lit(7)).cast("long").alias("target"))
+    assert edges.select(rs._apart(F.when(F.col("cited") != "", F.lit(None).cast("string")), edges.columns).alias("k")).groupBy("k").count().agg(F.max("count")).first()[0] == 1
+    index = spark.createDataFrame([("2001SCC1", 10, [2001])], "key string, target long, years array<int>")
+    got = {r["verdict"]: r["count"] for r in rs.reresolve(edges, index).groupBy("verdict").count().collect()}
+    assert got == {"kept": 15_000, "resolved": 5_000}
+
+
+def test_years_of_many_targets_are_not_gathered(spark):
+    index = spark.range(1000).select(F.lit("2001SCC1").alias("key"), F.col("id").alias("target"), F.array((F.lit(1900) + F.col("id").cast("int"))).alias("years"))
+    edges = spark.createDataFrame([(1, "2001 SCC 1", None)], "source long, cited string, target long")
+    assert rs.reresolve(edges, index).first()["verdict"] == "several_targets"
