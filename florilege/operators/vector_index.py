@@ -134,6 +134,7 @@ def _scored(centres: np.ndarray, depth: int):
                 codes = np.stack([np.frombuffer(h["code"], np.int8) for h in held]).astype(np.float64) * np.array([h["scale"] for h in held])[:, None]
                 q = np.stack([a["q"] for a in asked]).astype(np.float64)
                 score = (q @ centres[number])[:, None] + q @ codes.T
+                found = []
                 for a, row in zip(asked, score, strict=True):
                     may = keys != a["query_id"]
                     if a["wanted"] is not None:
@@ -141,8 +142,11 @@ def _scored(centres: np.ndarray, depth: int):
                     at = np.flatnonzero(may)
                     if len(at) > depth:
                         at = at[np.argpartition(-row[at], depth)[:depth]]
-                    if len(at):
-                        yield pd.DataFrame({"query_id": a["query_id"], "key": keys[at], "about": row[at]})
+                    found.append((np.full(len(at), a["query_id"], np.int64), keys[at], row[at]))
+                # one frame for a block and its queries, not one for each query
+                ids, near, about = (np.concatenate(parts) for parts in zip(*found, strict=True))
+                if len(ids):
+                    yield pd.DataFrame({"query_id": ids, "key": near, "about": about})
 
     return run
 
