@@ -35,9 +35,8 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {query_id} ORDER BY ran
 def cover_rank(t: Tables) -> DataFrame:
     """Every benchmark item as a query: its three rarest stems, the ten documents that hold all of them most
     densely."""
-    index = lexical.positions(t.documents, ["doc_id"], "text")
     asked = lexical.positions(t.benchmark, ["item_id"], "text").select("item_id", "term")
-    return lexical.cover_search(index, ["doc_id"], lexical.rarest(asked, "item_id", index, ["doc_id"], 3), "item_id", 10)
+    return lexical.cover_rarest(t.documents, ["doc_id"], "text", asked, "item_id", 3, 10)
 
 
 TITLE = "regexp_extract(html, '<title>([^<]*)', 1)"
@@ -56,9 +55,8 @@ SECTIONS = "(SELECT page_id, generate_subscripts(a, 1) AS ordinal, unnest(a) AS
 def section_rank(t: Tables) -> DataFrame:
     """Every title as a query: the three sections of any page that hold its three rarest stems most densely."""
     sections = t.pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<p>([^<]*)"), F.lit(1))).alias("i", "s")).select("page_id", (F.col("i") + 1).cast("long").alias("ordinal"), "s")
-    index = lexical.positions(sections, ["page_id", "ordinal"], "s")
     asked = lexical.positions(titles(t), ["title_id"], "title").select("title_id", "term")
-    return lexical.cover_search(index, ["page_id", "ordinal"], lexical.rarest(asked, "title_id", index, ["page_id", "ordinal"], 3), "title_id", 3)
+    return lexical.cover_rarest(sections, ["page_id", "ordinal"], "s", asked, "title_id", 3, 3)
 
 
 GRAMS = "list_distinct(flatten(list_transform({}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
