@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,12 +50,30 @@ LONGEST_RANGE = 30
 OPENER = re.compile(r"[ \t]*(?:\( *([0-9]{1,4}) *\)|([0-9]{1,4}) *[.)])\s+")
 
 
-def treatment(words: Column) -> Column:
-    """What ``words`` do to a case: the first entry of TREATMENTS that fits, else ``cites``."""
-    first, *rest = TREATMENTS
-    chosen = F.when(words.rlike(first[0]), first[1])
-    for pattern, name in rest:
-        chosen = chosen.when(words.rlike(pattern), name)
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` worked out once: a plan writes a column out wherever it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def literals(pattern: str) -> list[str]:
+    """All that a pattern of TREATMENTS matches, in lower case: alternatives, optional letters and groups, no more."""
+    out = []
+    for whole in re.split(r"\|(?![^()]*\))", pattern.removeprefix("(?i)")):
+        if group := re.search(r"\(\?:([^()]*)\)(\??)", whole):
+            for part in group[1].split("|") + [""] * bool(group[2]):
+                out += literals(whole[: group.start()] + part.replace("?", "\0") + whole[group.end() :])
+        elif letter := re.search(r"(.)[?\0]", whole):
+            out += literals(whole[: letter.start()] + letter[1] + whole[letter.end() :]) + literals(whole[: letter.start()] + whole[letter.end() :])
+        else:
+            out.append(whole)
+    return out
+
+
+def treatment(low: Column) -> Column:
+    """What words do to a case: the first entry of TREATMENTS that fits, else ``cites``. ``low``: the words in lower case."""
+    chosen = F.when(F.lit(False), "")
+    for pattern, name in TREATMENTS:
+        chosen = chosen.when(reduce(Column.__or__, [F.contains(low, F.lit(phrase)) for phrase in literals(pattern)]), name)
     return chosen.otherwise("cites")
 
 
@@ -65,11 +84,13 @@ def treatments(docs: DataFrame, key: str, text: str, window: int = 220, near: in
     repeated text repeats its rows. The text behind a citation comes with a lookahead, so no offsets
     are added up and the work is linear in the text."""
     shape = F.lit(f"({CITATION})(?=([\\s\\S]{{0,{window}}}))")
-    both = F.arrays_zip(F.regexp_extract_all(text, shape, F.lit(1)).alias("c"), F.regexp_extract_all(text, shape, F.lit(2)).alias("a"))
-    each = docs.select(key, F.posexplode(both).alias("at", "m")).select(key, (F.col("at") + 1).alias("ordinal"), F.col("m.c").alias("citation"), F.col("m.a").alias("ahead"))
-    reach = lambda c: F.get(F.split(c, NEXT_CASE, 2), 0)
-    marker = F.lower(F.regexp_extract(reach(F.col("ahead")), ANNOTATION, 1))
-    return each.select(key, "ordinal", "citation", marker.alias("annotation"), treatment(reach(F.substring("ahead", 1, near))).alias("treatment"))
+    both = lambda t: F.arrays_zip(F.regexp_extract_all(t, shape, F.lit(1)).alias("c"), F.regexp_extract_all(t, shape, F.lit(2)).alias("a"))
+    reach = lambda c: F.lower(F.get(F.split(c, NEXT_CASE, 2), F.lit(0)))
+    # read before the rows are made, so that each is read once
+    told = once(F.col(text), lambda t: F.transform(both(t), lambda m: F.struct(m["c"].alias("citation"), reach(m["a"]).alias("far"), reach(F.substring(m["a"], 1, near)).alias("near"))))
+    each = docs.select(key, F.posexplode(told).alias("at", "m"))
+    marker = F.regexp_extract("m.far", ANNOTATION.removeprefix("(?i)"), 1)
+    return each.select(key, (F.col("at") + 1).alias("ordinal"), F.col("m.citation").alias("citation"), marker.alias("annotation"), treatment(F.col("m.near")).alias("treatment"))
 
 
 def canonical_act(act: Column) -> Column:
@@ -94,18 +115,17 @@ def paragraph_numbers(words: Column) -> Column:
     """Paragraphs that a passage names, ascending, from the most exact form it holds: ranges, else lists,
     else single numbers. Null where the passage is not prose, a range is reversed or longer than
     LONGEST_RANGE, or nothing is named; numbers outside 1 to 999 are years and go."""
-    numbers = lambda pattern, group: F.regexp_extract_all(words, F.lit(pattern), F.lit(group))
-    low, high = numbers(RANGE, 1).cast("array<int>"), numbers(RANGE, 2).cast("array<int>")
-    wrong = F.exists(F.zip_with(low, high, lambda a, b: (b <= a) | (b - a > LONGEST_RANGE)), lambda x: x)
-    listed = F.regexp_extract_all(F.array_join(numbers(LIST, 1), " "), F.lit("[0-9]+"), F.lit(0)).cast("array<int>")
-    named = (
-        F.when(words.rlike(NOT_PROSE) | wrong, None)
-        .when(F.size(low) > 0, F.flatten(F.zip_with(low, high, lambda a, b: F.sequence(a, F.greatest(a, b)))))
-        .when(F.size(listed) > 0, listed)
-        .otherwise(numbers(SINGLE, 1).cast("array<int>"))
-    )
+    numbers = lambda w, pattern, group: F.regexp_extract_all(w, F.lit(pattern), F.lit(group))
+    ends = lambda r: F.struct(F.regexp_extract(r, RANGE, 1).cast("int").alias("low"), F.regexp_extract(r, RANGE, 2).cast("int").alias("high"))
+    wrong = lambda x: (x["high"] <= x["low"]) | (x["high"] - x["low"] > LONGEST_RANGE)
+    ranged = lambda r: F.when(F.exists(r, wrong), None).otherwise(F.flatten(F.transform(r, lambda x: F.sequence(x["low"], F.greatest(x["low"], x["high"])))))
+    listed = lambda w: numbers(F.array_join(numbers(w, LIST, 1), " "), "[0-9]+", 0).cast("array<int>")
+    plain = lambda w: once(listed(w), lambda n: F.when(F.size(n) > 0, n).otherwise(numbers(w, SINGLE, 1).cast("array<int>")))
+    prose = lambda w: once(numbers(w, RANGE, 0), lambda r: F.when(F.size(r) > 0, once(F.transform(r, ends), ranged)).otherwise(plain(w)))
+    # nothing is named, and no other pattern can match, without these four letters
+    named = once(words, lambda w: F.when(~F.contains(F.lower(w), F.lit("para")), None).when(w.rlike(NOT_PROSE), None).otherwise(prose(w)))
     kept = F.array_sort(F.array_distinct(F.filter(named, lambda n: (n > 0) & (n < 1000))))
-    return F.when(F.size(kept) > 0, kept)
+    return once(kept, lambda k: F.when(F.size(k) > 0, k))
 
 
 def _split(text: str | None, first: int, gap: int, least: int) -> list[tuple[int | None, int, int]]:
