@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 
+#: Rows that a task gets of tables of small rows, of which it keeps most in memory.
+TASK_ROWS = 1_000_000
+
+
+def dealt(df: DataFrame, keys: list[str], count: int) -> DataFrame:
+    """``df`` dealt by ``keys`` into so many parts that one of ``count`` rows in all has at most some ``TASK_ROWS``. Partitions of
+    a fixed number, or coalesced by their bytes, would let what a task holds grow with the table."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-count // TASK_ROWS)), *keys)
+
+
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group in a total ``order``. An aggregate of structs when the order is
     ascending plain columns would shuffle less; this form takes any order."""

@@ -65,7 +65,9 @@ SELECT l_partkey, tier, count(*) FILTER (WHERE ok) AS shown, count(*) FILTER (WH
 def linked_documents(t: Tables) -> DataFrame:
     quantity = F.col("l_quantity")
     tier = F.when(quantity >= 40, 0).when(quantity >= 20, 1).otherwise(2)
-    links = t.lineitem.select("l_orderkey", "l_partkey", tier.alias("strength")).join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey")
+    # join and links of a document stay in one task, which holds all of its links
+    cited = rows.dealt(t.lineitem.select("l_orderkey", "l_partkey", tier.alias("strength")), ["l_orderkey"], t.lineitem.count())
+    links = cited.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey")
     return resolution.linked(links, "l_partkey", "l_orderkey", "strength", F.col("o_orderstatus") != "P")
 
 
