@@ -164,6 +164,8 @@ def cohort_check(t: Tables) -> DataFrame:
 SELECT a.l_partkey AS a, b.l_partkey AS b, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2 HAVING count(*) >= 2""")
 def co_citation(t: Tables) -> DataFrame:
     """An order has few lines, so the pairs within one stay few."""
-    e = t.lineitem.select("l_orderkey", "l_partkey").distinct()
+    n = t.lineitem.count()
+    e = rows.dealt(t.lineitem.select("l_orderkey", "l_partkey"), ["l_orderkey"], n).distinct()
     pairs = e.toDF("o", "a").join(e.toDF("o", "b"), "o").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    # an order of seven lines has three pairs for each line
+    return rows.dealt(pairs, ["a", "b"], 3 * n).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
