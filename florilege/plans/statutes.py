@@ -19,7 +19,7 @@ events AS (SELECT r.l_orderkey, r.n AS ordinal, r.event, e.no AS act_number, e.y
   FROM read r JOIN entries e ON e.l_orderkey = r.l_orderkey AND e.n = r.src)"""
 
 
-def events(t: Tables) -> DataFrame:
+def events(t: Tables, fields: tuple[str, ...] = tuple(amendments.FIELDS)) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     line = t.lineitem.withColumn("n", F.row_number().over(order))
     verb = F.when(F.col("l_returnflag") == "A", "Ins.").when(F.col("l_returnflag") == "R", 'The words "or any other" omitted').otherwise("Subs.")
@@ -30,12 +30,12 @@ def events(t: Tables) -> DataFrame:
     entry = F.concat(F.col("n").cast("string"), F.lit(". "), verb, F.lit(" by "), by, day, F.lit("."))
     # an order has a few lines
     notes = line.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", entry.alias("e")))), lambda s: s["e"]), " ").alias("note"))
-    return amendments.events(notes, "note")
+    return amendments.events(notes, "note", fields)
 
 
 @query("ref_amendment_events", f"WITH {ENTRIES} SELECT l_orderkey, ordinal, event, act_number, act_year, section, effective, ibid FROM events")
 def amendment_events(t: Tables) -> DataFrame:
-    """Notes composed of order lines, read by the table function; the SQL has the events from the columns."""
+    """Notes composed of order lines, read entry by entry; the SQL has the events from the columns."""
     return events(t).select("l_orderkey", F.col("ordinal").cast("long").alias("ordinal"), "event", F.col("act_number").cast("long").alias("act_number"), F.col("act_year").cast("long").alias("act_year"), "section", "effective", "ibid")
 
 
@@ -47,13 +47,13 @@ versions AS (SELECT l_orderkey, row_number() OVER w AS version, valid_from, lead
 
 @query("ref_amendment_intervals", f"WITH {VERSIONS} SELECT * FROM versions")
 def amendment_intervals(t: Tables) -> DataFrame:
-    return amendments.intervals(events(t), ["l_orderkey"]).withColumn("version", F.col("version").cast("long"))
+    return amendments.intervals(events(t, amendments.DATED), ["l_orderkey"]).withColumn("version", F.col("version").cast("long"))
 
 
 @query("ref_provision_in_force", f"""
 WITH {VERSIONS} SELECT o_orderkey, coalesce(version, 0) AS version, coalesce(standing, 'in') AS standing FROM orders LEFT JOIN versions ON l_orderkey = o_orderkey AND o_orderdate::DATE + 60 BETWEEN valid_from AND coalesce(valid_to, DATE '9999-12-31')""")
 def provision_in_force(t: Tables) -> DataFrame:
     """Which version of each provision holds sixty days after its order."""
-    versions = amendments.intervals(events(t).withColumnRenamed("l_orderkey", "o_orderkey"), ["o_orderkey"])
+    versions = amendments.intervals(events(t, amendments.DATED).withColumnRenamed("l_orderkey", "o_orderkey"), ["o_orderkey"])
     asked = t.orders.select("o_orderkey", F.date_add(F.col("o_orderdate").cast("date"), 60).alias("day"))
     return amendments.in_force(asked, ["o_orderkey"], F.col("day"), versions).select("o_orderkey", F.col("version").cast("long").alias("version"), "standing")
