@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 # Words behind which a number is no entry, and verbs of amendment with their events and what each begins with.
-TAKES_NUMBER = ("s", "ss", "sec", "secs", "sch", "cl", "art", "no", "r", "para", "part", "sub-s")
+TAKES_NUMBER = frozenset(("s", "ss", "sec", "secs", "sch", "cl", "art", "no", "r", "para", "part", "sub-s"))
 VERBS = tuple(
     (name, re.compile(verb, re.IGNORECASE), heads)
     for name, verb, heads in (
@@ -35,12 +35,13 @@ VERBS = tuple(
     )
 )
 # How notes print an entry's number, an act, a day, a section and the words replaced.
-NUMBER = re.compile(r"(\d\d?)\.? ")
+NUMBER = re.compile(r"(?<=[.)] )(\d\d?)\.? ")
 ACT = re.compile(r"((?:[A-Z][A-Za-z.]*\s+){0,3}Act)\s+(\d{1,3})\s+of\s+(\d{4})")
 DAY = re.compile(r"(?i)w\.e\.f\.\s*(\d{1,2})\s*-\s*(\d{1,2})\s*-\s*(\d{4})")
 SECTION = re.compile(r"(?i:\bs)\.\s*(\d+[A-Z]*)")
 REPLACED = re.compile('\\bfor\\s+[“"]([^”"]+)[”"]')
 FIRST_YEAR, LAST_YEAR = 1830, 2100
+_HEADS = tuple((head, verb, name) for name, verb, heads in VERBS for head in heads)
 
 
 def lower(text: str) -> str:
@@ -60,21 +61,17 @@ def found_at(pattern: re.Pattern, head: str, text: str, low: str) -> re.Match |
 
 def entries(note: str) -> list[tuple[int, str]]:
     """``number, text`` of each entry of a note."""
-    flat = " ".join(note.split())
+    flat = ". " + " ".join(note.split())  # a number at the start is one behind a full stop, too
     begins: list[tuple[int, int, int]] = []
     for found in NUMBER.finditer(flat):
         start, end = found.span()
-        if start:  # blanks are single: a word ends before the one before the number
-            if flat[start - 1] != " " or flat[start - 2] not in ".)":
-                continue
-            word = flat[flat.rfind(" ", 0, start - 1) + 1 : start - 1].lstrip("(").lower()
-            if word.rstrip(".") in TAKES_NUMBER:
-                continue
+        if flat[start - 2] == "." and flat[flat.rfind(" ", 0, start - 1) + 1 : start - 1].lstrip("(").rstrip(".").lower() in TAKES_NUMBER:
+            continue
         number = int(found[1])
         if not begins or number > begins[-1][0]:
             begins.append((number, start, end))
     if not begins:
-        return [(1, flat)] if flat else []
+        return [(1, flat[2:])] if len(flat) > 2 else []
     stops = [start for _, start, _ in begins[1:]] + [len(flat)]
     return [(number, flat[end:stop].strip()) for (number, _, end), stop in zip(begins, stops, strict=True)]
 
@@ -98,10 +95,9 @@ def act(entry: str) -> tuple[str, int, int] | None:
 
 def event(entry: str, low: str | None = None) -> str | None:
     low = low or lower(entry)
-    for name, verb, heads in VERBS:
-        for head in heads:
-            if head in low and found_at(verb, head, entry, low):
-                return name
+    for head, verb, name in _HEADS:
+        if head in low and found_at(verb, head, entry, low):
+            return name
     return None
 
 

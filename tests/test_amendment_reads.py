@@ -13,7 +13,7 @@ from florilege.operators import amendments as am
 
 WORDS = (
     "Ins. ins İns. iNS added Added by By by, ibid ibid. ſubs. Subs. Subs subs, substituted rep. Rep. rep.by re-numbered renumbered relettered re- omitted omitted, vide notif notıf. notification "
-    "Act Delhi Act, 91 of 1976 9 of 12345 s. S. ſ. ss. s.12A 12A (a) 1. 2. 3 4 10. (w.e.f. W.E.F. w.e.f.1-2-1990) 1- 8- 31-2-2019 1976). for For “x y” \"or\" . ) .) ٣. The"
+    "Act Delhi Act, 91 of 1976 9 of 12345 s. S. ſ. ss. s.12A 12A (a) (s. .s. s(. 1. 2. 3 4 10. (w.e.f. W.E.F. w.e.f.1-2-1990) 1- 8- 31-2-2019 1976). for For “x y” \"or\" . ) .) ٣. The"
 ).split()
 
 
