@@ -1,8 +1,8 @@
 """Amendment notes to events, events to validity intervals.
 
 A note under a provision lists, numbered, what later acts did to it. :func:`events` reads notes in Arrow
-batches, a row for each entry, and keeps the order in which notes are dealt to tasks; :func:`intervals` folds the
-dated events of a provision into versions with the days from and to which each holds; :func:`in_force` looks a day up.
+batches, a row for each entry; :func:`intervals` folds the dated events of a provision into versions with the days
+from and to which each holds; :func:`in_force` looks a day up.
 
 Rules of an entry: it begins at a number at the start or behind a full stop or closing bracket, unless the word
 before it takes a number (``s. 12``), and only while the numbers ascend; a note without numbers is one entry.
@@ -143,8 +143,7 @@ def read(note: str) -> list[tuple]:
 
 def events(notes: DataFrame, note: str, fields: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
     """The columns of ``notes`` but the note, with ``fields``, all of ``FIELDS`` or ``DATED``: a row for each entry.
-    A column of entries and not a table function, after which Spark no longer knows how rows are dealt to tasks
-    and deals them anew for what is grouped by a key of the notes."""
+    Entries come as a column of Arrow batches; a table function would hand over notes and rows one by one."""
     if fields not in (DATED, tuple(FIELDS)):
         raise ValueError(f"fields are {DATED} or {tuple(FIELDS)}")
     reader, types = dated if fields == DATED else read, [(name, _ARROW[FIELDS[name]]) for name in fields]
