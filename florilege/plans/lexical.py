@@ -67,15 +67,18 @@ ASKED = "list_transform(list_slice(words, 2, 4), lambda w: CASE WHEN length(w) >
 @query("search_word_similarity", f"""
 WITH titles AS (SELECT title_id, {WORDS.format("title")} AS words FROM {TITLES}),
 asked AS (SELECT title_id AS query_id, {ASKED} AS words FROM titles WHERE len(words) >= 4),
-inverted AS (SELECT DISTINCT title_id, unnest(words) AS word FROM titles), freq AS (SELECT word, count(*) AS df FROM inverted GROUP BY 1),
-rare AS (SELECT query_id, first(word ORDER BY df, word) AS word FROM (SELECT DISTINCT query_id, unnest(words) AS word FROM asked) JOIN freq USING (word) GROUP BY 1),
-pairs AS (SELECT query_id, title_id, a.words AS q, t.words AS words FROM rare JOIN inverted USING (word) JOIN asked a USING (query_id) JOIN titles t USING (title_id)),
+named AS (SELECT query_id, n, unnest(g) AS gram FROM (SELECT query_id, g, len(g) AS n FROM (SELECT query_id, {GRAMS.format("words")} AS g FROM asked))),
+held AS (SELECT title_id, unnest({GRAMS.format("words")}) AS gram FROM titles),
+-- no extent has more of the trigrams asked for than its title
+enough AS (SELECT query_id, title_id FROM named JOIN held USING (gram) GROUP BY query_id, title_id, n HAVING count(*) >= 0.65 * n),
+pairs AS (SELECT query_id, title_id, a.words AS q, t.words AS words FROM enough JOIN asked a USING (query_id) JOIN titles t USING (title_id)),
 extents AS (SELECT query_id, title_id, {GRAMS.format("q")} AS g, {GRAMS.format("list_slice(words, i, j)")} AS h FROM (SELECT *, unnest(range(i, len(words) + 1)) AS j FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM pairs))),
 best AS (SELECT query_id, title_id, max(len(list_intersect(g, h)) / (len(g) + len(h) - len(list_intersect(g, h)))) AS similarity FROM extents GROUP BY 1, 2)
 SELECT query_id, title_id, round(similarity, 6) AS similarity FROM best WHERE similarity >= 0.65""")
 def word_similarity(t: Tables) -> DataFrame:
-    """The second to fourth word of every title, with a letter lost from long words, looked up in all titles."""
+    """The second to fourth word of every title, with a letter lost from long words, looked up in all titles: every
+    pair that reaches the threshold."""
     worded = titles(t).select("title_id", tokens(F.col("title")).alias("words"))
     spelled = F.transform(F.slice("words", 2, 3), lambda w: F.when(F.length(w) > 5, F.left(w, F.length(w) - 1)).otherwise(w))
     asked = worded.where(F.size("words") >= 4).select(F.col("title_id").alias("query_id"), spelled.alias("words"))
-    return lexical.similar_titles(asked, worded)
+    return lexical.alike_titles(asked, worded)
