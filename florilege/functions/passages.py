@@ -77,19 +77,33 @@ def treatment(low: Column) -> Column:
     return chosen.otherwise("cites")
 
 
+#: Without one of these a text has no NEXT_CASE; to look for them takes less than the pattern.
+MAY_END = tuple(f"{blank}v" for blank in " \t\n\x0b\f\r") + ("\n\n", "\n ", "\n\t")
+
+
+def _may_end(words: Column) -> Column:
+    return reduce(Column.__or__, [F.contains(words, F.lit(x)) for x in MAY_END])
+
+
 def treatments(docs: DataFrame, key: str, text: str, window: int = 220, near: int = 80) -> DataFrame:
     """``key, ordinal, citation, annotation, treatment`` for each citation. The annotation is the first
     marker in the ``window`` characters behind it, the treatment is read from ``near`` characters; both
     end where the next case begins. Texts without citations, null and empty ones give no rows; a
     repeated text repeats its rows. The text behind a citation comes with a lookahead, so no offsets
     are added up and the work is linear in the text."""
-    shape = F.lit(f"({CITATION})(?=([\\s\\S]{{0,{window}}}))")
-    both = lambda t: F.arrays_zip(F.regexp_extract_all(t, shape, F.lit(1)).alias("c"), F.regexp_extract_all(t, shape, F.lit(2)).alias("a"))
-    reach = lambda c: F.lower(F.get(F.split(c, NEXT_CASE, 2), F.lit(0)))
+    # a citation has one bracket, its first character, so that none begins in another
+    shape = F.lit(f"(?=({CITATION}(?s:.{{0,{window}}})))\\(")
+    own = lambda m: F.regexp_extract(m, f"^{CITATION}", 0)
+    reach = lambda c: F.lower(F.when(_may_end(c), F.get(F.split(c, NEXT_CASE, 2), F.lit(0))).otherwise(c))
+    behind = lambda c, a: F.struct(c.alias("citation"), once(a, reach).alias("far"), once(F.substring(a, 1, near), reach).alias("near"))
+    read = lambda m: once(own(m), lambda c: once(F.substring(m, F.length(c) + 1, F.lit(window)), lambda a: behind(c, a)))
     # read before the rows are made, so that each is read once
-    told = once(F.col(text), lambda t: F.transform(both(t), lambda m: F.struct(m["c"].alias("citation"), reach(m["a"]).alias("far"), reach(F.substring(m["a"], 1, near)).alias("near"))))
+    told = F.transform(F.regexp_extract_all(F.col(text), shape, F.lit(1)), read)
     each = docs.select(key, F.posexplode(told).alias("at", "m"))
-    marker = F.regexp_extract("m.far", ANNOTATION.removeprefix("(?i)"), 1)
+    # most places are passed by their letter
+    markers = ANNOTATION.removeprefix("(?i)")
+    begin = "".join(sorted({phrase[0] for phrase in literals(markers[1:-1])}))
+    marker = F.regexp_extract("m.far", f"(?=[{begin}]){markers}", 1)
     return each.select(key, (F.col("at") + 1).alias("ordinal"), F.col("m.citation").alias("citation"), marker.alias("annotation"), treatment(F.col("m.near")).alias("treatment"))
 
 
